@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, packing, token_files
+from sightline.llm import decontaminate, packing, quality, repeats, token_files, toxicity, tree_search
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
+    "op2_nearest_neighbours": tree_search.query,
+    "op3_quality_votes": quality.query,
     "op4_best_fit_packing": packing.query,
+    "op5_toxicity": toxicity.query,
     "op6_token_records": token_files.query,
+    "op10_repeated_strings": repeats.query,
 }
 ORACLES: dict[str, str] = {}
