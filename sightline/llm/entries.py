@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, jaccard, packing, quality, repeats, token_files, toxicity, tree_search
+from sightline.llm import decontaminate, jaccard, licenses, line_dedup, packing, quality, repeats, token_files, toxicity, tree_search
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_toxicity": toxicity.query,
     "op6_token_records": token_files.query,
+    "op7_license_scan": licenses.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_jaccard_join": jaccard.query,
     "op10_repeated_strings": repeats.query,
 }
