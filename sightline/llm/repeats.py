@@ -9,8 +9,9 @@ a unit. Equal windows have equal marks in the same place, so it is enough to com
 units of the same mark: Spark sorts the units by mark, drops unique ones, and reranks:
 
 1. a unit with the same bytes as an earlier one is repeated as a whole;
-2. marks whose earliest units still differ are looked at window by window, by names of
-   the full length.
+2. of marks whose earliest units still differ, these units' bytes are sorted by mark
+   again, and their windows are told apart by names of the full length. Windows of marks
+   with very many different units are sorted by that name instead.
 
 Scale: a position in about 35 takes part in a sort. Each batch first keeps only the
 earliest of its equal units (the later ones are repeated, whatever else there is), so a
@@ -38,8 +39,10 @@ from sightline.llm.store import saved
 from sightline.llm.textbytes import BYTE_VALUES, buffers, mixed, pieces
 
 LENGTH, MARK = 100, 32
-#: Rows up to which a table of spans is broadcast instead of joined by a shuffle; about 30 MB.
-BROADCAST_SPANS = 1_000_000
+#: Numbers up to which a table of spans is broadcast instead of joined by a shuffle: 32 MB.
+BROADCAST_SPANS = 4_000_000
+#: Different units of one mark that are compared in one go.
+HELD_UNITS = 5_000
 _PIECE = 1 << 18
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -145,6 +148,71 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield _rows_of(name, name, np.concatenate(doc), np.concatenate(place))
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Mark and bytes of each of the given units of a text."""
+    for batch in batches:
+        ids, places, rows = batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), []
+        for i, d in enumerate(ids):
+            raw, offsets = buffers(batch.column("text").slice(i, 1))
+            mark, _, _, start, size = units(raw, offsets, length)
+            wanted = np.isin(start << 8 | size - length, np.array(places[i], dtype=np.int64))
+            for m, a, n in zip(mark[wanted].view(np.int64).tolist(), start[wanted].tolist(), size[wanted].tolist(), strict=True):
+                rows.append((m, d, a << 8 | n - length, raw[a : a + n].tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_pydict(dict(zip(("mark", "doc_id", "place", "bytes"), map(list, zip(*rows, strict=True)), strict=True)))
+
+
+def _settle_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Over units sorted by mark: runs of windows that come earlier in another unit; units of marks with too many come back as they are."""
+    held: pa.RecordBatch | None = None
+    large = None
+
+    def settled(part: pa.RecordBatch, whole: np.ndarray) -> pa.RecordBatch:
+        doc, place = part.column("doc_id").to_numpy(), part.column("place").to_numpy()
+        back = np.flatnonzero(~whole)
+        rows = np.flatnonzero(whole)
+        held_bytes = part.column("bytes").cast(pa.large_binary())
+        _, at, data = held_bytes.buffers()
+        at = np.frombuffer(at, np.int64)[held_bytes.offset :]
+        x = names(np.frombuffer(data, np.uint8)) if len(rows) else np.zeros(0, np.uint64)
+        count = (place[rows] & 255) + 1
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        name = _mixed_names(x, np.repeat(at[rows], count) + nth, (*range(0, length - MARK, MARK), length - MARK))
+        where, text = (np.repeat(place[rows] >> 8, count) + nth) << 8, np.repeat(doc[rows], count)
+        order, _, later = _earliest(name, name, text, where)
+        text, start = text[order[later]], where[order[later]] >> 8
+        order = np.lexsort((start, text))
+        text, start = text[order], start[order]
+        fresh = np.ones(len(start), dtype=bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
+        begin = np.flatnonzero(fresh)
+        size = np.diff(np.r_[begin, len(start)])
+        # a run is of one unit or of neighbours; 256 windows at most go into one place
+        parts = -(-size // 256)
+        step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * 256
+        first, left = np.repeat(start[begin], parts) + step, np.minimum(np.repeat(size, parts) - step, 256)
+        doc_id = np.concatenate([np.repeat(text[begin], parts), doc[back]])
+        return pa.RecordBatch.from_pydict({"doc_id": doc_id, "place": np.concatenate([first << 8 | left - 1, place[back]]), "repeated": np.arange(len(doc_id)) < len(first)})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        mark = batch.column("mark").to_numpy()
+        cut = int(np.searchsorted(mark, mark[-1]))
+        end = len(mark) if len(mark) - cut >= HELD_UNITS else cut
+        count = np.bincount(np.cumsum(np.r_[False, mark[1:] != mark[:-1]]))
+        whole = np.repeat(count < HELD_UNITS, count) & ((mark != large) if large is not None else True)
+        if end > cut:
+            large = mark[-1]
+        if end:
+            yield settled(batch.slice(0, end), whole[:end])
+        held = batch.slice(end) if end < len(mark) else None
+    if held is not None:
+        yield settled(held, np.full(held.num_rows, held.column("mark")[0].as_py() != large))
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by mark: units after the earliest of their name (repeated), and earliest ones whose mark has several names."""
     held: list[np.ndarray] | None = None
@@ -195,8 +263,15 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     spans = found.filter("repeated").select("doc_id", "place")
     if n:
         by_doc = contested.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-        windows = _with_texts(docs, by_doc, n, "inner").select("doc_id", "text", "places").mapInArrow(lambda batches: _windows(batches, length), _ROWS)
-        spans = spans.unionByName(_sorted(windows).filter("repeated").select("doc_id", "place"))
+        contexts = _with_texts(docs, by_doc, n, "inner").select("doc_id", "text", "places").mapInArrow(lambda batches: _contexts(batches, length), "mark long, doc_id long, place long, bytes binary")
+        told = saved(contexts.repartition("mark").sortWithinPartitions("mark").mapInArrow(lambda batches: _settle_windows(batches, length), _FOUND), "repeat-windows")
+        spans = spans.unionByName(told.filter("repeated").select("doc_id", "place"))
+        left = told.filter(~F.col("repeated"))
+        n = left.count()
+        if n:
+            by_doc = left.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+            windows = _with_texts(docs, by_doc, n, "inner").select("doc_id", "text", "places").mapInArrow(lambda batches: _windows(batches, length), _ROWS)
+            spans = spans.unionByName(_sorted(windows).filter("repeated").select("doc_id", "place"))
     return spans.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
