@@ -34,12 +34,12 @@ from sightline.llm.quality import crc32_of_id, labelled_sample
 
 #: Labelled rows that lexicon and weights are fitted on at most, half of each label where there are enough.
 TRAIN_ROWS = 6000
-LEXICON_TERMS = 600
+LEXICON_TERMS = 300
 #: Least and most letters of a stem; least letters of a term that may be misspelled.
 STEM, FUZZY_LETTERS = (4, 6), 5
 ERRORS = 1
-#: A term's least share of toxic documents among those that have it, and least number of them.
-PURITY, SUPPORT = 0.97, 3
+#: A term's least share of toxic documents among those that have it; least number of them, and share of all toxic rows (copies of a few texts stay below).
+PURITY, SUPPORT, SUPPORT_SHARE = 0.97, 3, 0.02
 #: Words either way that a context window spans.
 CONTEXT = 8
 #: Words whose hits a worker keeps at most.
@@ -210,7 +210,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     keys = sample.select("y", "text").mapInArrow(_keys, "key string, y int").groupBy("key").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
     clean = (F.col("n") - F.col("toxic")) / totals[0]
     share = F.col("toxic") / totals[1]
-    pure = keys.filter((F.col("toxic") >= SUPPORT) & (share >= PURITY * (share + clean)) & (F.length("key") >= 4))
+    pure = keys.filter((F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * totals[1])) & (share >= PURITY * (share + clean)) & (F.length("key") >= 4))
     found = pure.orderBy(F.desc("toxic"), F.desc(F.length("key")), "key").limit(20 * LEXICON_TERMS).collect()
     terms: list[tuple[str, bool]] = []
     stems: set[str] = set()
