@@ -1,8 +1,11 @@
-"""Registered queries of the corpus operators."""
+"""Registered queries of the corpus operators; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
 from sightline.llm import decontaminate, jaccard, licenses, line_dedup, packing, quality, repeats, token_files, toxicity, tree_search
+from sightline.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
@@ -16,4 +19,3 @@ QUERIES = {
     "op9_jaccard_join": jaccard.query,
     "op10_repeated_strings": repeats.query,
 }
-ORACLES: dict[str, str] = {}
