@@ -98,3 +98,19 @@ def may_prune(s: dict[str, Any]) -> bool:
     """Whether skipping candidates early can't change what is saved."""
     on = s["performance"]["fast_path"] and not s["debug"]["save_rejects"]
     return bool(on and saveable_floor(s) is not None and all(w >= 0 for w in s["quality_scoring"]["weights"].values()))
+
+
+def session_settings(cores: int, memory_gb: float, input_gb: float) -> dict[str, str]:
+    """Spark settings for a cluster of so many cores and so much executor memory a core, and an input of a size.
+
+    Shuffle partitions hold about 128 MB, and each core gets two at least; batches to
+    Python are small where cores have little memory.
+    """
+    partitions = max(2 * cores, int(input_gb * 1024 / 128))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": "128m",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000" if memory_gb >= 4 else "2000",
+    }

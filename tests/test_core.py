@@ -163,3 +163,27 @@ def test_streamed_photos(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("photos_seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.length for r in spark.sql("select * from photos_seen").collect()] == [4]
+
+
+def test_subject_sharpness_and_unsharp():
+    import numpy as np
+
+    g = np.random.default_rng(1).random((960, 400)) * 255
+    assert P.shrunk(g, 480).shape == (480, 200) and P.shrunk(g, 480).mean() == pytest.approx(g.mean())
+    assert np.allclose(P.shrunk(np.repeat(np.repeat(g[:480, :200], 2, 0), 2, 1), 480), g[:480, :200])
+    flat = g.copy()
+    flat[:, 100:300] = 7.0
+    assert P.subject_sharpness(flat, (0, 0, 400, 960)) < P.subject_sharpness(g, (0, 0, 400, 960))
+    assert P.roi(g, (-5.0, 959.9, -1.0, 2000.0)).shape == (1, 1)
+    step = np.zeros((8, 8, 3), np.uint8)
+    step[:, 4:] = 100
+    assert P.unsharp(step, "none") is step and P.unsharp(step, "strong")[0, 4, 0] > 100 and P.unsharp(step, "odd").dtype == np.uint8
+
+
+def test_metadata_and_session(spark):
+    from sightline.functions import exif
+
+    tags = {"0th.Orientation": b"6", "0th.Make": b"x", "1st.a": b"y", "thumbnail": b"z", "Exif.MakerNote": b"n" * 65534, "Exif.PixelXDimension": b"9"}
+    row = spark.createDataFrame([(tags,)], "tags map<string,binary>").select(exif.kept(F.col("tags"), F.lit(40), F.lit(60)).alias("k")).first()
+    assert {k: bytes(v) for k, v in row.k.items()} == {"0th.Make": b"x", "Exif.PixelXDimension": b"40", "Exif.PixelYDimension": b"60"}
+    assert config.session_settings(8, 2, 100)["spark.sql.shuffle.partitions"] == "800"
