@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 PATTERN = "*.{jpg,jpeg,JPG,JPEG}"
 BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x1", "y1", "x2", "y2")])
 KEYPOINT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "conf")])
+SIZE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("width", "height")])
 DETECTION = T.StructType([T.StructField("box", BOX), T.StructField("conf", T.DoubleType()), T.StructField("kps", T.ArrayType(KEYPOINT))])
 
 
@@ -47,7 +48,7 @@ def jpeg_size(data: bytes | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<width:int,height:int>")
+@F.pandas_udf(SIZE)
 def _sizes(content: pd.Series) -> pd.DataFrame:
     found = [jpeg_size(x) or (None, None) for x in content]
     return pd.DataFrame({"width": pd.array([w for w, _ in found], "Int32"), "height": pd.array([h for _, h in found], "Int32")})
