@@ -14,12 +14,15 @@ differ in at most a * (1 - t) / t shingles.
    Voronoi cells would copy every document to every cell.)
 3. A region's pivot is its member that shares most regions with others. All members are
    compared with the pivot, exactly. Links join components.
-4. A region with members of different components goes on recursively. Members are now
-   given by their difference to the pivot. If x and y differ from the pivot in disjoint
-   shingles, x and y are no more alike than the less alike of them is to the pivot: they
-   can be left apart. So only members that share a shingle of a prefix of their
-   differences form regions of the next round, without the pivot. Regions shrink, so this
-   ends; no pair of sets with the asked similarity is lost.
+4. A region whose members are then in different components is joined on. Up to
+   ``JOINED_INSIDE`` members are compared in one task, pairs of different components only.
+   Larger regions go on recursively: with a centre that holds what most members around
+   the pivot hold, members are given by their differences to the centre. If x and y differ
+   from it in disjoint shingles and are linked, each is linked to the member with the
+   least (weighted) difference, so all are compared with that one. Others share a shingle
+   of a prefix of their differences, and these make the regions of the next round. No
+   shingle of a difference is held by more than half of the members, so regions halve at
+   least; no link between components is lost.
 
 Scale: a document gives about one row for every 6 to 8 shingles (similarity 0.9). Rows
 are sorted by region and streamed; texts are joined only to pairs of member and pivot,
@@ -49,6 +52,8 @@ from sightline.llm.textbytes import NOT_SPACE, Words, buffers, mixed, pieces
 BROADCAST_IDS = 1_000_000
 #: Rows of one region up to which regions with the same members are told to be the same.
 HELD_ROWS = 20_000
+#: Members of a region up to which these are compared with one another in one task.
+JOINED_INSIDE = 256
 BAND = 1.5
 _PIECE = 1 << 18
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
@@ -68,10 +73,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     extra_text = np.flatnonzero((count > 0) & (count < size))
     extra = np.zeros(len(extra_text), dtype=np.uint64)
     for i, t in enumerate(extra_text):
-        h = np.uint64(count[t])
-        for w in words.hash[first[t] : first[t + 1]]:
-            h = mixed(np.array([h * _B + w], dtype=np.uint64))[0]
-        extra[i] = h
+        h = count[t : t + 1].astype(np.uint64)
+        for at in range(first[t], first[t + 1]):
+            h = mixed(h * _B + words.hash[at : at + 1])
+        extra[i] = h[0]
     value = np.concatenate([value[full[: len(value)]], extra])
     text = np.concatenate([text[full], extra_text])
     order = np.lexsort((value, text))
@@ -118,7 +123,7 @@ class Bands:
             bucket = ((values >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             held = np.add.reduceat(mixed(values), begin)
-            seed = np.uint64(k + 1) * _A
+            seed = np.array([k + 1], dtype=np.uint64) * _A
             out.append(mixed(held + mixed((bucket[begin].astype(np.uint64) + np.uint64(1)) * _B + seed)))
             # agreement could be in empty buckets alone only if these are many
             if m - len(begin) >= m - differing(len(values), self.percent):
@@ -196,27 +201,95 @@ def _shared_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield settled(*held, held[0] != large if large is not None else np.ones(len(held[0]), dtype=bool))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """For each member and pivot: whether they are linked, and the prefix of their difference."""
+def _both_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of each row's document and pivot."""
+    pivots = [v for _, v in _sets_of(batch, size, "pivot_text")]
+    for at, values in _sets_of(batch, size):
+        yield values, pivots[at]
+
+
+def _shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which entries of one are in two; both sorted."""
+    place = np.searchsorted(two, one)
+    place[place == len(two)] = 0
+    return two[place] == one if len(two) else np.zeros(len(one), dtype=bool)
+
+
+def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if 100 * len(small) < percent * len(large):
+        return False
+    shared = int(_shared(small, large).sum())
+    return 100 * shared >= percent * (len(one) + len(two) - shared)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of member and pivot that are linked."""
+    for batch in batches:
+        if batch.num_rows:
+            linked = pa.array([_alike(x, p, percent) for x, p in _both_sets(batch, size)], pa.bool_())
+            yield pa.RecordBatch.from_pydict({"a": batch.column("doc_id"), "b": batch.column("pivot")}).filter(linked)
+
+
+def _differences(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """What each member has that its pivot lacks, what it lacks, and how long a prefix of the two must be."""
+    for batch in batches:
+        own, missing, most = [], [], []
+        for x, p in _both_sets(batch, size) if batch.num_rows else ():
+            own.append(x[~_shared(x, p)].view(np.int64))
+            missing.append(p[~_shared(p, x)].view(np.int64))
+            most.append(differing(len(x), percent) + 1)
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_pydict({"pivot": batch.column("pivot"), "doc_id": batch.column("doc_id"), "own": pa.array(own, kind), "missing": pa.array(missing, kind), "most": pa.array(most, pa.int32())})
+
+
+def _join_inside(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components inside regions of few members; rows come sorted by region."""
+    held: pa.RecordBatch | None = None
+
+    def joined(part: pa.RecordBatch) -> pa.RecordBatch:
+        region, ids = part.column("region").to_numpy(), part.column("doc_id").to_numpy()
+        component = part.column("component").to_numpy()
+        sets = [v for _, v in _sets_of(part, size)]
+        links = []
+        begin = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(region)], strict=True):
+            now = {i: int(component[i]) for i in range(a, b)}
+            order = sorted(range(a, b), key=lambda i: len(sets[i]))
+            for k, i in enumerate(order):
+                for j in order[k + 1 :]:
+                    if 100 * len(sets[i]) < percent * len(sets[j]):
+                        break
+                    if now[i] != now[j] and _alike(sets[i], sets[j], percent):
+                        links.append((ids[i], ids[j]))
+                        old, new = now[j], now[i]
+                        now = {m: new if c == old else c for m, c in now.items()}
+        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        pivots, at = [v for _, v in _sets_of(batch, size, "pivot_text")], -1
-        linked, prefix = [], []
-        for at, values in _sets_of(batch, size):
-            pivot = pivots[at]
-            place = np.searchsorted(pivot, values)
-            there = np.zeros(len(values), dtype=bool)
-            inside = place < len(pivot)
-            there[inside] = pivot[place[inside]] == values[inside]
-            shared = int(there.sum())
-            linked.append(100 * shared >= percent * (len(values) + len(pivot) - shared))
-            own = values[~there]
-            most = differing(len(values), percent) + 1
-            if len(own) < most:
-                own = np.concatenate([own, np.setdiff1d(pivot, values, assume_unique=True)])
-            prefix.append(own[:most].view(np.int64))
-        yield pa.RecordBatch.from_pydict({"pivot": batch.column("pivot"), "doc_id": batch.column("doc_id"), "linked": linked, "prefix": pa.array(prefix, pa.list_(pa.int64()))})
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        region = batch.column("region").to_numpy()
+        cut = int(np.searchsorted(region, region[-1]))
+        if cut:
+            yield joined(batch.slice(0, cut))
+        held = batch.slice(cut)
+    if held is not None:
+        yield joined(held)
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Members of regions that have several; regions with the same members are one."""
+    dealt = rows.repartition("region").sortWithinPartitions("region")
+    return dealt.mapInArrow(_shared_regions, "region long, doc_id long, members long").distinct()
+
+
+def _drop_all(tables: list[DataFrame]) -> None:
+    """Deletes what no later plan reads; a table that was never written has no files."""
+    for table in tables:
+        drop(table)
 
 
 def _semi(docs: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
@@ -235,48 +308,70 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
     apart = all_docs.filter("n = 0").select("doc_id").unionByName(copies.select("doc_id"))
     singles = _semi(docs.filter("doc_id is not null"), apart, apart.count(), "left_anti")
     rows = singles.mapInArrow(lambda batches: _region_rows(batches, shingle, percent), "region long, doc_id long")
-    shared = rows.repartition("region").sortWithinPartitions("region").mapInArrow(_shared_regions, "region long, doc_id long, members long")
-    regions = saved(shared.distinct(), "regions")
+    regions = saved(_meeting(rows), "regions")
 
     ids = saved(regions.select("doc_id").distinct(), "candidates")
     texts = saved(_semi(docs, ids, ids.count(), "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
-    links: DataFrame | None = None
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        of_pivot = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text"))
+        return pairs.join(texts, "doc_id").join(of_pivot, "pivot").select("pivot", "doc_id", "text", "pivot_text")
+
+    def placed(members: DataFrame, *more: str) -> DataFrame:
+        known = found.select(F.col("node").alias("doc_id"), "component")
+        return members.join(known, "doc_id", "left").select("region", "doc_id", *more, F.coalesce("component", "doc_id").alias("component"))
+
+    spark = docs.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    asked = spark.createDataFrame([], "doc_id long, pivot long")
     found = None
     while True:
-        named = regions
-        if found is not None:  # only regions whose members are not all in one component
-            placed = regions.join(found, regions.doc_id == found.node, "left").select("region", "doc_id", "members", F.coalesce("component", "doc_id").alias("component"))
-            placed = saved(placed, "placed")
-            several = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("region")
-            named = saved(placed.join(several, "region").select("region", "doc_id", "members"), "open-regions")
-            drop(placed)
-        if not named.limit(1).count():
-            break
         # the pivot: the member that meets most others in its regions
-        degree = named.groupBy("doc_id").agg(F.sum("members").alias("degree"))
-        pivots = named.join(degree, "doc_id").groupBy("region").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("least"))).alias("top")).select("region", (-F.col("top.least")).alias("pivot"))
-        members = saved(named.join(pivots, "region").filter("doc_id <> pivot").select("region", "doc_id", "pivot"), "members")
-        pairs = members.select("doc_id", "pivot").distinct()
-        with_texts = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-        compared = saved(with_texts.select("pivot", "doc_id", "text", "pivot_text").mapInArrow(lambda batches: _compare(batches, shingle, percent), "pivot long, doc_id long, linked boolean, prefix array<long>"), "compared")
-        new = compared.filter("linked").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        links = new if links is None else links.unionByName(new)
+        degree = regions.groupBy("doc_id").agg(F.sum("members").alias("degree"))
+        pivots = regions.join(degree, "doc_id").groupBy("region").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("least"))).alias("top")).select("region", (-F.col("top.least")).alias("pivot"))
+        members = saved(regions.join(pivots, "region").select("region", "doc_id", "pivot"), "members")
+        pairs = members.select("doc_id", "pivot").unionByName(asked).filter("doc_id <> pivot").distinct()
+        before = links
+        links = saved(links.unionByName(with_texts(pairs).mapInArrow(lambda batches: _linked(batches, shingle, percent), "a long, b long")), "links")
         found = components(links)
-        # regions of the next round, from those with several components
-        where = members.join(found, members.doc_id == found.node, "left").select("region", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"))
-        where = saved(where, "placed")
-        of_pivot = where.select(F.col("pivot").alias("node")).distinct().join(found, "node", "left").select(F.col("node").alias("pivot"), F.coalesce("component", "node").alias("pivot_component"))
-        mixed_regions = where.groupBy("region", "pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).join(of_pivot, "pivot").filter("low < high or low < pivot_component or high > pivot_component").select("region")
-        open_pairs = where.join(mixed_regions, "region").select("pivot", "doc_id").distinct()
-        parts = open_pairs.join(compared, ["pivot", "doc_id"]).select(F.explode("prefix").alias("e"), "pivot", "doc_id").select(F.xxhash64("pivot", "e").alias("region"), "doc_id")
-        shared = parts.repartition("region").sortWithinPartitions("region").mapInArrow(_shared_regions, "region long, doc_id long, members long")
-        regions = saved(shared.distinct(), "regions")
-        drop(members)
-        drop(where)
+        # regions whose members are not all in one component
+        now = saved(placed(members, "pivot"), "placed")
+        several = now.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
+        several = saved(several.select("region", "n"), "open-regions")
+        small = now.join(several.filter(F.col("n") <= JOINED_INSIDE).select("region"), "region").join(texts, "doc_id").select("region", "doc_id", "component", "text")
+        inside = small.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: _join_inside(batches, shingle, percent), "a long, b long")
+        after = saved(links.unionByName(inside), "links")
+        spent, links = [before, links, members, now], after
+        large = several.filter(F.col("n") > JOINED_INSIDE).select("region")
+        if not large.limit(1).count():
+            _drop_all([*spent, several])
+            break
+        # differences of the members of large regions to what most around their pivot hold
+        apart_pairs = now.join(large, "region").filter("doc_id <> pivot").select("pivot", "doc_id").distinct()
+        differ = saved(with_texts(apart_pairs).mapInArrow(lambda batches: _differences(batches, shingle, percent), "pivot long, doc_id long, own array<long>, missing array<long>, most int"), "differences")
+        around = differ.groupBy("pivot").agg(F.count("*").alias("n"))
+        each = differ.select("pivot", F.explode("own").alias("e"), F.lit(True).alias("is_own")).unionByName(differ.select("pivot", F.explode("missing").alias("e"), F.lit(False).alias("is_own")))
+        usual = each.groupBy("pivot", "e", "is_own").agg(F.count("*").alias("m")).join(around, "pivot").filter(2 * F.col("m") > F.col("n"))
+        none = F.array().cast("array<long>")
+        usual = usual.groupBy("pivot").agg(F.collect_list(F.when(F.col("is_own"), F.col("e"))).alias("more"), F.collect_list(F.when(~F.col("is_own"), F.col("e"))).alias("less"))
+        centred = differ.join(usual, "pivot", "left").withColumns({"more": F.coalesce("more", none), "less": F.coalesce("less", none)})
+        centred = centred.select(
+            "pivot", "doc_id", "most", (100 * F.size("more") + percent * F.size("less")).alias("pivot_weight"),
+            F.concat(F.array_except("own", "more"), F.array_except("less", "missing")).alias("own"),
+            F.concat(F.array_except("missing", "less"), F.array_except("more", "own")).alias("missing"),
+        )
+        centred = saved(centred.withColumn("weight", 100 * F.size("missing") + percent * F.size("own")), "centred")
+        nearest = centred.groupBy("pivot").agg(F.min(F.struct("weight", "doc_id")).alias("top"), F.max("pivot_weight").alias("pivot_weight"))
+        nearest = nearest.filter(F.col("top.weight") < F.col("pivot_weight")).select("pivot", F.col("top.doc_id").alias("nearest"))
+        asked = saved(centred.join(nearest, "pivot").select("doc_id", F.col("nearest").alias("pivot")).distinct(), "asked")
+        prefix = F.slice(F.concat(F.sort_array("own"), F.sort_array("missing")), F.lit(1), F.col("most"))
+        parts = centred.select("pivot", "doc_id", F.explode(prefix).alias("e")).select(F.xxhash64("pivot", "e").alias("region"), "doc_id")
+        spent += [regions, several, differ, centred]
+        regions = saved(_meeting(parts), "regions")
+        _drop_all(spent)
+    found = components(links)
 
     direct = all_docs.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    if found is None:
-        return direct.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
     return direct.join(found, direct.rep == found.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -17,7 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps at most; beyond it the table starts again.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: A character that normalisation may change or join with another.
 _COMPOSING = regex.compile(r"[^\u0000-\u02FF]").search

@@ -55,7 +55,7 @@ def outcome(spark, box, s=None, **more):
 
 def test_border_of_six_pixels(spark):
     cut, whole = outcome(spark, (4000.0, 500.0, 6186.0, 4000.0)), outcome(spark, (4000.0, 500.0, 6185.0, 4000.0))
-    assert not cut.full_frame and cut.reason == "unsafe_edge"
+    assert not cut.full_frame and cut.reason == "skipped_truncated_side"
     assert whole.full_frame and whole.decision == "accept"
     free = config.merged({"completeness_guard": {"edge_truncation_guard": False}})
     assert outcome(spark, (4000.0, 500.0, 6186.0, 4000.0), free).full_frame
