@@ -13,10 +13,13 @@ differ in at most a * (1 - t) / t shingles.
    documents that share nothing are at distance 1 from every pivot, so windows around
    Voronoi cells would copy every document to every cell.)
 3. A region's pivot is its member that shares most regions with others. All members are
-   compared with the pivot, exactly. Links join components.
-4. A region whose members are then in different components is joined on. Up to
-   ``JOINED_INSIDE`` members are compared in one task, pairs of different components only.
-   Larger regions go on recursively: with a centre that holds what most members around
+   compared with the pivot, exactly, but those that a sketch rules out: of each document
+   a byte for each of some ranges of the hashes, and too many of these differ. Links join
+   components.
+4. A region whose members are then in different components is joined on. In those of up to
+   ``SKETCHED_INSIDE`` members, only members that may be linked with another component, by
+   their sketches, take part further. Up to ``JOINED_INSIDE`` members are compared in one
+   task, pairs of different components only. Larger regions go on recursively: with a centre that holds what most members around
    the pivot hold, members are given by their differences to the centre. If x and y differ
    from it in disjoint shingles and are linked, each is linked to the member with the
    least (weighted) difference, so all are compared with that one. Others share a shingle
@@ -25,9 +28,9 @@ differ in at most a * (1 - t) / t shingles.
    least; no link between components is lost.
 
 Scale: a document gives about one row for every 6 to 8 shingles (similarity 0.9). Rows
-are sorted by region and streamed; texts are joined only to pairs of member and pivot,
-which grow with the members, not with their pairs. Components are found in rounds that
-aggregate before they shuffle. The few candidates' texts are read again, not their sets
+are sorted by region and streamed; sketches, and texts of what they leave, are joined to
+pairs of member and pivot, which grow with the members, not with their pairs. Components
+are found in rounds that aggregate before they shuffle. The few candidates' texts are read again, not their sets
 shuffled.
 
 Defined cases: a null or empty text has no shingle and links with nothing; a text with
@@ -52,8 +55,8 @@ from sightline.llm.textbytes import NOT_SPACE, Words, buffers, mixed, pieces
 BROADCAST_IDS = 1_000_000
 #: Rows of one region up to which regions with the same members are told to be the same.
 HELD_ROWS = 20_000
-#: Members of a region up to which these are compared with one another in one task.
-JOINED_INSIDE = 256
+#: Members of a region up to which their sets, and their sketches, are compared with one another in one task.
+JOINED_INSIDE, SKETCHED_INSIDE = 256, 4096
 BAND = 1.5
 _PIECE = 1 << 18
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
@@ -223,6 +226,85 @@ def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(one) + len(two) - shared)
 
 
+def sketch(values: np.ndarray, percent: int) -> np.ndarray:
+    """A checksum of one byte for each of a power of two of ranges of the sorted hashes; over twice as many as partners differ in."""
+    k = (2 * differing(len(values), percent) + 15).bit_length()
+    out = np.zeros(1 << k, dtype=np.uint8)
+    if len(values):
+        at = (values >> np.uint64(64 - k)).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        out[at[begin]] = np.bitwise_xor.reduceat((mixed(values) & np.uint64(255)).astype(np.uint8), begin)
+    return out
+
+
+def _folded(one: np.ndarray, size: int) -> np.ndarray:
+    """A sketch over fewer ranges."""
+    return np.bitwise_xor.reduce(one.reshape(size, -1), axis=1)
+
+
+def may_link(one: np.ndarray, two: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of sizes n and m can be linked: ranges with other checksums differ in a shingle at least."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    size = min(len(one), len(two))
+    return int(np.count_nonzero(_folded(one, size) != _folded(two, size))) * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, made = [], []
+        for _, values in _sets_of(batch, size):
+            n.append(len(values))
+            made.append(sketch(values, percent).tobytes())
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "sketch": pa.array(made, pa.binary())})
+
+
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of member and pivot that their sketches don't rule out."""
+    for batch in batches:
+        if batch.num_rows:
+            n, m = batch.column("n").to_pylist(), batch.column("pivot_n").to_pylist()
+            one, two = ([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("sketch", "pivot_sketch"))
+            keep = [may_link(*x, percent) for x in zip(one, two, n, m, strict=True)]
+            yield batch.select(["doc_id", "pivot"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by region: members that sketches allow a link with a member of another component."""
+    held: pa.RecordBatch | None = None
+
+    def kept(part: pa.RecordBatch) -> pa.RecordBatch:
+        region, component, n = (part.column(c).to_numpy() for c in ("region", "component", "n"))
+        made = [np.frombuffer(x, np.uint8) for x in part.column("sketch").to_pylist()]
+        keep = np.zeros(len(region), dtype=bool)
+        begin = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(region)], strict=True):
+            order = a + np.argsort(n[a:b], kind="stable")
+            size = min(len(made[i]) for i in order)
+            all_of, of_size, own = np.stack([_folded(made[i], size) for i in order]), n[order], component[order]
+            for k, i in enumerate(order):
+                end = int(np.searchsorted(of_size * percent, 100 * n[i], side="right"))
+                differ = np.count_nonzero(all_of[k + 1 : end] != all_of[k], axis=1)
+                partner = (differ * (100 + percent) <= (of_size[k + 1 : end] + n[i]) * (100 - percent)) & (own[k + 1 : end] != component[i])
+                if partner.any():
+                    keep[i] = True
+                    keep[order[k + 1 : end][partner]] = True
+        return part.select(["region", "doc_id", "pivot", "component"]).filter(pa.array(keep))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        region = batch.column("region").to_numpy()
+        cut = int(np.searchsorted(region, region[-1]))
+        if cut:
+            yield kept(batch.slice(0, cut))
+        held = batch.slice(cut)
+    if held is not None:
+        yield kept(held)
+
+
 def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs of member and pivot that are linked."""
     for batch in batches:
@@ -317,13 +399,28 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         of_pivot = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text"))
         return pairs.join(texts, "doc_id").join(of_pivot, "pivot").select("pivot", "doc_id", "text", "pivot_text")
 
+    sketches = saved(texts.mapInArrow(lambda batches: _sketches(batches, shingle, percent), "doc_id long, n long, sketch binary"), "sketches")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        of_pivot = sketches.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+        return pairs.join(sketches, "doc_id").join(of_pivot, "pivot").mapInArrow(lambda batches: _possible(batches, percent), "doc_id long, pivot long")
+
     def placed(members: DataFrame, *more: str) -> DataFrame:
         known = found.select(F.col("node").alias("doc_id"), "component")
         return members.join(known, "doc_id", "left").select("region", "doc_id", *more, F.coalesce("component", "doc_id").alias("component"))
 
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    asked = spark.createDataFrame([], "doc_id long, pivot long")
+    def joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components with more links."""
+        if known is None:
+            return components(links)
+        if not links.limit(1).count():
+            return known
+        stars = known.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        after = components(stars.unionByName(links))
+        drop(known)
+        return after
+
+    asked = docs.sparkSession.createDataFrame([], "doc_id long, pivot long")
     found = None
     while True:
         # the pivot: the member that meets most others in its regions
@@ -331,23 +428,34 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         pivots = regions.join(degree, "doc_id").groupBy("region").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("least"))).alias("top")).select("region", (-F.col("top.least")).alias("pivot"))
         members = saved(regions.join(pivots, "region").select("region", "doc_id", "pivot"), "members")
         pairs = members.select("doc_id", "pivot").unionByName(asked).filter("doc_id <> pivot").distinct()
-        before = links
-        links = saved(links.unionByName(with_texts(pairs).mapInArrow(lambda batches: _linked(batches, shingle, percent), "a long, b long")), "links")
-        found = components(links)
+        pairs = saved(possible(pairs), "possible-pairs")
+        links = saved(with_texts(pairs).mapInArrow(lambda batches: _linked(batches, shingle, percent), "a long, b long"), "links")
+        found = joined(found, links)
         # regions whose members are not all in one component
         now = saved(placed(members, "pivot"), "placed")
         several = now.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
         several = saved(several.select("region", "n"), "open-regions")
-        small = now.join(several.filter(F.col("n") <= JOINED_INSIDE).select("region"), "region").join(texts, "doc_id").select("region", "doc_id", "component", "text")
+        spent = [pairs, links, members, now, several]
+        if not several.limit(1).count():
+            _drop_all(spent)
+            break
+        open_ = now.join(several.filter(F.col("n") <= SKETCHED_INSIDE).select("region"), "region").join(sketches, "doc_id").select("region", "doc_id", "pivot", "component", "n", "sketch")
+        open_ = open_.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: _with_partner(batches, percent), "region long, doc_id long, pivot long, component long")
+        open_ = saved(open_, "open-members")
+        sizes = open_.groupBy("region").agg(F.count("*").alias("left"))
+        small = open_.join(sizes.filter(F.col("left") <= JOINED_INSIDE).select("region"), "region").join(texts, "doc_id").select("region", "doc_id", "component", "text")
         inside = small.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: _join_inside(batches, shingle, percent), "a long, b long")
-        after = saved(links.unionByName(inside), "links")
-        spent, links = [before, links, members, now], after
-        large = several.filter(F.col("n") > JOINED_INSIDE).select("region")
-        if not large.limit(1).count():
-            _drop_all([*spent, several])
+        inside = saved(inside, "links")
+        found = joined(found, inside)
+        spent += [open_, inside]
+        if several.agg(F.max("n")).first()[0] <= SKETCHED_INSIDE and (sizes.agg(F.max("left")).first()[0] or 0) <= JOINED_INSIDE:
+            _drop_all(spent)
             break
+        large = several.filter(F.col("n") > SKETCHED_INSIDE).select("region")
+        large_left = sizes.filter(F.col("left") > JOINED_INSIDE).select("region")
+        apart_rows = now.join(large, "region").select("pivot", "doc_id").unionByName(open_.join(large_left, "region").select("pivot", "doc_id"))
         # differences of the members of large regions to what most around their pivot hold
-        apart_pairs = now.join(large, "region").filter("doc_id <> pivot").select("pivot", "doc_id").distinct()
+        apart_pairs = apart_rows.filter("doc_id <> pivot").distinct()
         differ = saved(with_texts(apart_pairs).mapInArrow(lambda batches: _differences(batches, shingle, percent), "pivot long, doc_id long, own array<long>, missing array<long>, most int"), "differences")
         around = differ.groupBy("pivot").agg(F.count("*").alias("n"))
         each = differ.select("pivot", F.explode("own").alias("e"), F.lit(True).alias("is_own")).unionByName(differ.select("pivot", F.explode("missing").alias("e"), F.lit(False).alias("is_own")))
@@ -366,10 +474,9 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         asked = saved(centred.join(nearest, "pivot").select("doc_id", F.col("nearest").alias("pivot")).distinct(), "asked")
         prefix = F.slice(F.concat(F.sort_array("own"), F.sort_array("missing")), F.lit(1), F.col("most"))
         parts = centred.select("pivot", "doc_id", F.explode(prefix).alias("e")).select(F.xxhash64("pivot", "e").alias("region"), "doc_id")
-        spent += [regions, several, differ, centred]
+        spent += [regions, differ, centred]
         regions = saved(_meeting(parts), "regions")
         _drop_all(spent)
-    found = components(links)
 
     direct = all_docs.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return direct.join(found, direct.rep == found.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -245,8 +245,8 @@ def brute_components(rows, size, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("inside", [256, 3])
-def test_jaccard(spark, inside):
+@pytest.mark.parametrize(("inside", "sketched"), [(256, 4096), (3, 4096), (3, 3)])
+def test_jaccard(spark, inside, sketched):
     r, rows = random.Random(11), list(corpus())
     for family in range(3):
         core = words(60, 1000 + family)
@@ -257,14 +257,28 @@ def test_jaccard(spark, inside):
             rows.append((1000 + family * 50 + i, " ".join(t), "de", "s", 0))
     rows += [(3000 + i, " ".join(r.choice("ab") for _ in range(r.randrange(1, 9))), "en", "s", 0) for i in range(40)]
     table = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    old, jaccard.JOINED_INSIDE = jaccard.JOINED_INSIDE, inside
+    old = jaccard.JOINED_INSIDE, jaccard.SKETCHED_INSIDE
+    jaccard.JOINED_INSIDE, jaccard.SKETCHED_INSIDE = inside, sketched
     try:
         for size, percent in ((3, 90), (5, 80)):
             want = brute_components(rows, size, percent)
             got = jaccard.jaccard_components(table, shingle=size, percent=percent).collect()
             assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want and len(got) == len(rows)
     finally:
-        jaccard.JOINED_INSIDE = old
+        jaccard.JOINED_INSIDE, jaccard.SKETCHED_INSIDE = old
+
+
+def test_sketches_rule_no_link_out():
+    r = np.random.default_rng(4)
+    for n in (1, 3, 20, 90, 700):
+        for percent in (80, 90):
+            for _ in range(60):
+                both = np.unique(r.integers(0, 2**64, 2 * n, dtype=np.uint64))
+                one, two = (np.sort(both[np.sort(r.permutation(len(both))[: r.integers(1, len(both) + 1)])]) for _ in "ab")
+                for x, y in ((one, two), (one, one[r.random(len(one)) < 0.95]), (one, np.sort(np.r_[one, both[: len(one) // 9]]))):
+                    x, y = np.unique(x), np.unique(y)
+                    if len(y) and jaccard._alike(x, y, percent):
+                        assert jaccard.may_link(jaccard.sketch(x, percent), jaccard.sketch(y, percent), len(x), len(y), percent)
 
 
 def test_one_of_each(spark, docs):
