@@ -56,7 +56,9 @@ BROADCAST_IDS = 1_000_000
 #: Rows of one region up to which regions with the same members are told to be the same.
 HELD_ROWS = 20_000
 #: Members of a region up to which their sets, and their sketches, are compared with one another in one task.
-JOINED_INSIDE, SKETCHED_INSIDE = 256, 4096
+JOINED_INSIDE, SKETCHED_INSIDE = 1024, 4096
+#: Shingles that a region joined in one task holds at most, unless it has no more than ``FEW`` members.
+HELD_SHINGLES, FEW = 4_000_000, 64
 BAND = 1.5
 _PIECE = 1 << 18
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
@@ -250,6 +252,19 @@ def may_link(one: np.ndarray, two: np.ndarray, n: int, m: int, percent: int) ->
     return int(np.count_nonzero(_folded(one, size) != _folded(two, size))) * (100 + percent) <= (n + m) * (100 - percent)
 
 
+def _stacked(made: list[np.ndarray]) -> np.ndarray:
+    """Sketches of one region over the same ranges."""
+    size = min(map(len, made))
+    return np.stack([_folded(x, size) for x in made])
+
+
+def _partners(stacked: np.ndarray, sizes: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """Which later members, sorted by size, may be linked with member k."""
+    end = int(np.searchsorted(sizes * percent, 100 * sizes[k], side="right"))
+    differ = np.count_nonzero(stacked[k + 1 : end] != stacked[k], axis=1)
+    return k + 1 + np.flatnonzero(differ * (100 + percent) <= (sizes[k + 1 : end] + sizes[k]) * (100 - percent))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, made = [], []
@@ -280,16 +295,14 @@ def _with_partner(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         begin = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(region)], strict=True):
             order = a + np.argsort(n[a:b], kind="stable")
-            size = min(len(made[i]) for i in order)
-            all_of, of_size, own = np.stack([_folded(made[i], size) for i in order]), n[order], component[order]
-            for k, i in enumerate(order):
-                end = int(np.searchsorted(of_size * percent, 100 * n[i], side="right"))
-                differ = np.count_nonzero(all_of[k + 1 : end] != all_of[k], axis=1)
-                partner = (differ * (100 + percent) <= (of_size[k + 1 : end] + n[i]) * (100 - percent)) & (own[k + 1 : end] != component[i])
-                if partner.any():
-                    keep[i] = True
-                    keep[order[k + 1 : end][partner]] = True
-        return part.select(["region", "doc_id", "pivot", "component"]).filter(pa.array(keep))
+            stacked, sizes, own = _stacked([made[i] for i in order]), n[order], component[order]
+            for k in range(b - a):
+                partners = _partners(stacked, sizes, k, percent)
+                partners = partners[own[partners] != own[k]]
+                if len(partners):
+                    keep[order[k]] = True
+                    keep[order[partners]] = True
+        return part.select(["region", "doc_id", "pivot", "component", "n"]).filter(pa.array(keep))
 
     for batch in batches:
         if not batch.num_rows:
@@ -336,16 +349,14 @@ def _join_inside(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
         links = []
         begin = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(region)], strict=True):
-            now = {i: int(component[i]) for i in range(a, b)}
-            order = sorted(range(a, b), key=lambda i: len(sets[i]))
+            order = np.array(sorted(range(a, b), key=lambda i: len(sets[i])))
+            sizes, now = np.array([len(sets[i]) for i in order]), component[order].copy()
+            stacked = _stacked([sketch(sets[i], percent) for i in order])
             for k, i in enumerate(order):
-                for j in order[k + 1 :]:
-                    if 100 * len(sets[i]) < percent * len(sets[j]):
-                        break
-                    if now[i] != now[j] and _alike(sets[i], sets[j], percent):
-                        links.append((ids[i], ids[j]))
-                        old, new = now[j], now[i]
-                        now = {m: new if c == old else c for m, c in now.items()}
+                for j in _partners(stacked, sizes, k, percent):
+                    if now[j] != now[k] and _alike(sets[i], sets[order[j]], percent):
+                        links.append((ids[i], ids[order[j]]))
+                        now[now == now[j]] = now[k]
         return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     for batch in batches:
@@ -440,19 +451,20 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
             _drop_all(spent)
             break
         open_ = now.join(several.filter(F.col("n") <= SKETCHED_INSIDE).select("region"), "region").join(sketches, "doc_id").select("region", "doc_id", "pivot", "component", "n", "sketch")
-        open_ = open_.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: _with_partner(batches, percent), "region long, doc_id long, pivot long, component long")
+        open_ = open_.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: _with_partner(batches, percent), "region long, doc_id long, pivot long, component long, n long")
         open_ = saved(open_, "open-members")
-        sizes = open_.groupBy("region").agg(F.count("*").alias("left"))
-        small = open_.join(sizes.filter(F.col("left") <= JOINED_INSIDE).select("region"), "region").join(texts, "doc_id").select("region", "doc_id", "component", "text")
+        fits = (F.count("*") <= JOINED_INSIDE) & ((F.sum("n") <= HELD_SHINGLES) | (F.count("*") <= FEW))
+        sizes = open_.groupBy("region").agg(fits.alias("fits"))
+        small = open_.join(sizes.filter("fits").select("region"), "region").join(texts, "doc_id").select("region", "doc_id", "component", "text")
         inside = small.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: _join_inside(batches, shingle, percent), "a long, b long")
         inside = saved(inside, "links")
         found = joined(found, inside)
         spent += [open_, inside]
-        if several.agg(F.max("n")).first()[0] <= SKETCHED_INSIDE and (sizes.agg(F.max("left")).first()[0] or 0) <= JOINED_INSIDE:
+        if several.agg(F.max("n")).first()[0] <= SKETCHED_INSIDE and sizes.agg(F.min("fits")).first()[0] is not False:
             _drop_all(spent)
             break
         large = several.filter(F.col("n") > SKETCHED_INSIDE).select("region")
-        large_left = sizes.filter(F.col("left") > JOINED_INSIDE).select("region")
+        large_left = sizes.filter("not fits").select("region")
         apart_rows = now.join(large, "region").select("pivot", "doc_id").unionByName(open_.join(large_left, "region").select("pivot", "doc_id"))
         # differences of the members of large regions to what most around their pivot hold
         apart_pairs = apart_rows.filter("doc_id <> pivot").distinct()

@@ -245,7 +245,7 @@ def brute_components(rows, size, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("inside", "sketched"), [(256, 4096), (3, 4096), (3, 3)])
+@pytest.mark.parametrize(("inside", "sketched"), [(1024, 4096), (3, 3)])
 def test_jaccard(spark, inside, sketched):
     r, rows = random.Random(11), list(corpus())
     for family in range(3):
