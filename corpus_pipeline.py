@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later runs of repeated lines; those of which nothing is left go."""
-    return line_dedup.remove_repeated_lines(docs, drop_emptied=True)
+    """Documents without later runs of three repeated lines, or of fewer with 50 words; those of which nothing is left go."""
+    return line_dedup.remove_repeated_lines(docs, least_words=line_dedup.LEAST_WORDS, drop_emptied=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,14 +10,19 @@ Spark counts fingerprints and keeps the places of repeated ones. Around these a
 extended both ways, a run of ``least_lines`` at a time: the hash of such a run stands for
 it, its earliest place (smallest document, then line) stays, and every later run goes.
 Runs that follow one another overlap, so that a match of any length goes as a whole.
-Document ids and line numbers decide, so the result doesn't depend on the order of rows.
+
+With ``least_words``, shorter runs count as well: one line, or up to ``least_lines - 1``
+neighbouring ones, that together hold so many words. Each such run is a fingerprint of its
+own, and its earliest place stays in the same way. What goes always stands at an earlier
+place, so of each repeated line its first place is left. Without it (as in op8, whose SQL
+says three lines) only runs of ``least_lines`` count. Document ids and line numbers decide, so the result doesn't depend on the order of rows.
 
 Scale: fingerprints and runs are aggregated before each shuffle. Of a run within a
 batch only the earliest place is sent on, so a run that a third of all documents hold is
 a row per batch. Nothing is paired with anything but the earliest place of its run.
 
-Defined cases: a null or empty text, or one with fewer lines than ``least_lines``, stays
-as it is; repeated rows with the same id and text count as one place and stay both; an
+Defined cases: a null or empty text, or one with fewer lines than ``least_lines`` (and
+fewer words than ``least_words``), stays as it is; repeated rows with the same id and text count as one place and stay both; an
 empty table stays empty; extra columns are passed through. A document whose lines all go
 has an empty text; ``drop_emptied`` removes it.
 """
@@ -37,14 +42,16 @@ from sightline.llm.textbytes import BYTE_VALUES, byte_set, buffers, mixed, piece
 
 GRAM, WINDOW = 2, 2
 LEAST_LINES = GRAM + WINDOW - 1
+#: Words from which a run of fewer lines counts in the pipeline.
+LEAST_WORDS = 50
 #: Numbers up to which a table of line numbers is broadcast instead of joined by a shuffle: 16 MB.
 BROADCAST_NUMBERS = 2_000_000
 _BLANK = byte_set((0x20, 0x20), (0x09, 0x0D))
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
-def line_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of each line that isn't blank."""
+def line_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and number of words of each line that isn't blank."""
     n = len(raw)
     breaks = raw == 10
     edge = np.zeros(n + 1, dtype=bool)
@@ -53,7 +60,8 @@ def line_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     begin[1:] |= breaks[:-1]
     begin = np.flatnonzero(begin)
     end = np.r_[begin[1:], n] if len(begin) else begin
-    inked = np.flatnonzero(~_BLANK[raw])
+    ink = ~_BLANK[raw]
+    inked = np.flatnonzero(ink)
     first, last = np.searchsorted(inked, begin), np.searchsorted(inked, end) - 1
     text = np.searchsorted(offsets, begin, side="right") - 1
     full = last >= first
@@ -61,7 +69,10 @@ def line_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     up, down = powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[raw] * up[:-1], out=total[1:])
-    return mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), text[full]
+    # a line's first word begins at a, where the text before it may end without white space
+    begun = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(ink[1:] & ~ink[:-1], out=begun[2:])
+    return mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), text[full], begun[b] - begun[a + 1] + 1
 
 
 def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -85,20 +96,20 @@ def fingerprints(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.n
     return at, grams[at]
 
 
-def _lines_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _lines_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for row, _, raw, offsets in pieces(*buffers(batch.column("text"))):
-        hashes, text = line_hashes(raw, offsets)
-        yield hashes, row + text
+        hashes, text, words = line_hashes(raw, offsets)
+        yield hashes, row + text, words
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """For each fingerprint the runs of ``least`` lines that hold its lines.
+def _candidates(batches: Iterator[pa.RecordBatch], least: int, least_words: int | None) -> Iterator[pa.RecordBatch]:
+    """For each fingerprint the runs of ``least`` lines that hold its lines, and shorter runs of ``least_words`` words.
 
     Of a run within the batch its earliest place goes on; later ones are done.
     """
     for batch in batches:
         ids, found = batch.column("doc_id").to_numpy(), []
-        for hashes, text in _lines_of(batch):
+        for hashes, text, words in _lines_of(batch):
             runs, (at, prints) = _runs(hashes, least), fingerprints(hashes, text)
             begin = np.searchsorted(text, text)
             for back in range(least - GRAM + 1):
@@ -106,37 +117,44 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
                 whole = (start >= 0) & (start < len(runs))
                 whole[whole] = (text[start[whole]] == text[at[whole]]) & (text[start[whole] + least - 1] == text[at[whole]])
                 start, print_, place = start[whole], prints[whole], at[whole]
-                found.append((print_, runs[start], ids[text[start]], start - begin[start], place - begin[place]))
+                found.append((print_, runs[start], ids[text[start]], start - begin[start], place - begin[place], np.full(len(start), least)))
+            sums = np.r_[0, np.cumsum(words)]
+            for size in range(1, least if least_words is not None else 1):
+                runs = _runs(hashes, size)
+                start = np.arange(len(runs))
+                start = start[(text[start] == text[start + size - 1]) & (sums[start + size] - sums[start] >= least_words)]
+                line = start - begin[start]
+                found.append((mixed(runs[start] ^ _B), runs[start], ids[text[start]], line, line, np.full(len(start), size)))
         if not found:
             continue
-        print_, run, doc, line, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        print_, run, doc, line, place, size = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((line, doc, run, print_))
-        print_, run, doc, line, place = (x[order] for x in (print_, run, doc, line, place))
+        print_, run, doc, line, place, size = (x[order] for x in (print_, run, doc, line, place, size))
         first = np.ones(len(run), dtype=bool)
         first[1:] = (run[1:] != run[:-1]) | (print_[1:] != print_[:-1])
         head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(run) else order
         later = (doc != doc[head]) | (line != line[head])
         keep = first | later
-        columns = {"print": print_.view(np.int64), "run": run.view(np.int64), "doc_id": doc, "line": line.astype(np.int64), "place": place.astype(np.int64), "done": later}
+        columns = {"print": print_.view(np.int64), "run": run.view(np.int64), "doc_id": doc, "line": line.astype(np.int64), "place": place.astype(np.int64), "size": size.astype(np.int32), "done": later}
         yield pa.RecordBatch.from_pydict({n: x[keep] for n, x in columns.items()})
 
 
-def repeated_lines(docs: DataFrame, *, least_lines: int = LEAST_LINES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ``runs``: numbers (among lines that aren't blank) with which later repeated runs of ``least_lines`` begin."""
+def repeated_lines(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and ``runs``: numbers (among lines that aren't blank) with which later repeated runs begin, and their ``size`` in lines."""
     if least_lines < LEAST_LINES:
         raise ValueError(f"winnowing guarantees runs of {LEAST_LINES} lines or more")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    found = saved(rows.mapInArrow(lambda batches: _candidates(batches, least_lines), "print long, run long, doc_id long, line long, place long, done boolean"), "line-prints")
+    found = saved(rows.mapInArrow(lambda batches: _candidates(batches, least_lines, least_words), "print long, run long, doc_id long, line long, place long, size int, done boolean"), "line-prints")
     at = F.struct("doc_id", "place")
     prints = found.groupBy("print").agg(F.min(at).alias("low"), F.max(at).alias("high")).filter("low <> high").select("print")
-    matched = found.filter("not done").join(prints, "print").select("run", "doc_id", "line")
+    matched = found.filter("not done").join(prints, "print").select("run", "doc_id", "line", "size")
     matched = saved(matched.distinct(), "line-runs")
     earliest = matched.groupBy("run").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", "first")
-    later = matched.join(earliest, "run").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line")
-    return later.unionByName(found.filter("done").select("doc_id", "line")).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("runs"))
+    later = matched.join(earliest, "run").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line", "size")
+    return later.unionByName(found.filter("done").select("doc_id", "line", "size")).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "size"))).alias("runs"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], least: int, columns: list[str], text: str, chars: str | None, drop_emptied: bool, count: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], columns: list[str], text: str, chars: str | None, drop_emptied: bool, count: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, runs = batch.column("__text").to_pylist(), batch.column("__runs").to_pylist()
         lengths, keep = batch.column(chars).to_pylist() if chars else [], [True] * batch.num_rows
@@ -146,7 +164,7 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int, columns: list[str], text
                 continue
             lines = texts[i].split("\n")
             inked = [k for k, line in enumerate(lines) if line.strip(" \t\n\v\f\r")]
-            gone = {inked[j] for k in found for j in range(k, min(k + least, len(inked)))}
+            gone = {inked[j] for run in found for j in range(run["line"], min(run["line"] + run["size"], len(inked)))}
             removed[i] = len(gone)
             left = [line for k, line in enumerate(lines) if k not in gone]
             texts[i] = "\n".join(left)
@@ -160,16 +178,16 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int, columns: list[str], text
         yield out.filter(pa.array(keep, pa.bool_())) if not all(keep) else out
 
 
-def remove_repeated_lines(docs: DataFrame, *, least_lines: int = LEAST_LINES, text: str = "text", doc_id: str = "doc_id", chars: str | None = "n_chars", drop_emptied: bool = False, count: bool = False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int | None = None, text: str = "text", doc_id: str = "doc_id", chars: str | None = "n_chars", drop_emptied: bool = False, count: bool = False) -> DataFrame:
     """``docs`` without the later ones of repeated runs of lines; with ``count``, and ``n_removed`` lines."""
-    found = repeated_lines(docs, least_lines=least_lines, text=text, doc_id=doc_id)
+    found = repeated_lines(docs, least_lines=least_lines, least_words=least_words, text=text, doc_id=doc_id)
     found = saved(found.select(F.col("doc_id").alias("__doc"), F.col("runs").alias("__runs")), "line-cuts")
     n = found.agg(F.coalesce(F.sum(F.size("__runs") + 1), F.lit(0))).first()[0]
     joined = docs.withColumn("__text", F.col(text)).join(F.broadcast(found) if n <= BROADCAST_NUMBERS else found, docs[doc_id].cast("long") == found["__doc"], "left").drop("__doc")
     chars = chars if chars in docs.columns and docs.schema[chars].dataType == T.LongType() else None
     columns = [c for c in docs.columns if not (count and c == "n_removed")]
     schema = T.StructType([*(docs.schema[c] for c in columns), *([T.StructField("n_removed", T.LongType())] if count else [])])
-    return joined.mapInArrow(lambda batches: _cut(batches, least_lines, columns, text, chars, drop_emptied, count), schema)
+    return joined.mapInArrow(lambda batches: _cut(batches, columns, text, chars, drop_emptied, count), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
