@@ -1,17 +1,23 @@
 """Operator 7: licence scan by TF-IDF cosine to templates, and inheritance along paths.
 
-Every line of a text that names a licensing term is compared with each template: sparse
-TF-IDF vectors of words, cosine. The best line at or over ``LEAST_COSINE`` gives the
-file its own licence. A file whose licence lines hold most of its words, or whose name
+A block is a run of lines that have words: a paragraph, a header's comment. In blocks that
+name a licensing term each line, each run of neighbouring lines of up to ``RUN_LENGTHS``
+times the longest template's words and the whole block are compared with each template,
+and so is the whole text: sparse TF-IDF vectors of words, cosine. So a statement wrapped
+over lines is compared as a whole. Of those at or over ``LEAST_COSINE`` that overlap the
+one with the highest cosine counts; the best gives the file its own licence. A file whose
+lines that count hold most of its words, or whose name
 says so (LICENSE, COPYING ...), is a licence file and speaks for its directory. Other
 files take the licence of the nearest directory above them that has one: each directory
 is joined with its ancestors by path, and the deepest with a licence wins.
 
 Document frequencies of the templates' words are counted over all documents; a word of
-no template counts as found in one document.
+no template (a year, a holder's name) weighs as much as the words of the template that it
+is compared with do on average. So the cosine of a line doesn't fall as the table grows.
 
-Scale: lines without a licensing term end in the scan. Only the templates' words and the
-frequencies, a few hundred rows, are broadcast. Ancestors are resolved once for each
+Scale: texts without a licensing term end in the scan; the others are scored where they
+lie, nothing of them is shuffled but a row for each that has a licence. Only the
+templates' words and their frequencies, a few hundred rows, are sent along. Ancestors are resolved once for each
 directory, not for each file, so a directory that a third of all files are in is one row.
 
 Defined cases: a null or empty text has no licence of its own and may inherit one; ties
@@ -22,8 +28,17 @@ scanned each; an empty table gives no rows; extra columns don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sightline.llm.store import saved
 
 # Usual short statements of public licences.
 TEMPLATES = {
@@ -40,9 +55,13 @@ TEMPLATES = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Proprietary": "All rights reserved.",
 }
-#: A line without any of these is no licence line.
+#: A block without any of these holds no licence line.
 TERMS = r"licen[sc]e|copyright|all rights reserved|public domain|\bcc0\b|\bcc by"
+#: The same where a line break or a comment mark stands between the words.
+_WRAPPED_TERMS = TERMS.replace(" ", "[^a-z0-9]+")
 LEAST_COSINE = 0.6
+#: Runs of lines of more words than so many times the longest template can't reach the cosine without repeating it.
+RUN_LENGTHS = 3
 #: A file is a licence file if its licence lines hold this share of its words.
 FILE_SHARE = 0.5
 _WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
@@ -53,46 +72,118 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"))
 
 
-def _template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    rows = spark.createDataFrame(list(templates.items()), "license string, statement string")
-    return rows.select("license", F.explode(_words(F.col("statement"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("tf"))
-
-
-def _idf(documents: Column, found: Column) -> Column:
-    return F.log((documents + 1) / (F.coalesce(found, F.lit(0)) + 1)) + 1
+class Statements:
+    """Templates as vectors, and the weights of words."""
+
+    def __init__(self, templates: dict[str, str], n: int, found: dict[str, int]):
+        counts = {name: Counter(words_of(said)) for name, said in templates.items()}
+        self.weights = {w: math.log((n + 1) / (found.get(w, 0) + 1)) + 1 for w in sorted(set().union(*counts.values()))}
+        self.most_words = RUN_LENGTHS * max((c.total() for c in counts.values()), default=0)
+        # of a word of no template, beside each template: the mean of the template's words
+        self.other = {name: math.fsum(self.weights[w] for w in count) / len(count) for name, count in counts.items() if count}
+        self.least_other = min(self.other.values(), default=1.0)
+        self.vectors = {}
+        for name in sorted(self.other):
+            norm = math.sqrt(math.fsum((k * self.weights[w]) ** 2 for w, k in counts[name].items()))
+            self.vectors[name] = {w: k * self.weights[w] / norm for w, k in counts[name].items()}
+
+    def best(self, tf: dict[str, int], known: float, others: int) -> tuple[float, str] | None:
+        """Cosine (negative) and name of the nearest template at or over the least cosine.
+
+        ``known`` and ``others``: sum of squares of the words of templates, and of the counts of other words.
+        """
+        words = [(w, k * self.weights[w]) for w, k in tf.items() if w in self.weights]
+        found = []
+        for name, vector in self.vectors.items():
+            norm = math.sqrt(known + others * self.other[name] ** 2)
+            found.append((-round(math.fsum(x * vector[w] for w, x in words if w in vector) / norm, 9), name))
+        return min((x for x in found if x[0] <= -LEAST_COSINE), default=None)
+
+    def runs(self, lines: list[list[str]], begin: int, end: int, most: int | None) -> Iterator[tuple[float, str, int, int]]:
+        """(-cosine, template, number of lines, first line) of runs that begin with line ``begin``; of the one that ends at ``end`` where ``most`` is None.
+
+        A run that ends with a line without words of templates is less than the run without that line.
+        """
+        tf: dict[str, int] = {}
+        total, known, others, least = 0, 0.0, 0, LEAST_COSINE * LEAST_COSINE * (1 - 1e-9)
+        for k in range(begin, end):
+            total += len(lines[k])
+            if most is not None and k > begin and total > most:
+                return
+            grown = False
+            for word in lines[k]:
+                had, weight = tf.get(word, 0), self.weights.get(word)
+                tf[word] = had + 1
+                if weight is None:
+                    others += 2 * had + 1
+                else:
+                    known += (2 * had + 1) * weight * weight
+                    grown = True
+            if (grown and most is not None or k == end - 1) and known >= least * (known + others * self.least_other**2) > 0 and (top := self.best(tf, known, others)):
+                yield *top, k + 1 - begin, begin
+
+    def licence(self, text: str) -> tuple[str, float, bool] | None:
+        """Licence and cosine of a text, and whether lines of licences hold most of it."""
+        said = text.split("\n")
+        lines = [words_of(x) for x in said]
+        found, begin, named = [], 0, False
+        while begin < len(lines):
+            end = begin + 1
+            if lines[begin]:
+                while end < len(lines) and lines[end]:
+                    end += 1
+                if _HAS_TERM.search("\n".join(said[begin:end]).lower()):
+                    named = True
+                    for k in range(begin, end):
+                        if not self.weights.keys().isdisjoint(lines[k]):
+                            found += self.runs(lines, k, end, self.most_words)
+                    found += self.runs(lines, begin, end, None)
+            begin = end
+        if named:
+            found += self.runs(lines, 0, len(lines), None)
+        taken, kept = set(), []
+        for less, name, n, first in sorted(found):
+            if taken.isdisjoint(range(first, first + n)):
+                taken.update(range(first, first + n))
+                kept.append((less, name))
+        if not kept:
+            return None
+        return kept[0][1], -kept[0][0], sum(len(lines[k]) for k in taken) >= FILE_SHARE * sum(map(len, lines))
+
+
+_HAS_TERM = re.compile(_WRAPPED_TERMS)
+_WORDS = re.compile(_WORD)
+
+
+def words_of(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
+
+
+def _own(batches: Iterator[pa.RecordBatch], statements: Statements) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [statements.licence(t.as_py()) for t in batch.column("text")]
+        some = [x for x in found if x]
+        columns = zip(*some, strict=True) if some else ((), (), ())
+        made = dict(zip(("name", "cosine", "is_file"), (pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)), strict=True))
+        kept = batch.filter(pa.array([x is not None for x in found], pa.bool_()))
+        yield pa.RecordBatch.from_pydict({"k": kept.column("k"), "path": kept.column("path")} | made)
 
 
 def scan(files: DataFrame, *, templates: dict[str, str] | None = None, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
     """``key``, ``path``, ``license`` and its ``source``: own, directory (inherited) or none, with ``cosine`` and ``from_dir``."""
     spark = files.sparkSession
     files = files.select(F.col(key).alias("k"), F.col(path).alias("path"), F.col(text).alias("text"))
-    statements = _template_rows(spark, templates or TEMPLATES)
-    vocabulary = [r["word"] for r in statements.select("word").distinct().collect()]  # words of the templates
-    # document frequencies, over all documents
-    total = F.count("*").alias("__n")
-    counts = files.select(F.array_intersect(_words(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary))).alias("w"))
-    found = counts.select(F.explode_outer("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    found = {r["word"]: r["df"] for r in found.collect() if r["word"] is not None}  # at most a row per template word
-    n = files.agg(total).first()[0]
-    df = spark.createDataFrame([(w, found.get(w, 0)) for w in sorted(vocabulary)], "word string, df long")
-    weights = df.select("word", _idf(F.lit(n), F.col("df")).alias("idf"))
-    rare = _idf(F.lit(n), F.lit(1))
-    vectors = statements.join(F.broadcast(weights), "word").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = vectors.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vectors = vectors.join(F.broadcast(norms), "license").select("license", "word", (F.col("w") / F.col("norm")).alias("tw"))
-
-    lines = files.filter(F.lower("text").rlike(TERMS)).select("k", "path", F.posexplode(F.split("text", "\n")).alias("line", "said"), F.size(_words(F.col("text"))).alias("size"))
-    lines = lines.filter(F.lower("said").rlike(TERMS)).select("k", "path", "line", "size", _words(F.col("said")).alias("words"))
-    terms = lines.select("k", "path", "line", "size", F.size("words").alias("length"), F.explode("words").alias("word")).groupBy("k", "path", "line", "size", "length", "word").agg(F.count("*").alias("tf"))
-    terms = terms.join(F.broadcast(weights), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
-    line = ["k", "path", "line", "size", "length"]
-    size = Window.partitionBy(*line)
-    terms = terms.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(size)))
-    cosines = terms.join(F.broadcast(vectors), "word").groupBy(*line, "license").agg(F.sum(F.col("w") / F.col("norm") * F.col("tw")).alias("cosine"))
-    cosines = cosines.withColumn("cosine", F.round("cosine", 9)).filter(F.col("cosine") >= LEAST_COSINE)
-    best = cosines.groupBy(*line).agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("top"))
-    own = best.groupBy("k", "path").agg(F.min(F.struct("top.less", "top.license")).alias("top"), F.sum("length").alias("said"), F.max("size").alias("size"))
-    own = own.select("k", "path", F.regexp_replace("top.license", "-short$", "").alias("license"), (-F.col("top.less")).alias("cosine"), (F.col("said") >= FILE_SHARE * F.col("size")).alias("is_file"))
+    templates = templates or TEMPLATES
+    vocabulary = sorted({w for said in templates.values() for w in words_of(said)})
+    # rows (as the empty word) and document frequencies, over all documents
+    counts = files.select(F.array_append(F.array_intersect(_words(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary))), "").alias("w"))
+    found = {r["word"]: r["df"] for r in counts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()}  # at most a row per template word
+    held = spark.sparkContext.broadcast(Statements(templates, found.pop("", 0), found))
+
+    schema = T.StructType([files.schema["k"], files.schema["path"], *(T.StructField(name, t) for name, t in (("name", T.StringType()), ("cosine", T.DoubleType()), ("is_file", T.BooleanType())))])
+    own = files.filter(F.lower("text").rlike(_WRAPPED_TERMS)).mapInArrow(lambda batches: _own(batches, held.value), schema)
+    own = saved(own, "licences").groupBy("k", "path").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "name")).alias("top"), F.max("is_file").alias("is_file"))
+    own = own.select("k", "path", F.regexp_replace("top.name", "-short$", "").alias("license"), (-F.col("top.less")).alias("cosine"), "is_file")
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     speaking = own.filter(F.col("path").isNotNull() & (F.col("is_file") | F.col("path").rlike(_FILE_NAME)))
@@ -103,7 +194,7 @@ def scan(files: DataFrame, *, templates: dict[str, str] | None = None, key: str
     resolved = above.join(speaking.withColumnRenamed("dir", "ancestor"), "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "dir_license")).alias("nearest"))
     resolved = resolved.select("dir", F.col("nearest.ancestor").alias("from_dir"), F.col("nearest.dir_license").alias("dir_license"))
 
-    merged = files.select("k", "path", folder.alias("dir")).join(own.select("k", F.col("path").alias("p"), "license", "cosine").distinct().withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    merged = files.select("k", "path", folder.alias("dir")).join(own.select(F.col("k").alias("k2"), F.col("path").alias("p"), "license", "cosine"), (F.col("k") == F.col("k2")) & F.col("path").eqNullSafe(F.col("p")), "left")
     merged = merged.join(resolved, "dir", "left")
     source = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "directory").otherwise("none")
     return merged.select(

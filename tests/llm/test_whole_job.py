@@ -1,10 +1,11 @@
-"""Cases that an earlier round left out: long passages of one or two lines."""
+"""Cases that an earlier round left out: long passages of few lines, headers in large tables, wrapped licences."""
 
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sightline.llm import line_dedup
+from sightline.llm import licenses, line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,3 +43,28 @@ def test_long_passages_of_few_lines(spark, least):
     assert want[2] == "" and want[3] == "\n".join([own[5], own[6]]) and want[5] == short
     kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, table, "").collect()}
     assert 2 not in kept and 8 not in kept and 15 not in kept and kept[13] == texts[13] and kept[1] == "\n".join(own[2:5])
+
+
+HEADERS = {"Copyright 2021 Acme. Licensed under the Apache License, Version 2.0.": "Apache-2.0", "# Released under the MIT License. See LICENSE.": "MIT"}
+
+
+@pytest.mark.parametrize("n", [200, 200_000])
+def test_headers_have_the_same_licence_in_any_table(spark, n):
+    """The words of the templates stand in the same share of the documents, holder and year in one."""
+    filler = F.when(F.col("id") % 2 == 0, "the work is of this").when(F.col("id") % 25 == 1, "Licensed under the GNU license, version 3 or Apache 2.0").when(F.col("id") % 25 == 3, "released with mit").otherwise("lorem ipsum")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("f/"), "id").alias("path"), filler.alias("text"))
+    heads = spark.createDataFrame([(-1 - i, f"h{i}/x", h + "\n" + said(40, i)) for i, h in enumerate(HEADERS)], "doc_id long, path string, text string")
+    got = licenses.scan(docs.unionByName(heads)).filter("doc_id < 0").orderBy(F.desc("doc_id")).collect()
+    assert [(r.license, r.source) for r in got] == [(x, "own") for x in HEADERS.values()]
+
+
+def test_wrapped_licences(spark):
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and its files.\n * Released under\n * the MIT License.\n */"
+    rows = [
+        (1, "a/1", mit), (2, "a/b/2", said(20, 1)), (3, "c/3", said(30, 2) + "\n# This work is licensed under the\n# GNU General Public\n# License, version 3.\n" + said(30, 3)),
+        (4, "d/4", "// All rights\n// reserved."), (5, "d/e/5", None), (6, "c/6", "no word of it\n" + said(9, 4)), (7, "g/7", "to any person obtaining a copy\n" + said(9, 5)),
+    ]
+    got = sorted((r.doc_id, r.license, r.source, r.from_dir) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert got == [
+        (1, "MIT", "own", None), (2, "MIT", "directory", "a"), (3, "GPL-3.0", "own", None), (4, "Proprietary", "own", None), (5, "Proprietary", "directory", "d"), (6, None, "none", None), (7, None, "none", None),
+    ]
