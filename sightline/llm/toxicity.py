@@ -4,7 +4,9 @@ The lexicon is learned from labelled rows: whole words and stems (first letters
 words) that toxic documents have and others do not. Its entries form a trie. Each word of
 a text gives a Levenshtein automaton, and the automaton and the trie are walked together,
 so that misspelled terms are found without comparing a word with every term. Terms under
-``FUZZY_LETTERS`` letters must be spelled right.
+``FUZZY_LETTERS`` letters must be spelled right. Of a token each run of letters is looked up
+("l'idiot", "you-idiot"), and its letters with the digits and marks between them, where each of
+those is a wrong letter ("id1ot", "st*pid"); the reading with the fewest errors counts.
 
 A hit then gets a score from its context window: between quotation marks, or near a word
 that reports speech, it counts for a part only, so quotation and abuse part. Weights of
@@ -50,6 +52,7 @@ REPORTING = frozenset("said says called calls quoted quote wrote dit a-dit appel
 OPENING, CLOSING = "\"“„«‹", "\"”“»›"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_MASKED = re.compile(r"[^\W\d_].*[^\W\d_]", re.DOTALL)
 
 
 def letters(word: str) -> str:
@@ -62,6 +65,20 @@ def letters(word: str) -> str:
     return (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
 
 
+def runs(word: str) -> list[str]:
+    """All runs of letters of a token, composed and in lower case."""
+    if word.isalpha():
+        return [letters(word)]
+    found = _LETTERS.findall(word if word.isascii() else unicodedata.normalize("NFC", word))
+    return [x.lower() for x in found]
+
+
+def masked(word: str) -> str:
+    """A token from its first letter to its last, with what stands between letters; empty where that is one run."""
+    found = _MASKED.search(word if word.isascii() else unicodedata.normalize("NFC", word))
+    return found[0].lower() if found and not found[0].isalpha() else ""
+
+
 class Trie:
     """Terms by letter; ``ends`` of a node: the term, and whether it is a stem."""
 
@@ -118,7 +135,10 @@ class Hits(dict):
         self.trie = trie
 
     def __missing__(self, word: str) -> tuple[int, int] | None:
-        hit = self.trie.find(x) if len(x := letters(word)) >= 3 else None
+        hits = [hit for x in runs(word) if len(x) >= 3 and (hit := self.trie.find(x))]
+        if not word.isalpha() and not any(hit[1] == 0 for hit in hits) and (x := masked(word)) and (hit := self.trie.find(x)):
+            hits.append(hit)
+        hit = min(hits, key=lambda x: (x[1], x[0])) if hits else None
         if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = hit
@@ -193,7 +213,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, marks = [], []
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text"), strict=True):
             seen: set[str] = set()
-            for word in {letters(w) for w in set((text.as_py() or "").split())}:
+            for word in {x for w in set((text.as_py() or "").split()) for x in runs(w)}:
                 if len(word) >= 3:
                     seen.add(word)
                     seen.update(word[:n] + "*" for n in range(STEM[0], STEM[1] + 1) if len(word) > n)

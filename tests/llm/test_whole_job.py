@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import licenses, line_dedup
+from sightline.llm import licenses, line_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,3 +68,13 @@ def test_wrapped_licences(spark):
     assert got == [
         (1, "MIT", "own", None), (2, "MIT", "directory", "a"), (3, "GPL-3.0", "own", None), (4, "Proprietary", "own", None), (5, "Proprietary", "directory", "d"), (6, None, "none", None), (7, None, "none", None),
     ]
+
+
+def test_whole_tokens_are_read():
+    hits = toxicity.Hits(toxicity.Trie([("idiot", False), ("abruti", False), ("moron", False), ("stupid", True)]))
+    for token in ("l'idiot", "d’abruti", "you-idiot", "well,idiot", "x/idiot", "«idiot»", "12idiot"):
+        assert hits[token] and hits[token][1] == 0, token
+    for token in ("id1ot", "m0ron", "st*pid", "(id1ot)!", "l'idiott"):
+        assert hits[token] and hits[token][1] == 1, token
+    for token in ("", "12'345", "l'ide", "id10t5", "well-known", "m0r0n"):
+        assert hits[token] is None, token
