@@ -9,13 +9,16 @@ Only stretches in which each pair of neighbouring words is a pair of some item a
 streamed; no match can lie outside them. The stretches are found with numpy on word
 hashes, the automaton then works on the words themselves, so results are exact.
 
-Scale: documents are read once and never shuffled. The items are cut by a hash into
-blocks of about ``BLOCK_BYTES``; one block at a time is collected, built and
-broadcast, and the documents carry their spans from block to block.
+Scale: documents are never shuffled. The items are cut by a hash into blocks of about
+``BLOCK_BYTES``, one of which is collected and built at a time; an automaton in sorted arrays takes
+some 25 bytes for each byte of its items. One pass over the documents streams them through up to
+``PASS_BLOCKS`` automata; larger sets of items take more passes, each written before the next.
 
-Defined cases: a null or empty text has no words and no hits; an item without words
+Defined cases: a null or empty text has no words and no hits; an item without words or with a null id
 matches nothing; items with the same text all count; an empty table of items gives no
-hits; extra columns are passed through, and a clash with an output name is replaced.
+hits, an empty one of documents no rows; repeated rows are scanned each. ``find_spans`` passes extra columns through and replaces those
+named as its outputs; ``decontaminate`` keeps all columns, whatever their names. A text is never
+split: one of n bytes takes some 8 n bytes in a worker.
 """
 
 from __future__ import annotations
@@ -24,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.textbytes import ALNUM, Words, buffers, mixed, pieces
+from sightline.llm.store import saved
+from sightline.llm.textbytes import ALNUM, Words, buffers, fresh_name, mixed, pieces, replaced, sliced
 
 WINDOW = 10
 #: Text of items that one automaton holds at most, about.
 BLOCK_BYTES = 2 << 20
+#: Automata that one pass over the documents uses.
+PASS_BLOCKS = 4
 _FILTER_BITS = 20
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -91,6 +98,27 @@ class ItemAutomaton:
             if self.length[state] >= window:
                 self.at_window[state] = self.at_window[up] if self.length[up] >= window else state
         self.pair_filter, self.single_filter = _filter(pairs), _filter(singles) if singles else None
+        self._settle()
+
+    def _settle(self) -> None:
+        """Transitions, links and what each state reports as sorted arrays, several times smaller than dicts and lists."""
+        size = len(self.length)
+        key = np.fromiter((state << 32 | word for state, below in enumerate(self.follow) for word in below), np.int64, sum(map(len, self.follow)))
+        value = np.fromiter((to for below in self.follow for to in below.values()), np.int32, len(key))
+        order = np.argsort(key)
+        self.step_key, self.step_to = key[order], value[order]
+        self.link, self.length, self.at_window = (np.array(x, dtype=np.int32) for x in (self.link, self.length, self.at_window))
+        wanted = set(np.unique(self.at_window).tolist()) - {0}
+        self.items = {s: np.array(self.items[s], dtype=np.int32) for s in wanted}
+        self.short = {s: x for s, x in enumerate(self.short) if x}
+        del self.follow
+        assert size == len(self.length)
+
+    def _next(self, state: int, word: int) -> int:
+        """The state after a word, -1 if there is none."""
+        key = state << 32 | word
+        at = int(self.step_key.searchsorted(key))
+        return int(self.step_to[at]) if at < len(self.step_key) and self.step_key[at] == key else -1
 
     def _extend(self, last: int, word: int) -> int:
         follow, link, length = self.follow, self.link, self.length
@@ -143,7 +171,7 @@ class ItemAutomaton:
 
     def spans(self, words: Words, begin: int, end: int, found: set[int]) -> list[tuple[int, int, int]]:
         """Hit word ranges in a stretch, with the longest match in each; adds the items to ``found``."""
-        follow, link, length = self.follow, self.link, self.length
+        link, length = self.link, self.length
         state = matched = 0
         spans: list[tuple[int, int, int]] = []
         for i in range(begin, end):
@@ -151,17 +179,19 @@ class ItemAutomaton:
             if word is None:
                 state = matched = 0
                 continue
-            while state and word not in follow[state]:
-                state = link[state]
-                matched = length[state]
-            if word in follow[state]:
-                state = follow[state][word]
+            after = self._next(state, word)
+            while state and after < 0:
+                state = int(link[state])
+                matched = int(length[state])
+                after = self._next(state, word)
+            if after >= 0:
+                state = after
                 matched += 1
             reach = 0
             if matched >= self.window:
                 reach = matched
-                found.update(self.items[self.at_window[state]])
-            for size, item in self.short[state]:
+                found.update(self.items[int(self.at_window[state])].tolist())
+            for size, item in self.short.get(state, ()):
                 if size <= matched:
                     found.add(item)
                     reach = max(reach, size)
@@ -197,37 +227,53 @@ def _joined(spans: list[tuple]) -> list[tuple]:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], automaton: ItemAutomaton, more: bool, text: str, kept: list[str]) -> Iterator[pa.RecordBatch]:
-    """Adds the spans and items of one block of items; ``more``: columns of earlier blocks are there."""
+_NAMES = ("first_word", "last_word", "start_byte", "end_byte", "longest")
+
+
+def _hits(words: Words, at: np.ndarray, automata: list[ItemAutomaton]) -> dict[int, tuple[list, set]]:
+    """Spans and item names of each text of a run that has any."""
+    out: dict[int, tuple[list, set]] = {}
+    for automaton in automata:
+        hits: dict[int, tuple[list, set]] = {}
+        for b, e in automaton.stretches(words):
+            doc = int(np.searchsorted(words.first, b, side="right")) - 1
+            mine, found = hits.setdefault(doc, ([], set()))
+            mine += automaton.spans(words, b, e, found)
+        for doc, (mine, found) in hits.items():
+            zero, byte = int(words.first[doc]), int(at[doc])
+            spans, names = out.setdefault(doc, ([], set()))
+            spans += [(i - zero, j - zero, int(words.start[i]) - byte, int(words.end[j]) - byte, k) for i, j, k in mine]
+            names.update(automaton.names[x] for x in found)
+    return out
+
+
+def _scan(batches: Iterator[pa.RecordBatch], held: list, more: bool, text: str, kept: list[str], made: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
+    """Adds spans and items; ``more``: columns of earlier passes are there."""
+    n_words, spans_name, items_name = made
+    automata = [x.value for x in held]
     for batch in batches:
-        raw, offsets = buffers(batch.column(text))
-        counts: list[np.ndarray] = []
-        spans: list[list[tuple]] = batch.column("spans").to_pylist() if more else [[] for _ in range(batch.num_rows)]
-        spans = [[tuple(s.values()) for s in x] for x in spans] if more else spans
-        items: list[list[str]] = batch.column("items").to_pylist() if more else [[] for _ in range(batch.num_rows)]
-        for row, end, part, at in pieces(raw, offsets):
-            words = Words(part, at, ALNUM)
-            counts.append(np.diff(words.first))
-            hits: dict[int, tuple[list, set]] = {}
-            for b, e in automaton.stretches(words):
-                doc = int(np.searchsorted(words.first, b, side="right")) - 1
-                mine, found = hits.setdefault(doc, ([], set()))
-                mine += [(b, i, j, k) for i, j, k in automaton.spans(words, b, e, found)]
-            for doc, (mine, found) in hits.items():
-                zero, byte = int(words.first[doc]), int(at[doc])
-                spans[row + doc] = _joined([*spans[row + doc], *((i - zero, j - zero, int(words.start[i]) - byte, int(words.end[j]) - byte, k) for _, i, j, k in mine)])
-                items[row + doc] = sorted({*items[row + doc], *(automaton.names[x] for x in found)})
-        names = ("first_word", "last_word", "start_byte", "end_byte", "longest")
-        made = {
-            "n_words": pa.array(np.concatenate(counts) if counts else [], pa.int64()),
-            "spans": pa.array([[dict(zip(names, s, strict=True)) for s in x] for x in spans], _SPANS_ARROW),
-            "items": pa.array(items, pa.list_(pa.string())),
-        }
-        yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in kept} | made)
-
-
-def find_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``n_words``, ``spans`` and ``items``.
+        for part in sliced(batch, text):
+            counts: list[np.ndarray] = []
+            spans: list[list[tuple]] = [[tuple(s.values()) for s in x] for x in part.column(spans_name).to_pylist()] if more else [[] for _ in range(part.num_rows)]
+            items: list[list[str]] = part.column(items_name).to_pylist() if more else [[] for _ in range(part.num_rows)]
+            for row, _, data, at in pieces(*buffers(part.column(text))):
+                words = Words(data, at, ALNUM)
+                counts.append(np.diff(words.first))
+                for doc, (mine, names) in _hits(words, at, automata).items():
+                    spans[row + doc] = _joined([*spans[row + doc], *mine])
+                    items[row + doc] = sorted({*items[row + doc], *names})
+            new = {
+                n_words: pa.array(np.concatenate(counts), pa.int64()),
+                spans_name: pa.array([[dict(zip(_NAMES, s, strict=True)) for s in x] for x in spans], _SPANS_ARROW),
+                items_name: pa.array(items, pa.list_(pa.string())),
+            }
+            yield pa.RecordBatch.from_pydict({n: part.column(n) for n in kept} | new)
+
+
+def find_spans(
+    docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, names: tuple[str, str, str] = ("n_words", "spans", "items")
+) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``n_words``, ``spans`` and ``items``, or what ``names`` calls them.
 
     Spans are word and byte ranges of the text, none overlapping or touching another;
     ``longest`` is the longest single match in one. ``items`` are the ids, as sorted strings.
@@ -236,14 +282,23 @@ def find_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).filter("id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans", "items")]
-    df = docs.select(*dict.fromkeys([*keep, text]))
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
-        held = spark.sparkContext.broadcast(ItemAutomaton([(r["id"], r["text"]) for r in block], window))
-        out = keep if k == blocks - 1 else list(dict.fromkeys([*keep, text]))
-        schema = T.StructType([*(df.schema[c] for c in out), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-        df = df.mapInArrow(lambda batches, held=held, k=k, out=out: _scan(batches, held.value, k > 0, text, out), schema)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    source = text
+    if text in names:  # the text's own name is to be an output
+        source = fresh_name("__text", docs.columns)
+        docs = docs.withColumn(source, F.col(text))
+    carried = list(dict.fromkeys([*keep, source]))
+    df = docs.select(*carried)
+    for low in range(0, blocks, PASS_BLOCKS):
+        if low:
+            df = saved(df, "benchmark-pass")
+        held = []
+        for k in range(low, min(low + PASS_BLOCKS, blocks)):
+            block = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
+            held.append(spark.sparkContext.broadcast(ItemAutomaton([(r["id"], r["text"]) for r in block], window)))
+        out = keep if low + PASS_BLOCKS >= blocks else carried
+        schema = T.StructType([*(df.schema[c] for c in out), *(T.StructField(n, kind) for n, kind in zip(names, (T.LongType(), SPANS, T.ArrayType(T.StringType())), strict=True))])
+        df = df.mapInArrow(lambda batches, held=held, more=low > 0, out=out: _scan(batches, held, more, source, out, names), schema)
     return df
 
 
@@ -251,36 +306,39 @@ def hit_words(spans: str = "spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], text: str, out: list[str], least: int, chars: str | None) -> Iterator[pa.RecordBatch]:
+def _without(text: str, spans: list[dict]) -> str:
+    raw, at, parts = text.encode(), 0, []
+    for s in spans:
+        parts.append(raw[at : s["start_byte"]])
+        at = s["end_byte"]
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], text: str, out: list[str], least: int, chars: str | None, spans: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        spans = batch.column("spans").to_pylist()
-        counts = batch.column(chars).to_pylist() if chars else []
-        for i, found in enumerate(spans):
-            if found := [s for s in found if s["longest"] >= least]:
-                raw, at, parts = texts[i].encode(), 0, []
-                for s in found:
-                    parts.append(raw[at : s["start_byte"]])
-                    at = s["end_byte"]
-                texts[i] = b"".join([*parts, raw[at:]]).decode()
-                if chars:
-                    counts[i] = len(texts[i])
-        cut = {text: pa.array(texts, pa.string())} | ({chars: pa.array(counts, pa.int64())} if chars else {})
-        yield pa.RecordBatch.from_pydict({n: cut.get(n, batch.column(n)) for n in out})
+        for part in sliced(batch, text):
+            hit = np.flatnonzero(pc.greater(pc.list_value_length(part.column(spans)), 0).to_numpy(zero_copy_only=False))
+            found = {i: some for i in hit.tolist() if (some := [s for s in part.column(spans)[i].as_py() if s["longest"] >= least])}
+            rows = np.array(list(found), dtype=np.int64)
+            cut = [_without(part.column(text)[i].as_py(), some) for i, some in found.items()]
+            made = {text: replaced(part.column(text), rows, cut)} | ({chars: replaced(part.column(chars), rows, [len(t) for t in cut])} if chars else {})
+            yield pa.RecordBatch.from_pydict({n: made.get(n, part.column(n)) for n in out})
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", window: int = WINDOW, max_match: int = WINDOW, max_coverage: float = 0.5, chars: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without what they share with the items.
 
-    A span goes if its longest match has ``max_match`` words or more. A document goes
+    A span goes if its longest match has ``max_match`` words or more; items with fewer words than that are found but stay
+    unless they make up most of a document, since they may be common phrases (``max_match`` can be lowered to their length). A document goes
     as a whole if such and shorter spans cover more than ``max_coverage`` of its words.
     ``chars`` names a column that holds the text's length and follows it.
     """
     out = docs.columns
-    found = find_spans(docs, items, text=text, window=window, item_id=item_id, item_text=item_text)
-    kept = found.filter(hit_words() <= F.col("n_words") * F.lit(float(max_coverage)))
+    names = tuple(fresh_name(f"__{n}", out) for n in ("n_words", "spans", "items"))
+    found = find_spans(docs, items, text=text, window=window, item_id=item_id, item_text=item_text, names=names)
+    kept = found.filter(hit_words(names[1]) <= F.col(names[0]) * F.lit(float(max_coverage)))
     chars = chars if chars in out and docs.schema[chars].dataType == T.LongType() else None
-    return kept.mapInArrow(lambda batches: _cut(batches, text, out, max_match, chars), docs.schema)
+    return kept.mapInArrow(lambda batches: _cut(batches, text, out, max_match, chars, names[1]), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -34,8 +34,9 @@ are found in rounds that aggregate before they shuffle. The few candidates' text
 shuffled.
 
 Defined cases: a null or empty text has no shingle and links with nothing; a text with
-fewer words than a shingle is one shingle, its whole sequence; repeated ids are looked up
-by id, and each row is returned; an empty table gives no rows; extra columns don't matter.
+fewer words than a shingle is one shingle, its whole sequence; an id is one document, whose text is
+the first in order of its rows' (nulls last), and each row is returned; rows without an id aren't; an
+empty table gives no rows; extra columns don't matter. A text is never split: one of n bytes takes some 16 n bytes in a worker.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ from sightline.llm.textbytes import NOT_SPACE, Words, buffers, mixed, pieces
 
 #: Ids up to which a table of documents is broadcast instead of joined by a shuffle; 16 MB.
 BROADCAST_IDS = 1_000_000
+#: Tasks that the copies of one set are dealt to.
+SALTS = 16
 #: Rows of one region up to which regions with the same members are told to be the same.
 HELD_ROWS = 20_000
 #: Members of a region up to which their sets, and their sketches, are compared with one another in one task.
@@ -394,12 +397,24 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
 
     Linked are documents whose shingle sets have ``100 * shared >= percent * union``.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    all_docs = saved(docs.filter("doc_id is not null").mapInArrow(lambda batches: _summaries(batches, shingle), "doc_id long, n long, one long, two long"), "set-sums")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    summaries = "doc_id long, n long, one long, two long"
+    all_docs = saved(docs.mapInArrow(lambda batches: _summaries(batches, shingle), summaries), "set-sums")
+    ids_of_rows = all_docs.select("doc_id")
+    whole_set = F.struct("n", "one", "two")
+    unlike = saved(all_docs.groupBy("doc_id").agg(F.min(whole_set).alias("low"), F.max(whole_set).alias("high")).filter("low <> high").select("doc_id"), "unlike-rows")
+    if n_unlike := unlike.count():  # ids with several texts: the first of these in order counts
+        chosen = saved(_semi(docs, unlike, n_unlike, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "chosen-texts")
+        docs = _semi(docs, unlike, n_unlike, "left_anti").unionByName(chosen)
+        again = chosen.mapInArrow(lambda batches: _summaries(batches, shingle), summaries)
+        all_docs = saved(_semi(all_docs, unlike, n_unlike, "left_anti").unionByName(again), "set-sums")
     same = all_docs.filter("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
-    copies = saved(all_docs.join(same, ["n", "one", "two"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "set-copies")
+    # a set that a third of all documents have is dealt to several tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    salted = same.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    copies = saved(all_docs.select("*", salt).join(salted, ["n", "one", "two", "salt"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "set-copies")
     apart = all_docs.filter("n = 0").select("doc_id").unionByName(copies.select("doc_id"))
-    singles = _semi(docs.filter("doc_id is not null"), apart, apart.count(), "left_anti")
+    singles = _semi(docs, apart, apart.count(), "left_anti")
     rows = singles.mapInArrow(lambda batches: _region_rows(batches, shingle, percent), "region long, doc_id long")
     regions = saved(_meeting(rows), "regions")
 
@@ -491,6 +506,8 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         _drop_all(spent)
 
     direct = all_docs.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    if n_unlike:
+        direct = ids_of_rows.join(direct.distinct(), "doc_id")
     return direct.join(found, direct.rep == found.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -1,17 +1,21 @@
-"""Words of many texts at once, as numpy views of Arrow string buffers."""
+"""Words of many texts at once, as numpy views of Arrow string buffers.
+
+A text is never split between runs: one of n bytes takes about 8 n bytes in a worker while its words are looked at.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at a time: bounds the temporary arrays to some tens of MB.
 CHUNK_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
@@ -68,20 +72,69 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> Ite
         row = end
 
 
-_powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+#: Bytes from which a hash is taken by BLAKE2b, range by range, instead of in blocks over all ranges.
+_LONG = 512
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, *, wide: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte range; with ``wide`` two of them, in a second dimension.
+
+    Blocks of eight bytes go one after the other through a mix that isn't linear in them, so that
+    no pair of unlike texts is known to get the same hash.
+    """
+    size = end - start
+    seeds = (_P, _MIX) if wide else (_P,)
+    out = [mixed((size.astype(np.uint64) + np.uint64(1)) * seed) for seed in seeds]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left, at = np.flatnonzero((size > 0) & (size < _LONG)), 0
+    while len(left):
+        block = blocks[start[left] + at]
+        rest = size[left] - at
+        short = rest < 8
+        block[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        for one, seed in zip(out, seeds, strict=True):
+            one[left] = mixed((one[left] ^ block) * seed + np.uint64(at + 1))
+        at += 8
+        left = left[rest > 8]
+    for i in np.flatnonzero(size >= _LONG):
+        made = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest(), "<u8")
+        for one, value in zip(out, made, strict=False):
+            one[i] = value
+    return np.stack(out, axis=1) if wide else out[0]
+
+
+def sliced(batch: pa.RecordBatch, *columns: str, size: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows of a batch whose given columns hold about ``size`` bytes, and a row at least."""
+    if not batch.num_rows:
+        return
+    total = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in columns:
+        length = pc.binary_length(batch.column(c))
+        total += np.nan_to_num(length.to_numpy(zero_copy_only=False)).astype(np.int64)
+    ends, row = np.cumsum(total), 0
+    while row < batch.num_rows:
+        before = ends[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(row, end - row)
+        row = end
+
+
+def replaced(column: pa.Array, rows: np.ndarray, values: list) -> pa.Array:
+    """A column with other values in the given rows; the rest isn't turned into Python objects."""
+    if not len(rows):
+        return column
+    mask = np.zeros(len(column), dtype=bool)
+    mask[rows] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array(values, column.type))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base and of its inverse, modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        made = []
-        for base in (_P, _P_INVERSE):
-            steps = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        _powers = tuple(made)
-    return _powers[0][:n], _powers[1][:n]
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, longer by as many marks as it needs to be none of the taken ones."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 class Words:
@@ -103,10 +156,7 @@ class Words:
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        up, down = powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * up[:-1], out=total[1:])
-        self.hash = mixed((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = hashes(self.data, self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
