@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, a temporary one, in local mode only."""
     base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sightline-')}"
         spark.conf.set(_KEY, base)
         spark.sparkContext.setCheckpointDir(base)

@@ -16,8 +16,10 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker keeps at most; beyond it the table starts again.
-KEPT_WORDS = 250_000
+#: Words whose ids a worker keeps at most, beyond which the table starts again, and letters of such a word.
+KEPT_WORDS, KEPT_LETTERS = 200_000, 64
+#: Letters of a text that are split into words at a time.
+_PART = 1 << 20
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: A character that normalisation may change or join with another.
 _COMPOSING = regex.compile(r"[^\u0000-\u02FF]").search
@@ -52,22 +54,32 @@ class WordIds(dict):
             ids = found[0] if len(found) == 1 else b"".join(found)
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = ids
+        if len(word) <= KEPT_LETTERS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
         spelled = part.encode().decode("latin-1").translate(self.letters)
         ids = array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
-        if len(self.parts) >= KEPT_WORDS:
-            self.parts.clear()
-        self.parts[part] = ids
+        if len(part) <= KEPT_LETTERS:
+            if len(self.parts) >= KEPT_WORDS:
+                self.parts.clear()
+            self.parts[part] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text; none for a null."""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        text, found, at = text.replace("\n", " "), [], 0
+        while at < len(text):
+            end = text.find(" ", at + _PART)
+            end = len(text) if end < 0 else end
+            found.append(b"".join(map(self.__getitem__, text[at:end].split(" "))))
+            at = end
+        return b"".join(found)
 
 
 @functools.cache

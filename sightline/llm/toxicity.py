@@ -18,7 +18,8 @@ a bounded table. Broadcast are at most ``LEXICON_TERMS`` terms and a few weights
 Defined cases: a null or empty text has no hit and gets the score of texts without hits;
 repeated rows each get the same score; labels without their document and null labels are
 left out; without labels of both kinds the lexicon is empty and the score is the share
-of toxic labels (0 if none); extra columns don't matter.
+of toxic labels (0.5 if none); an empty table gives no rows; extra columns don't matter, whatever
+their names. A text is read in parts of a million letters, so a very long one takes no more room.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.llm.quality import crc32_of_id, labelled_sample
+from sightline.llm.textbytes import fresh_name
 
 #: Labelled rows that lexicon and weights are fitted on at most, half of each label where there are enough.
 TRAIN_ROWS = 6000
@@ -44,13 +47,16 @@ ERRORS = 1
 PURITY, SUPPORT, SUPPORT_SHARE = 0.97, 3, 0.02
 #: Words either way that a context window spans.
 CONTEXT = 8
-#: Words whose hits a worker keeps at most.
-KEPT_WORDS = 400_000
+#: Words whose hits a worker keeps at most, and letters of such a word.
+KEPT_WORDS, KEPT_LETTERS = 200_000, 64
+#: Letters of a text that are split into words at a time.
+_PART = 1 << 20
 
 # Words that report speech, in the corpus' four languages, and quotation marks.
 REPORTING = frozenset("said says called calls quoted quote wrote dit a-dit appelé cité sagte nannte zitiert schrieb dijo llamó citó escribió".split())
 OPENING, CLOSING = "\"“„«‹", "\"”“»›"
 
+_SPACE = re.compile(r"\s")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_].*[^\W\d_]", re.DOTALL)
 
@@ -139,30 +145,46 @@ class Hits(dict):
         if not word.isalpha() and not any(hit[1] == 0 for hit in hits) and (x := masked(word)) and (hit := self.trie.find(x)):
             hits.append(hit)
         hit = min(hits, key=lambda x: (x[1], x[0])) if hits else None
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = hit
+        if len(word) <= KEPT_LETTERS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = hit
         return hit
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Exact, misspelled and quoted hits, the last at a part of their number."""
-        if not text:
-            return 0.0, 0.0, 0.0
-        words = text.split()
-        found = list(map(self.__getitem__, words))
         exact = fuzzy = quoted = 0
-        if any(found):
-            for i, hit in enumerate(found):
-                if hit:
-                    if in_quotation(words, i):
-                        quoted += 1
-                    elif hit[1]:
-                        fuzzy += 1
-                    else:
-                        exact += 1
+        for words, first, end in word_parts(text or ""):
+            found = list(map(self.__getitem__, words))
+            if any(found[first:end]):
+                for i in range(first, end):
+                    if hit := found[i]:
+                        if in_quotation(words, i):
+                            quoted += 1
+                        elif hit[1]:
+                            fuzzy += 1
+                        else:
+                            exact += 1
         return float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quoted))
 
 
+def word_parts(text: str, size: int = _PART) -> Iterator[tuple[list[str], int, int]]:
+    """The words of a text in parts, each with ``CONTEXT`` words of its neighbours: the words, the first of the part's own, the one after its last."""
+    at, before = 0, []
+    while at < len(text):
+        end = _part_end(text, at, size)
+        own = text[at:end].split()
+        after = text[end : _part_end(text, end, 80 * CONTEXT)].split()[:CONTEXT] if end < len(text) else []
+        yield [*before, *own, *after], len(before), len(before) + len(own)
+        at, before = end, [*before, *own][-CONTEXT:]
+
+
+def _part_end(text: str, at: int, size: int) -> int:
+    """A place after ``at + size`` letters at which a word ends, or the text's end."""
+    found = _SPACE.search(text, at + size) if at + size < len(text) else None
+    return found.start() if found else len(text)
+
+
 def in_quotation(words: list[str], i: int) -> bool:
     """Whether the window before word i opens a quotation that it doesn't close, or reports speech with quotation marks about."""
     before, after = words[max(0, i - CONTEXT) : i], words[i + 1 : i + 1 + CONTEXT]
@@ -266,34 +288,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train, rows
     return judge.fit(x, y, ratio)
 
 
-def _score(batches: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], judge: Judge, text: str) -> Iterator[pa.RecordBatch]:
     hits = Hits(judge.trie)
     for batch in batches:
-        score = [judge.score(hits.features(t.as_py())) for t in batch.column(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names[:-1]} | {"score": pa.array(score, pa.float64())})
+        score = [judge.score(hits.features(t.as_py())) for t in batch.column(text)]
+        yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names if n != text} | {"score": pa.array(score, pa.float64())})
 
 
 def score_toxicity(docs: DataFrame, judge: Judge, *, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of each document, and its ``score``."""
+    """The columns ``keep`` of each document, and its ``score`` (in place of a column of that name)."""
     held = docs.sparkSession.sparkContext.broadcast(judge)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep)
-    return rows.mapInArrow(lambda batches: _score(batches, held.value), f"{kinds}, score double")
+    keep = [n for n in keep if n != "score"]
+    said = fresh_name("__text", keep)
+    rows = docs.select(*keep, F.col(text).alias(said))
+    schema = T.StructType([*(rows.schema[n] for n in keep), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(lambda batches: _score(batches, held.value, said), schema)
 
 
 def reject_toxic(docs: DataFrame, judge: Judge, *, limit: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` without those that score ``limit`` or more."""
-    columns = docs.columns
-    clash = "__toxicity"
     held = docs.sparkSession.sparkContext.broadcast(judge)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = Hits(held.value.trie)
         for batch in batches:
-            keep = [held.value.score(hits.features(t.as_py())) < limit for t in batch.column(clash)]
-            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+            keep = [held.value.score(hits.features(t.as_py())) < limit for t in batch.column(text)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn(clash, F.col(text)).mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
