@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.llm.batches import lean
 from sightline.llm.store import saved
 from sightline.llm.textbytes import ALNUM, Words, buffers, fresh_name, mixed, pieces, replaced, sliced
 
@@ -298,7 +299,7 @@ def find_spans(
             held.append(spark.sparkContext.broadcast(ItemAutomaton([(r["id"], r["text"]) for r in block], window)))
         out = keep if low + PASS_BLOCKS >= blocks else carried
         schema = T.StructType([*(df.schema[c] for c in out), *(T.StructField(n, kind) for n, kind in zip(names, (T.LongType(), SPANS, T.ArrayType(T.StringType())), strict=True))])
-        df = df.mapInArrow(lambda batches, held=held, more=low > 0, out=out: _scan(batches, held, more, source, out, names), schema)
+        df = df.mapInArrow(lean(lambda batches, held=held, more=low > 0, out=out: _scan(batches, held, more, source, out, names)), schema)
     return df
 
 
@@ -338,7 +339,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", wind
     found = find_spans(docs, items, text=text, window=window, item_id=item_id, item_text=item_text, names=names)
     kept = found.filter(hit_words(names[1]) <= F.col(names[0]) * F.lit(float(max_coverage)))
     chars = chars if chars in out and docs.schema[chars].dataType == T.LongType() else None
-    return kept.mapInArrow(lambda batches: _cut(batches, text, out, max_match, chars, names[1]), docs.schema)
+    return kept.mapInArrow(lean(lambda batches: _cut(batches, text, out, max_match, chars, names[1])), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.llm.batches import lean
 from sightline.llm.graph import components
 from sightline.llm.store import drop, saved
 from sightline.llm.textbytes import NOT_SPACE, Words, buffers, mixed, pieces
@@ -379,7 +380,7 @@ def _join_inside(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
 def _meeting(rows: DataFrame) -> DataFrame:
     """Members of regions that have several; regions with the same members are one."""
     dealt = rows.repartition("region").sortWithinPartitions("region")
-    return dealt.mapInArrow(_shared_regions, "region long, doc_id long, members long").distinct()
+    return dealt.mapInArrow(lean(_shared_regions), "region long, doc_id long, members long").distinct()
 
 
 def _drop_all(tables: list[DataFrame]) -> None:
@@ -399,14 +400,14 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     summaries = "doc_id long, n long, one long, two long"
-    all_docs = saved(docs.mapInArrow(lambda batches: _summaries(batches, shingle), summaries), "set-sums")
+    all_docs = saved(docs.mapInArrow(lean(lambda batches: _summaries(batches, shingle)), summaries), "set-sums")
     ids_of_rows = all_docs.select("doc_id")
     whole_set = F.struct("n", "one", "two")
     unlike = saved(all_docs.groupBy("doc_id").agg(F.min(whole_set).alias("low"), F.max(whole_set).alias("high")).filter("low <> high").select("doc_id"), "unlike-rows")
     if n_unlike := unlike.count():  # ids with several texts: the first of these in order counts
         chosen = saved(_semi(docs, unlike, n_unlike, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "chosen-texts")
         docs = _semi(docs, unlike, n_unlike, "left_anti").unionByName(chosen)
-        again = chosen.mapInArrow(lambda batches: _summaries(batches, shingle), summaries)
+        again = chosen.mapInArrow(lean(lambda batches: _summaries(batches, shingle)), summaries)
         all_docs = saved(_semi(all_docs, unlike, n_unlike, "left_anti").unionByName(again), "set-sums")
     same = all_docs.filter("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
     # a set that a third of all documents have is dealt to several tasks
@@ -415,7 +416,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
     copies = saved(all_docs.select("*", salt).join(salted, ["n", "one", "two", "salt"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "set-copies")
     apart = all_docs.filter("n = 0").select("doc_id").unionByName(copies.select("doc_id"))
     singles = _semi(docs, apart, apart.count(), "left_anti")
-    rows = singles.mapInArrow(lambda batches: _region_rows(batches, shingle, percent), "region long, doc_id long")
+    rows = singles.mapInArrow(lean(lambda batches: _region_rows(batches, shingle, percent)), "region long, doc_id long")
     regions = saved(_meeting(rows), "regions")
 
     ids = saved(regions.select("doc_id").distinct(), "candidates")
@@ -425,11 +426,11 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         of_pivot = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text"))
         return pairs.join(texts, "doc_id").join(of_pivot, "pivot").select("pivot", "doc_id", "text", "pivot_text")
 
-    sketches = saved(texts.mapInArrow(lambda batches: _sketches(batches, shingle, percent), "doc_id long, n long, sketch binary"), "sketches")
+    sketches = saved(texts.mapInArrow(lean(lambda batches: _sketches(batches, shingle, percent)), "doc_id long, n long, sketch binary"), "sketches")
 
     def possible(pairs: DataFrame) -> DataFrame:
         of_pivot = sketches.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
-        return pairs.join(sketches, "doc_id").join(of_pivot, "pivot").mapInArrow(lambda batches: _possible(batches, percent), "doc_id long, pivot long")
+        return pairs.join(sketches, "doc_id").join(of_pivot, "pivot").mapInArrow(lean(lambda batches: _possible(batches, percent)), "doc_id long, pivot long")
 
     def placed(members: DataFrame, *more: str) -> DataFrame:
         known = found.select(F.col("node").alias("doc_id"), "component")
@@ -455,7 +456,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         members = saved(regions.join(pivots, "region").select("region", "doc_id", "pivot"), "members")
         pairs = members.select("doc_id", "pivot").unionByName(asked).filter("doc_id <> pivot").distinct()
         pairs = saved(possible(pairs), "possible-pairs")
-        links = saved(with_texts(pairs).mapInArrow(lambda batches: _linked(batches, shingle, percent), "a long, b long"), "links")
+        links = saved(with_texts(pairs).mapInArrow(lean(lambda batches: _linked(batches, shingle, percent)), "a long, b long"), "links")
         found = joined(found, links)
         # regions whose members are not all in one component
         now = saved(placed(members, "pivot"), "placed")
@@ -466,12 +467,12 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
             _drop_all(spent)
             break
         open_ = now.join(several.filter(F.col("n") <= SKETCHED_INSIDE).select("region"), "region").join(sketches, "doc_id").select("region", "doc_id", "pivot", "component", "n", "sketch")
-        open_ = open_.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: _with_partner(batches, percent), "region long, doc_id long, pivot long, component long, n long")
+        open_ = open_.repartition("region").sortWithinPartitions("region").mapInArrow(lean(lambda batches: _with_partner(batches, percent)), "region long, doc_id long, pivot long, component long, n long")
         open_ = saved(open_, "open-members")
         fits = (F.count("*") <= JOINED_INSIDE) & ((F.sum("n") <= HELD_SHINGLES) | (F.count("*") <= FEW))
         sizes = open_.groupBy("region").agg(fits.alias("fits"))
         small = open_.join(sizes.filter("fits").select("region"), "region").join(texts, "doc_id").select("region", "doc_id", "component", "text")
-        inside = small.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: _join_inside(batches, shingle, percent), "a long, b long")
+        inside = small.repartition("region").sortWithinPartitions("region").mapInArrow(lean(lambda batches: _join_inside(batches, shingle, percent)), "a long, b long")
         inside = saved(inside, "links")
         found = joined(found, inside)
         spent += [open_, inside]
@@ -483,7 +484,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         apart_rows = now.join(large, "region").select("pivot", "doc_id").unionByName(open_.join(large_left, "region").select("pivot", "doc_id"))
         # differences of the members of large regions to what most around their pivot hold
         apart_pairs = apart_rows.filter("doc_id <> pivot").distinct()
-        differ = saved(with_texts(apart_pairs).mapInArrow(lambda batches: _differences(batches, shingle, percent), "pivot long, doc_id long, own array<long>, missing array<long>, most int"), "differences")
+        differ = saved(with_texts(apart_pairs).mapInArrow(lean(lambda batches: _differences(batches, shingle, percent)), "pivot long, doc_id long, own array<long>, missing array<long>, most int"), "differences")
         around = differ.groupBy("pivot").agg(F.count("*").alias("n"))
         each = differ.select("pivot", F.explode("own").alias("e"), F.lit(True).alias("is_own")).unionByName(differ.select("pivot", F.explode("missing").alias("e"), F.lit(False).alias("is_own")))
         usual = each.groupBy("pivot", "e", "is_own").agg(F.count("*").alias("m")).join(around, "pivot").filter(2 * F.col("m") > F.col("n"))

@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.llm.batches import lean
 from sightline.llm.store import saved
 
 # Usual short statements of public licences.
@@ -181,7 +182,7 @@ def scan(files: DataFrame, *, templates: dict[str, str] | None = None, key: str
     held = spark.sparkContext.broadcast(Statements(templates, found.pop("", 0), found))
 
     schema = T.StructType([files.schema["k"], files.schema["path"], *(T.StructField(name, t) for name, t in (("name", T.StringType()), ("cosine", T.DoubleType()), ("is_file", T.BooleanType())))])
-    own = files.filter(F.lower("text").rlike(_WRAPPED_TERMS)).mapInArrow(lambda batches: _own(batches, held.value), schema)
+    own = files.filter(F.lower("text").rlike(_WRAPPED_TERMS)).mapInArrow(lean(lambda batches: _own(batches, held.value)), schema)
     own = saved(own, "licences").groupBy("k", "path").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "name")).alias("top"), F.max("is_file").alias("is_file"))
     own = own.select("k", "path", F.regexp_replace("top.name", "-short$", "").alias("license"), (-F.col("top.less")).alias("cosine"), "is_file")
 

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.llm.batches import lean
 from sightline.llm.store import saved
 from sightline.llm.textbytes import buffers, byte_set, fresh_name, hashes, mixed, pieces, replaced, sliced
 
@@ -154,7 +155,7 @@ def matches(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int
     if least_lines < LEAST_LINES:
         raise ValueError(f"winnowing guarantees runs of {LEAST_LINES} lines or more")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    found = saved(rows.mapInArrow(lambda batches: _candidates(batches, least_lines, least_words), _FOUND), "line-prints")
+    found = saved(rows.mapInArrow(lean(lambda batches: _candidates(batches, least_lines, least_words)), _FOUND), "line-prints")
     at = F.struct("doc_id", "place")
     prints = found.groupBy("print").agg(F.min(at).alias("low"), F.max(at).alias("high")).filter("low <> high").select("print")
     matched = found.filter("not done").join(prints, "print").select("run", "run2", "doc_id", "line", "size")
@@ -208,7 +209,7 @@ def remove_repeated_lines(docs: DataFrame, *, least_lines: int = LEAST_LINES, le
     chars = chars if chars in docs.columns and docs.schema[chars].dataType == T.LongType() else None
     schema = [docs.schema[c] for c in docs.columns if not (count and c == "n_removed")] + ([T.StructField("n_removed", T.LongType())] if count else [])
     columns = [field.name for field in schema]
-    return joined.mapInArrow(lambda batches: _cut(batches, columns, text, chars, drop_emptied, "n_removed" if count else None, runs), T.StructType(schema))
+    return joined.mapInArrow(lean(lambda batches: _cut(batches, columns, text, chars, drop_emptied, "n_removed" if count else None, runs)), T.StructType(schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

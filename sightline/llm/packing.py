@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.llm.batches import lean
 from sightline.llm.store import saved
 from sightline.llm.tokens import default_tokenizer, word_ids
 
@@ -118,7 +119,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, en
 def cut(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents: place, length and checksum of their ids."""
     tokenizer = tokenizer or default_tokenizer()
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lambda batches: _encode(batches, tokenizer, capacity, end_id), PIECES)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(lambda batches: _encode(batches, tokenizer, capacity, end_id), words=True), PIECES)
 
 
 def _place(batches: Iterator[pa.RecordBatch], plan: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def pack(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokeniz
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     numbered = dealt.withColumn("row", F.row_number().over(inside)).join(bases, ["length", "bucket"])
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("row") - 1).alias("number"))
-    return numbered.mapInArrow(lambda batches: _place(batches, plan.value), f"{PIECES}, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(lambda batches: _place(batches, plan.value)), f"{PIECES}, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.llm.batches import lean
 from sightline.llm.textbytes import NOT_SPACE, Words, buffers, mixed, pieces
 
 #: Labelled rows, half of each label where there are enough, that the classifier is fitted on at most.
@@ -176,7 +177,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train: Column, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Voters:
-    frequency = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    frequency = docs.select(F.col(text).alias("text")).mapInArrow(lean(_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     n = {r["feature"]: r["n"] for r in frequency}
     idf = np.log((1 + n.get(-1, 0)) / (1 + np.array([n.get(i, 0) for i in range(FEATURES)]))).astype(np.float32) + 1
     sample, share = labelled_sample(docs, labels, label, train, rows, doc_id=doc_id, text=text)
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train: Co
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "y": part.column("y"), "counts": pa.array([x.astype(np.float32).tobytes() for x in counts], pa.binary())})
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(counted, f"doc_id {kind}, y int, counts binary").orderBy("doc_id").collect()
+    got = sample.mapInArrow(lean(counted), f"doc_id {kind}, y int, counts binary").orderBy("doc_id").collect()
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in got), np.float32).reshape(len(got), FEATURES)
     return Voters(counts, np.array([r["y"] for r in got], dtype=np.float32), idf, share)
 
@@ -198,7 +199,7 @@ def score_quality(docs: DataFrame, voters: Voters, *, doc_id: str = "doc_id", te
     held = docs.sparkSession.sparkContext.broadcast(voters)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _score(batches, held.value), f"doc_id {kind}, score double")
+    return rows.mapInArrow(lean(lambda batches: _score(batches, held.value)), f"doc_id {kind}, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

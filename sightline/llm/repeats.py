@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.llm.batches import lean
 from sightline.llm.store import saved
 from sightline.llm.textbytes import BYTE_VALUES, buffers, mixed, pieces
 
@@ -246,7 +247,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("mark").sortWithinPartitions("mark").mapInArrow(_settle, _FOUND)
+    return rows.repartition("mark").sortWithinPartitions("mark").mapInArrow(lean(_settle), _FOUND)
 
 
 def _with_texts(docs: DataFrame, found: DataFrame, items: int, how: str) -> DataFrame:
@@ -257,20 +258,20 @@ def _with_texts(docs: DataFrame, found: DataFrame, items: int, how: str) -> Data
 def repeated_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """doc_id and ``places`` (start * 256 + bytes over ``length``): spans, overlapping ones too, each covered by repeated strings."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    found = saved(_sorted(docs.filter(F.octet_length("text") >= length).mapInArrow(lambda batches: _units(batches, length), _ROWS)), "repeat-units")
+    found = saved(_sorted(docs.filter(F.octet_length("text") >= length).mapInArrow(lean(lambda batches: _units(batches, length)), _ROWS)), "repeat-units")
     contested = found.filter(~F.col("repeated"))
     n = contested.count()
     spans = found.filter("repeated").select("doc_id", "place")
     if n:
         by_doc = contested.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-        contexts = _with_texts(docs, by_doc, n, "inner").select("doc_id", "text", "places").mapInArrow(lambda batches: _contexts(batches, length), "mark long, doc_id long, place long, bytes binary")
-        told = saved(contexts.repartition("mark").sortWithinPartitions("mark").mapInArrow(lambda batches: _settle_windows(batches, length), _FOUND), "repeat-windows")
+        contexts = _with_texts(docs, by_doc, n, "inner").select("doc_id", "text", "places").mapInArrow(lean(lambda batches: _contexts(batches, length)), "mark long, doc_id long, place long, bytes binary")
+        told = saved(contexts.repartition("mark").sortWithinPartitions("mark").mapInArrow(lean(lambda batches: _settle_windows(batches, length)), _FOUND), "repeat-windows")
         spans = spans.unionByName(told.filter("repeated").select("doc_id", "place"))
         left = told.filter(~F.col("repeated"))
         n = left.count()
         if n:
             by_doc = left.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-            windows = _with_texts(docs, by_doc, n, "inner").select("doc_id", "text", "places").mapInArrow(lambda batches: _windows(batches, length), _ROWS)
+            windows = _with_texts(docs, by_doc, n, "inner").select("doc_id", "text", "places").mapInArrow(lean(lambda batches: _windows(batches, length)), _ROWS)
             spans = spans.unionByName(_sorted(windows).filter("repeated").select("doc_id", "place"))
     return spans.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
@@ -311,6 +312,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: what is left of each document's bytes without repeated strings of 100 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    spans = saved(repeated_spans(docs).mapInArrow(_shorten, "doc_id long, spans array<long>"), "repeat-spans")
+    spans = saved(repeated_spans(docs).mapInArrow(lean(_shorten), "doc_id long, spans array<long>"), "repeat-spans")
     items = spans.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
-    return _with_texts(docs, spans, items, "left").select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_texts(docs, spans, items, "left").select("doc_id", "text", "spans").mapInArrow(lean(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.llm.batches import lean
 from sightline.llm.store import new_path, saved
 from sightline.llm.tokens import default_tokenizer, word_ids
 
@@ -99,7 +100,7 @@ def write_tokens(docs: DataFrame, folder: str, *, text: str = "text", doc_id: st
     """Writes record and index files into ``folder`` (a URI); returns a row per file, with ``start``: ids before it."""
     tokenizer = tokenizer or default_tokenizer()
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = saved(dealt.mapInArrow(lambda batches: _write(batches, folder, tokenizer, end_id), MANIFEST), "token-files")
+    files = saved(dealt.mapInArrow(lean(lambda batches: _write(batches, folder, tokenizer, end_id), words=True), MANIFEST), "token-files")
     before = Window.orderBy("first_doc", "file").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
@@ -150,7 +151,7 @@ def read_digests(files: DataFrame) -> DataFrame:
     """Per document, read back through the index: place among all ids, number of ids and their checksum."""
     n = files.sparkSession.sparkContext.defaultParallelism
     dealt = files.select("file", "start").repartition(n, "file")
-    return dealt.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

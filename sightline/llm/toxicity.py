@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.llm.batches import lean
 from sightline.llm.quality import crc32_of_id, labelled_sample
 from sightline.llm.textbytes import fresh_name
 
@@ -249,7 +250,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return []
-    keys = sample.select("y", "text").mapInArrow(_keys, "key string, y int").groupBy("key").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    keys = sample.select("y", "text").mapInArrow(lean(_keys), "key string, y int").groupBy("key").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
     clean = (F.col("n") - F.col("toxic")) / totals[0]
     share = F.col("toxic") / totals[1]
     pure = keys.filter((F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * totals[1])) & (share >= PURITY * (share + clean)) & (F.length("key") >= 4))
@@ -280,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train, rows
             columns = list(zip(*x, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_pydict({"y": batch.column("y")} | {n: pa.array(c, pa.float64()) for n, c in zip(("exact", "fuzzy", "quoted"), columns, strict=True)})
 
-    got = sample.select("y", "text").mapInArrow(counted, "y int, exact double, fuzzy double, quoted double").orderBy("y", "exact", "fuzzy", "quoted").collect()
+    got = sample.select("y", "text").mapInArrow(lean(counted), "y int, exact double, fuzzy double, quoted double").orderBy("y", "exact", "fuzzy", "quoted").collect()
     x = np.array([(r["exact"], r["fuzzy"], r["quoted"]) for r in got]).reshape(-1, 3)
     y = np.array([r["y"] for r in got], dtype=float)
     drawn = y.mean() if len(y) else 0
@@ -302,7 +303,7 @@ def score_toxicity(docs: DataFrame, judge: Judge, *, keep: list[str], text: str
     said = fresh_name("__text", keep)
     rows = docs.select(*keep, F.col(text).alias(said))
     schema = T.StructType([*(rows.schema[n] for n in keep), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(lambda batches: _score(batches, held.value, said), schema)
+    return rows.mapInArrow(lean(lambda batches: _score(batches, held.value, said)), schema)
 
 
 def reject_toxic(docs: DataFrame, judge: Judge, *, limit: float = 0.5, text: str = "text") -> DataFrame:
@@ -315,7 +316,7 @@ def reject_toxic(docs: DataFrame, judge: Judge, *, limit: float = 0.5, text: str
             keep = [held.value.score(hits.features(t.as_py())) < limit for t in batch.column(text)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.llm.batches import lean
 from sightline.llm.store import drop, saved
 
 SAMPLE = 20_000
@@ -193,7 +194,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "
     tree = Tree(sample, min(n // LEAF_ROWS, len(sample) // SAMPLE_PER_LEAF))
     held = spark.sparkContext.broadcast(tree)
     kind = rows.schema["vector"].dataType.simpleString()
-    assigned = saved(rows.select("vec_id", "vector").mapInArrow(lambda batches: _assign(batches, held.value), f"vec_id long, vector {kind}, leaf int"), "tree-leaves")
+    assigned = saved(rows.select("vec_id", "vector").mapInArrow(lean(lambda batches: _assign(batches, held.value)), f"vec_id long, vector {kind}, leaf int"), "tree-leaves")
     count = {r["leaf"]: r["n"] for r in assigned.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf, SAMPLE at most
     # a leaf's rows meet in a task, in blocks: large leaves are spread
     blocks = spark.createDataFrame([(leaf, -(-m // BLOCK_ROWS)) for leaf, m in count.items()], "leaf int, blocks long")
@@ -209,7 +210,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "
             for leaf in visit(q):
                 by_leaf.setdefault(leaf, []).append(i)
         sent = spark.sparkContext.broadcast((ids, held_queries, {leaf: np.array(x) for leaf, x in by_leaf.items()}))
-        return placed.mapInArrow(lambda batches: _search(batches, *sent.value, k), _FOUND)
+        return placed.mapInArrow(lean(lambda batches: _search(batches, *sent.value, k)), _FOUND)
 
     asks = rows.filter("asks").select("vec_id", "vector")
     # calibration: leaf ranks of true neighbours for a bounded set of queries
