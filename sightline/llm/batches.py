@@ -31,7 +31,7 @@ def _release() -> None:
 def lean(function: Callable[[Batches], Batches], *, words: bool = False) -> Callable[[Batches], Batches]:
     """``function`` for ``mapInArrow``, in small batches; ``words``: it uses the table of words' ids, which others drop."""
     session = SparkSession.getActiveSession()
-    if session is not None and str(session.conf.get(_KEY, "")).lower() in (str(_DEFAULT), f"{_DEFAULT}b", "64m", "64mb"):
+    if session is not None and session.conf.get(_KEY, str(_DEFAULT)).lower() in (str(_DEFAULT), f"{_DEFAULT}b", "64m", "64mb"):
         session.conf.set(_KEY, BATCH_BYTES)
 
     def run(batches: Batches) -> Batches:
