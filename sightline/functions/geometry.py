@@ -20,6 +20,22 @@ def num(x: float) -> Column:
     return F.lit(float(x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to so many decimals by its binary value, halves to even; ``F.round`` goes by the shortest decimal.
+
+    The product with the power of ten is split so that what its rounding loses is known exactly.
+    """
+    scale = float(10**digits)
+    product = x * scale
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    lost = (high * scale - product) + (x - high) * scale
+    low = F.floor(product).cast("double")
+    over = (product - low - 0.5) + lost
+    up = (over > 0) | ((over == 0) & (low % 2.0 != 0))
+    return F.when(up, low + 1.0).otherwise(low) / scale
+
+
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.struct(x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), x2.cast("double").alias("x2"), y2.cast("double").alias("y2"))
 
@@ -82,29 +98,23 @@ def with_anatomy(df: DataFrame, s: dict) -> DataFrame:
     c, ratio = s["crop"], float(s["crop"]["aspect_ratio"])
     col = F.col
 
-    def points() -> dict[str, Column]:
-        groups = {"head": K.HEAD, "shoulder": K.SHOULDERS, "hip": K.HIPS, "knee": K.KNEES, "ankle": K.ANKLES}
-        return {"_sure": K.sure(s)} | {f"_{n}": K.ys(s, g) for n, g in groups.items()}
-
     def reach() -> dict[str, Column]:
-        enough = F.size("_sure") >= int(s["selection_filters"]["min_keypoints"])
-        ends = {"x1": ("x", F.least, F.array_min), "y1": ("y", F.least, F.array_min), "x2": ("x", F.greatest, F.array_max), "y2": ("y", F.greatest, F.array_max)}
-        return {f"_{side}": F.when(enough, pick(col(side), end(col("_sure").getField(axis)))).otherwise(col(side)) for side, (axis, pick, end) in ends.items()} | {"_shoulder_y": K.mean(col("_shoulder")), "_hip_y": K.mean(col("_hip"))}
+        enough, every = K.visible(s) >= int(s["selection_filters"]["min_keypoints"]), tuple(range(K.POINTS))
+        ends = {"x1": ("x", K.least, F.least), "y1": ("y", K.least, F.least), "x2": ("x", K.greatest, F.greatest), "y2": ("y", K.greatest, F.greatest)}
+        sides = {f"_{side}": F.when(enough, pick(col(side), end(K.along(s, axis, every)))).otherwise(col(side)) for side, (axis, end, pick) in ends.items()}
+        joints = {"_head_y": K.least(K.along(s, "y", K.HEAD)), "_shoulder_y": K.mean(K.along(s, "y", K.SHOULDERS)), "_hip_y": K.mean(K.along(s, "y", K.HIPS))}
+        return sides | joints | {f"_low_{n}": K.greatest(K.along(s, "y", g)) for n, g in (("hip", K.HIPS), ("knee", K.KNEES), ("ankle", K.ANKLES))}
 
     def scale() -> dict[str, Column]:
         return {"_tall": F.greatest(num(1), col("_y2") - col("_y1")), "_torso": F.when(col("_hip_y") > col("_shoulder_y"), col("_hip_y") - col("_shoulder_y"))}
 
     def ends() -> dict[str, Column]:
-        above = F.when(F.size("_head") > 0, F.array_min("_head") - col("_tall") * float(c["anatomy_crown_allowance"])).when(col("_shoulder_y").isNotNull(), col("_shoulder_y") - col("_tall") * float(s["completeness_guard"]["head_estimate_ratio"]))
+        above = F.coalesce(col("_head_y") - col("_tall") * float(c["anatomy_crown_allowance"]), col("_shoulder_y") - col("_tall") * float(s["completeness_guard"]["head_estimate_ratio"]))
 
-        def below(joints: str, of_torso: str, of_box: str) -> Column:
-            return F.array_max(joints) + F.coalesce(col("_torso") * float(c[of_torso]), col("_tall") * float(c[of_box]))
+        def below(joint: str, of_torso: str, of_box: str) -> Column:
+            return col(joint) + F.coalesce(col("_torso") * float(c[of_torso]), col("_tall") * float(c[of_box]))
 
-        feet = (
-            F.when(F.size("_ankle") > 0, F.array_max("_ankle"))
-            .when(F.size("_knee") > 0, below("_knee", "anatomy_shank_to_torso_ratio", "anatomy_knee_extend_ratio"))
-            .when(F.size("_hip") > 0, below("_hip", "anatomy_leg_to_torso_ratio", "anatomy_hip_extend_ratio"))
-        )
+        feet = F.coalesce(col("_low_ankle"), below("_low_knee", "anatomy_shank_to_torso_ratio", "anatomy_knee_extend_ratio"), below("_low_hip", "anatomy_leg_to_torso_ratio", "anatomy_hip_extend_ratio"))
         return {"_top0": F.least(col("_y1"), above), "_foot": F.greatest(col("_y2"), feet)}  # both skip nulls
 
     def margins() -> dict[str, Column]:
@@ -120,7 +130,7 @@ def with_anatomy(df: DataFrame, s: dict) -> DataFrame:
         return {"anatomy": box(col("_middle") - col("_width") / 2.0, col("_top"), col("_middle") + col("_width") / 2.0, col("_bottom"))}
 
     kept = [n for n in df.columns if n != "anatomy"]
-    return _stages(df, points, reach, scale, ends, margins, width, crop).select(*kept, "anatomy")
+    return _stages(df, reach, scale, ends, margins, width, crop).select(*kept, "anatomy")
 
 
 def with_smart_crop(df: DataFrame, s: dict, name: str = "smart_crop") -> DataFrame:
@@ -149,14 +159,14 @@ def isolation(crop: Column) -> Column:
     """Largest overlap of the crop with any other raw detection of the photo (``dets``): as share of the crop, and of the other."""
     area = F.greatest(num(1), (crop["x2"] - crop["x1"]) * (crop["y2"] - crop["y1"]))
 
-    def shares(d: Column, i: Column) -> Column:
+    def shares(d: Column, i: Column) -> dict[str, Column]:
         wide = F.least(crop["x2"], d["x2"]) - F.greatest(crop["x1"], d["x1"])
         tall = F.least(crop["y2"], d["y2"]) - F.greatest(crop["y1"], d["y1"])
-        inter = F.when((wide > 0) & (tall > 0) & (i != F.col("candidate_idx")), wide * tall).otherwise(0.0)
-        return F.struct((inter / area).alias("of_crop"), (inter / F.greatest(num(1), (d["x2"] - d["x1"]) * (d["y2"] - d["y1"]))).alias("of_other"))
+        inter = F.when((wide > 0) & (tall > 0) & (d["candidate_idx"] != F.col("candidate_idx")), wide * tall).otherwise(0.0)
+        return {"of_crop": inter / area, "of_other": inter / F.greatest(num(1), (d["x2"] - d["x1"]) * (d["y2"] - d["y1"]))}
 
-    each = F.transform("dets", shares)
-    return F.struct(F.coalesce(F.array_max(F.transform(each, lambda e: e["of_crop"])), num(0)).alias("of_crop"), F.coalesce(F.array_max(F.transform(each, lambda e: e["of_other"])), num(0)).alias("of_other"))
+    most = F.array_max(F.transform("dets", lambda d, i: shares(d, i)["of_crop"])), F.array_max(F.transform("dets", lambda d, i: shares(d, i)["of_other"]))
+    return F.struct(F.coalesce(most[0], num(0)).alias("of_crop"), F.coalesce(most[1], num(0)).alias("of_other"))
 
 
 def final_size(s: dict, crop: Column) -> Column:
@@ -172,10 +182,9 @@ def final_size(s: dict, crop: Column) -> Column:
 
 def subject_region(s: dict) -> Column:
     """Head and torso by their sure keypoints, padded; the upper 65 % of the box if these are under three."""
-    least = float(s["selection_filters"]["keypoint_conf"])
-    points = F.filter(F.transform(F.array(*[F.get("kps", F.lit(i)) for i in K.TORSO]), lambda k: k), lambda k: k["conf"] > least)
-    xs, ys = F.transform(points, lambda k: k["x"]), F.transform(points, lambda k: k["y"])
-    wide, tall = F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys)
-    px, py = F.greatest(wide * 0.05, box_height() * 0.02), F.greatest(tall * 0.08, box_height() * 0.02)
-    around = box(F.array_min(xs) - px, F.array_min(ys) - py, F.array_max(xs) + px, F.array_max(ys) + py)
-    return F.when(F.size(points) >= 3, around).otherwise(box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1") + box_height() * 0.65))
+    xs, ys = K.along(s, "x", K.TORSO), K.along(s, "y", K.TORSO)
+    n = sum((K.seen(s, i).cast("int") for i in K.TORSO[1:]), K.seen(s, K.TORSO[0]).cast("int"))
+    left, right, top, low = K.least(xs), K.greatest(xs), K.least(ys), K.greatest(ys)
+    px, py = F.greatest((right - left) * 0.05, box_height() * 0.02), F.greatest((low - top) * 0.08, box_height() * 0.02)
+    around = box(left - px, top - py, right + px, low + py)
+    return F.when(n >= 3, around).otherwise(box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1") + box_height() * 0.65))

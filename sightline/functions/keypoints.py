@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # COCO-17 groups.
 HEAD, SHOULDERS, HIPS, KNEES, ANKLES = (0, 1, 2, 3, 4), (5, 6), (11, 12), (13, 14), (15, 16)
 TORSO = (0, 1, 2, 5, 6, 11, 12)
+POINTS = 17
 
 
 def seen(s: dict, i: int) -> Column:
@@ -22,24 +23,29 @@ def any_seen(s: dict, group: tuple[int, ...]) -> Column:
     return out
 
 
-def sure(s: dict) -> Column:
-    """The keypoints that are sure enough; empty if there are none."""
-    least = float(s["selection_filters"]["keypoint_conf"])
-    return F.coalesce(F.filter("kps", lambda k: k["conf"] > least), F.expr("array()"))
+def visible(s: dict) -> Column:
+    """How many keypoints are sure enough. A sum over their places: arrays' higher-order functions would be interpreted."""
+    return sum((seen(s, i).cast("int") for i in range(1, POINTS)), seen(s, 0).cast("int"))
 
 
-def visible(s: dict) -> Column:
-    return F.size(sure(s))
+def along(s: dict, axis: str, group: tuple[int, ...]) -> list[Column]:
+    """The coordinates of the group's keypoints, null where one isn't sure."""
+    return [F.when(seen(s, i), F.get("kps", F.lit(i))[axis]) for i in group]
+
+
+def least(values: list[Column]) -> Column:
+    """The least of those that are there; null if none is."""
+    return F.least(*values) if len(values) > 1 else values[0]
 
 
-def ys(s: dict, group: tuple[int, ...]) -> Column:
-    """Heights of the group's sure keypoints."""
-    return F.array_compact(F.array(*[F.when(seen(s, i), F.get("kps", F.lit(i))["y"]) for i in group]))
+def greatest(values: list[Column]) -> Column:
+    return F.greatest(*values) if len(values) > 1 else values[0]
 
 
-def mean(values: Column) -> Column:
-    """Mean of an array; null if it is empty."""
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))
+def mean(values: list[Column]) -> Column:
+    """Mean of the one or two values that are there; null if none is."""
+    one, two = values
+    return F.coalesce((one + two) / 2.0, one, two)
 
 
 def frontal_face() -> Column:

@@ -10,7 +10,7 @@ fence figures are looked at, and a plan that has to compute these filters on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline import config
@@ -20,13 +20,13 @@ from sightline.functions import scoring as S
 
 
 def with_others(dets: DataFrame) -> DataFrame:
-    """Adds ``dets``: the boxes of all raw detections of the photo, in the order of ``candidate_idx``.
+    """Adds ``dets``: number and box of all raw detections of the photo, in any order.
 
-    A detector gives at most a bounded number per photo, so the arrays are bounded.
+    A detector gives at most a bounded number per photo, so the arrays are bounded. The window
+    uses the same shuffle by photo as what made the detections.
     """
     one = F.struct("candidate_idx", "x1", "y1", "x2", "y2")
-    boxes = dets.groupBy("photo_id").agg(F.array_sort(F.collect_list(one)).alias("dets"))
-    return dets.join(boxes, "photo_id")
+    return dets.withColumn("dets", F.collect_list(one).over(Window.partitionBy("photo_id")))
 
 
 def as_rows(df: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def scored(prep: DataFrame, s: dict) -> DataFrame:
     known = {n: F.col(f"part_{n}") for n in parts}
     raw = S.raw_score(s, known)
     ceiling = S.raw_score(s, known | {"fence_free": best["fence_free"]})
-    return as_rows(out.withColumns({"raw_score": raw, "ceiling": F.round(ceiling, 2)}).withColumn("score", F.round("raw_score", 2)))
+    return as_rows(out.withColumns({"raw_score": raw, "ceiling": G.rounded(ceiling, 2)}).withColumn("score", G.rounded(F.col("raw_score"), 2)))
 
 
 def decide(dets: DataFrame, s: dict) -> DataFrame:
@@ -137,10 +137,9 @@ def fallback(photos: DataFrame, decisions: DataFrame, s: dict) -> DataFrame:
     b = s["whole_image_fallback"]
     if not b["enabled"]:
         return photos.limit(0).select("photo_id", F.lit("").alias("after"), F.lit("").alias("decision"), F.lit("").alias("reason"), F.lit(0.0).alias("score"))
-    kept = decisions.filter(F.col("decision") == "accept").select("photo_id").distinct()
-    seen = decisions.select("photo_id", F.lit(True).alias("seen")).distinct()
-    left = photos.join(kept, "photo_id", "left_anti").join(seen, "photo_id", "left")
-    after, quality = F.when(F.col("seen"), "no_accepted_candidates").otherwise("no_person"), str(b["save_class"])
+    seen = decisions.groupBy("photo_id").agg(F.max(F.col("decision") == "accept").alias("accepted"))
+    left = photos.join(seen, "photo_id", "left").filter(~F.coalesce("accepted", F.lit(False)))
+    after, quality = F.when(F.col("accepted").isNotNull(), "no_accepted_candidates").otherwise("no_person"), str(b["save_class"])
     reason = F.when(F.lit(bool(s["quality_scoring"]["premium_only"]) and quality != "premium"), F.lit(f"fallback_class_{quality}_not_saved_premium_only"))
     reason = reason.when(F.col("photo_sharpness") < float(b["min_original_sharpness"]), F.concat(F.lit("fallback_too_soft_after_"), after))
     reason = reason.when(F.lit(bool(b["reject_if_fence"])) & F.col("photo_fence"), F.concat(F.lit("fallback_fence_after_"), after)).otherwise(F.concat(F.lit("fallback_after_"), after))
@@ -158,8 +157,8 @@ def report(decisions: DataFrame) -> DataFrame:
     """The fixed columns of the report, in a fixed order of rows."""
     c = F.col("complete")
     return decisions.select(
-        "photo_id", "candidate_idx", F.round("conf", 4).alias("confidence"), *(F.round(x, 1).alias(f"box_{x}") for x in ("x1", "y1", "x2", "y2")),
-        F.round(G.box_height(), 1).alias("box_height"), "full_frame", "decision", "reason", F.round("sharpness", 2).alias("sharpness"),
+        "photo_id", "candidate_idx", G.rounded(F.col("conf"), 4).alias("confidence"), *(G.rounded(F.col(x), 1).alias(f"box_{x}") for x in ("x1", "y1", "x2", "y2")),
+        G.rounded(G.box_height(), 1).alias("box_height"), "full_frame", "decision", "reason", G.rounded(F.col("sharpness"), 2).alias("sharpness"),
         F.when(F.col("quality_class").isNotNull(), F.col("score")).alias("quality_score"), "quality_class", "demoted_reason",
         c["completeness"].alias("completeness"), c["has_upper_body"].alias("has_upper_body"), c["truncated_top"].alias("truncated_top"), "enhancement_reason", "enhance_mode", "output_name",
     ).orderBy("photo_id", "candidate_idx")

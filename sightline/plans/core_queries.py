@@ -204,9 +204,9 @@ def counters(spark, sf_dir):
 
 
 @query(
-    f"{decided()}, p AS (SELECT o_orderkey AS photo_id, CAST(o_orderkey % 200 AS DOUBLE) AS photo_sharpness, o_orderkey % 7 = 0 AS photo_fence FROM orders GROUP BY 1), "
-    "r AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM decided d WHERE d.photo_id = p.photo_id) THEN 'no_accepted_candidates' ELSE 'no_person' END AS after FROM p "
-    "WHERE NOT EXISTS (SELECT 1 FROM decided d WHERE d.photo_id = p.photo_id AND d.decision = 'accept')) "
+    f"{decided()}, a AS MATERIALIZED (SELECT photo_id, bool_or(decision = 'accept') AS accepted FROM decided GROUP BY 1), "
+    "p AS (SELECT o_orderkey AS photo_id, CAST(o_orderkey % 200 AS DOUBLE) AS photo_sharpness, o_orderkey % 7 = 0 AS photo_fence FROM orders GROUP BY 1), "
+    "r AS (SELECT p.*, CASE WHEN accepted IS NULL THEN 'no_person' ELSE 'no_accepted_candidates' END AS after FROM p LEFT JOIN a USING (photo_id) WHERE NOT coalesce(accepted, false)) "
     "SELECT photo_id, after, CASE WHEN photo_sharpness < 95 OR photo_fence THEN 'reject' ELSE 'accept' END AS decision, "
     "CASE WHEN photo_sharpness < 95 THEN 'fallback_too_soft_after_' WHEN photo_fence THEN 'fallback_fence_after_' ELSE 'fallback_after_' END || after AS reason, 50.0::DOUBLE AS score FROM r"
 )
@@ -304,8 +304,8 @@ def pre_check(spark, sf_dir):
 
 
 @query(
-    f"WITH {_GRID}, b AS (SELECT photo_id, r, c, (v > 130)::INT AS x FROM g), e1 AS (SELECT photo_id, r, c, (SELECT min(x) FROM b q WHERE q.photo_id = b.photo_id AND abs(q.r - b.r) <= 1 AND abs(q.c - b.c) <= 1) AS x FROM b WHERE photo_id < 200) "
-    'SELECT photo_id, r::INT AS r, c::INT AS c, (SELECT max(x) FROM e1 q WHERE q.photo_id = e1.photo_id AND abs(q.r - e1.r) <= 1 AND abs(q.c - e1.c) <= 1) AS "on" FROM e1'.replace(" WHERE photo_id < 200", "")
+    f"WITH {_GRID}, b AS (SELECT photo_id, r, c, (v > 130)::INT AS x FROM g), e1 AS (SELECT photo_id, r, c, (SELECT min(x) FROM b q WHERE q.photo_id = b.photo_id AND abs(q.r - b.r) <= 1 AND abs(q.c - b.c) <= 1) AS x FROM b) "
+    'SELECT photo_id, r::INT AS r, c::INT AS c, (SELECT max(x) FROM e1 q WHERE q.photo_id = e1.photo_id AND abs(q.r - e1.r) <= 1 AND abs(q.c - e1.c) <= 1) AS "on" FROM e1'
 )
 def pixel_opening(spark, sf_dir):
     return P.vertical_opening(_grid(spark, sf_dir), 1, 1, 130)

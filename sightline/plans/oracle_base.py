@@ -8,6 +8,17 @@ from sightline.sources.fixture import LAYOUT
 _FX = "[" + ", ".join(str(x) for x, _ in LAYOUT) + "]"
 _FY = "[" + ", ".join(str(y) for _, y in LAYOUT) + "]"
 
+#: The sum of the weights as doubles add up.
+_WEIGHTS = repr(0.0 + 0.3 + 0.12 + 0.16 + 0.12 + 0.08 + 0.1 + 0.12)
+
+
+def _hundredths(x: str) -> str:
+    """A double to two decimals by its binary value, halves to even: the error of the product is taken from its split halves."""
+    high = f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
+    over = f"(({x} * 100 - floor({x} * 100) - 0.5::DOUBLE) + (({high} * 100 - {x} * 100) + ({x} - {high}) * 100))"
+    return f"(floor({x} * 100) + CASE WHEN {over} > 0 OR ({over} = 0 AND floor({x} * 100) % 2 <> 0) THEN 1 ELSE 0 END) / 100.0::DOUBLE"
+
+
 BASE = f"""
 WITH d0 AS (
   SELECT l_orderkey AS photo_id,
@@ -91,7 +102,7 @@ d13 AS (
   SELECT d12.*, coalesce(of_crop, 0.0) AS of_crop, coalesce(of_other, 0.0) AS of_other,
     abs((x1 + x2) / 2 - (c_x1 + c_x2) / 2) / greatest(1, c_x2 - c_x1) AS off_x, abs((y1 + y2) / 2 - (c_y1 + c_y2) / 2) / greatest(1, c_y2 - c_y1) AS off_y
   FROM d12 LEFT JOIN iso USING (photo_id, candidate_idx)),
-d14 AS (
+d14 AS MATERIALIZED (
   SELECT *, greatest(0.0, least((sharpness - 80) / 270.0::DOUBLE, 1.0)) AS p_sharpness,
     greatest(0.0, least(1.0 - least(1.0, greatest(off_x, off_y) / 0.28::DOUBLE), 1.0)) AS p_center,
     CASE WHEN full_frame THEN 1.0 ELSE greatest(0.0, least((greatest(1, y2 - y1) - h * 0.15::DOUBLE) / (700 - h * 0.15::DOUBLE), 1.0)) END AS p_size,
@@ -102,8 +113,9 @@ d14 AS (
   FROM d13),
 d15 AS (
   SELECT *, p_sharpness * 0.3::DOUBLE + p_center * 0.12::DOUBLE + p_size * 0.16::DOUBLE + p_keypoints * 0.12::DOUBLE + p_isolation * 0.08::DOUBLE + p_confidence * 0.1::DOUBLE AS part_sum FROM d14),
-d16 AS (
-  SELECT *, round((part_sum + p_fence_free * 0.12::DOUBLE) * 100, 2) AS score, round((part_sum + 0.12::DOUBLE) * 100, 2) AS ceiling FROM d15),
+d16 AS MATERIALIZED (
+  SELECT *, {_hundredths("raw_score")} AS score, {_hundredths("raw_ceiling")} AS ceiling FROM (
+    SELECT *, (part_sum + p_fence_free * 0.12::DOUBLE) / {_WEIGHTS}::DOUBLE * 100 AS raw_score, (part_sum + 0.12::DOUBLE) / {_WEIGHTS}::DOUBLE * 100 AS raw_ceiling FROM d15)),
 d17 AS (
   SELECT *, CASE WHEN score >= 73 THEN 'premium' WHEN score >= 60 THEN 'good' WHEN score >= 45 THEN 'review' ELSE 'reject' END AS class1 FROM d16),
 d18 AS (
