@@ -6,16 +6,18 @@ that it reaches them. How many it visits is calibrated: a bounded, stated set of
 is answered exactly against all rows, and visits widen until the mean recall of these
 reaches ``TARGET_RECALL``. Visited leaves are searched exactly.
 
-Scale: vectors are dealt once by leaf and, where a leaf is large, by block of a leaf, so
-a leaf that a third of all rows are in is spread. Queries go out in blocks of
-``QUERY_BLOCK``; each task keeps the best few per query, and a window ranks these.
+Scale: the tree goes to the executors, where every vector finds its leaf and every query its
+leaves. Vectors and visits are dealt once by leaf and, where a leaf or its visitors are many, by blocks of both, so
+a leaf that a third of all rows are in is spread. A window ranks what the blocks found for a query.
+The driver holds the sample, the tree, a number per leaf and the calibrating queries only. There are
+``SAMPLE // SAMPLE_PER_LEAF`` leaves at most; beyond two million rows a query's work grows with the rows of its leaves.
 Distances are screened by matrix products with a margin for rounding, then computed on
 the original components in double precision, so ties are exact and go to the smaller id.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do those of another dimension than most; a query with fewer candidates than
 ``k`` gets them all; an empty table gives no rows; repeated ids are one row each, and a
-query never meets rows of its own id; other columns are unused.
+query never meets rows of its own id; rows without an id take no part; other columns are unused.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.batches import lean
-from sightline.llm.store import drop, saved
+from sightline.llm.store import saved
 
-SAMPLE = 20_000
+#: Rows that the tree is fitted on at most; with ``SAMPLE_PER_LEAF`` it sets the most leaves.
+SAMPLE = 40_000
 BRANCH = 12
 #: Rows per leaf aimed at, as far as the sample can tell leaves apart.
 LEAF_ROWS, SAMPLE_PER_LEAF = 400, 8
-BLOCK_ROWS = 2_000
-QUERY_BLOCK = 20_000
+#: Rows of a leaf, and queries that visit it, that meet in one task; queries that are compared at a time.
+BLOCK_ROWS, QUERY_BLOCK, QUERY_SLICE = 2_000, 4_000, 512
 CALIBRATING, TARGET_RECALL = 64, 0.97
 
 
@@ -121,7 +124,7 @@ def _assign(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
     for batch in batches:
         if batch.num_rows:
             leaf = pa.array(tree.assign(_matrix(batch.column("vector"))), pa.int32())
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "vector": batch.column("vector"), "leaf": leaf})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "vector", "asks")), leaf], names=["vec_id", "vector", "asks", "leaf"])
 
 
 def _best(query: np.ndarray, away: np.ndarray, vec_id: np.ndarray, k: int) -> np.ndarray:
@@ -132,44 +135,59 @@ def _best(query: np.ndarray, away: np.ndarray, vec_id: np.ndarray, k: int) -> np
     return order[rank < k]
 
 
-def _search(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, visits: dict[int, np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest rows of this task for each query, of the leaves that the query visits."""
-    held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    worst = np.full(len(ids), np.inf)
+def _nearest_rows(ids: np.ndarray, queries: np.ndarray, vec_id: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each query: positions of queries and of rows, and distances.
+
+    Matrix products screen with a margin for rounding; what passes is computed on the original components.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for low in range(0, len(ids), QUERY_SLICE):
+        q, own = queries[low : low + QUERY_SLICE], ids[low : low + QUERY_SLICE, None]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for first in range(0, len(rows), BLOCK_ROWS):
+            x, there = rows[first : first + BLOCK_ROWS], vec_id[first : first + BLOCK_ROWS]
+            near = _squares(q, x)
+            near[own == there] = np.inf
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+            i, j = np.nonzero((near <= (limit + 1e-9 * ((q * q).sum(axis=1) + (x * x).sum(axis=1).max()))[:, None]) & (own != there))
+            parts = len(i) // 20_000 + 1
+            away = np.concatenate([np.sqrt(((q[a] - x[b]) ** 2).sum(axis=1)) for a, b in zip(np.array_split(i, parts), np.array_split(j, parts), strict=True)])
+            best = tuple(np.concatenate(z) for z in zip(best, (i, first + j, away), strict=True))
+            keep = _best(best[0], best[2], vec_id[best[1]], k)
+            best = tuple(z[keep] for z in best)
+        found.append((low + best[0], best[1], best[2]))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def _everywhere(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest rows of each batch for a bounded set of queries, with their leaves."""
+    for batch in batches:
+        if batch.num_rows:
+            vec_id = batch.column("vec_id").to_numpy()
+            i, j, away = _nearest_rows(ids, queries, vec_id, _matrix(batch.column("vector")), k)
+            yield pa.RecordBatch.from_pydict({"query_id": ids[i], "score": away, "vec_id": vec_id[j], "leaf": batch.column("leaf").to_numpy()[j]})
+
+
+def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, count: dict[int, int], visits: int, k: int) -> Iterator[pa.RecordBatch]:
+    """A row for each leaf that a query visits."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows, vec_id, leaf = _matrix(batch.column("vector")), batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy()
-        for at in np.unique(leaf):
-            asked, here = visits.get(int(at)), np.flatnonzero(leaf == at)
-            if asked is None:
-                continue
-            for block in np.array_split(here, -(-len(here) // BLOCK_ROWS)):
-                x = rows[block]
-                for some in np.array_split(asked, -(-len(asked) // 512)):
-                    q = vectors[some]
-                    near = _squares(q, x)
-                    margin = 1e-9 * ((q * q).sum(axis=1) + (x * x).sum(axis=1).max())
-                    own = ids[some][:, None] == vec_id[block]
-                    near[own] = np.inf
-                    limit = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1] if len(block) > k else np.inf, worst[some] ** 2) + margin
-                    i, j = np.nonzero((near <= limit[:, None]) & ~own)
-                    away = np.concatenate([np.sqrt(((q[a] - x[b]) ** 2).sum(axis=1)) for a, b in zip(np.array_split(i, len(i) // 20_000 + 1), np.array_split(j, len(i) // 20_000 + 1), strict=True)])
-                    held = [np.concatenate(p) for p in zip(held, (some[i], away, vec_id[block][j], np.full(len(i), at, np.int32)), strict=True)]
-                    if len(held[0]) > 200_000:
-                        held = _pruned(held, k, worst)
-        held = _pruned(held, k, worst)
-    yield pa.RecordBatch.from_pydict({"query_id": ids[held[0]], "score": held[1], "vec_id": held[2], "leaf": held[3]})
-
-
-def _pruned(held: list[np.ndarray], k: int, worst: np.ndarray) -> list[np.ndarray]:
-    best = _best(*held[:3], k)
-    held = [x[best] for x in held]
-    count = np.bincount(held[0], minlength=len(worst))
-    last = np.cumsum(count) - 1
-    full = count >= k
-    worst[full] = held[1][last[full]]
-    return held
+        rows, leaves = [], []
+        for row, q in enumerate(_matrix(batch.column("vector"))):
+            mine = tree.order(q, lambda found: len(found) >= visits and sum(count.get(x, 0) for x in found) > k)
+            rows += [row] * len(mine)
+            leaves += mine
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("vec_id", "vector")), pa.array(leaves, pa.int32())], names=["query_id", "vector", "leaf"])
+
+
+def _search(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The k nearest rows of a block of a leaf for the queries that visit it."""
+    if not rows.num_rows or not asked.num_rows:
+        return pa.table({"query_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "vec_id": pa.array([], pa.int64())})
+    ids, vec_id = asked.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
+    i, j, away = _nearest_rows(ids, _matrix(asked.column("vector").combine_chunks()), vec_id, _matrix(rows.column("vector").combine_chunks()), k)
+    return pa.table({"query_id": ids[i], "score": away, "vec_id": vec_id[j]})
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -177,13 +195,15 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-_FOUND = "query_id long, score double, vec_id long, leaf int"
+def _per_leaf(df: DataFrame) -> dict[int, int]:
+    """Rows of each leaf; there are no more leaves than ``SAMPLE // SAMPLE_PER_LEAF``."""
+    return {r["leaf"]: r["n"] for r in df.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
 
 
 def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", target_recall: float = TARGET_RECALL) -> DataFrame:
     """The k nearest rows of each row for which ``queries`` holds: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    rows = vectors.filter(usable(vector)).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = vectors.filter(usable(vector)).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")).filter("vec_id is not null")
     sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -194,50 +214,33 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "
     tree = Tree(sample, min(n // LEAF_ROWS, len(sample) // SAMPLE_PER_LEAF))
     held = spark.sparkContext.broadcast(tree)
     kind = rows.schema["vector"].dataType.simpleString()
-    assigned = saved(rows.select("vec_id", "vector").mapInArrow(lean(lambda batches: _assign(batches, held.value)), f"vec_id long, vector {kind}, leaf int"), "tree-leaves")
-    count = {r["leaf"]: r["n"] for r in assigned.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf, SAMPLE at most
-    # a leaf's rows meet in a task, in blocks: large leaves are spread
-    blocks = spark.createDataFrame([(leaf, -(-m // BLOCK_ROWS)) for leaf, m in count.items()], "leaf int, blocks long")
-    dealt = assigned.join(F.broadcast(blocks), "leaf").repartition("leaf", F.pmod(F.xxhash64("vec_id"), "blocks")).sortWithinPartitions("leaf")
-    placed = saved(dealt.select("vec_id", "vector", "leaf"), "tree-blocks")
-    drop(assigned)
-
-    def search(asked: list, visit) -> DataFrame:
-        ids = np.array([r["vec_id"] for r in asked], dtype=np.int64)
-        held_queries = np.array([r["vector"] for r in asked], dtype=np.float64).reshape(len(ids), -1)
-        by_leaf: dict[int, list[int]] = {}
-        for i, q in enumerate(held_queries):
-            for leaf in visit(q):
-                by_leaf.setdefault(leaf, []).append(i)
-        sent = spark.sparkContext.broadcast((ids, held_queries, {leaf: np.array(x) for leaf, x in by_leaf.items()}))
-        return placed.mapInArrow(lean(lambda batches: _search(batches, *sent.value, k)), _FOUND)
-
-    asks = rows.filter("asks").select("vec_id", "vector")
+    assigned = saved(rows.mapInArrow(lean(lambda batches: _assign(batches, held.value)), f"vec_id long, vector {kind}, asks boolean, leaf int"), "tree-leaves")
+    count, asks = _per_leaf(assigned), assigned.filter("asks").select("vec_id", "vector")
+
     # calibration: leaf ranks of true neighbours for a bounded set of queries
     chosen = asks.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATING).collect()
-    everywhere = list(tree.leaf.values())
+    ids, asked_vectors = np.array([r["vec_id"] for r in chosen], dtype=np.int64), np.array([r["vector"] for r in chosen], dtype=np.float64).reshape(len(chosen), -1)
     true: dict[int, list[int]] = {}
-    for r in _ranked(search(chosen, lambda q: everywhere), k).collect() if chosen else []:
+    everywhere = assigned.mapInArrow(lean(lambda batches: _everywhere(batches, ids, asked_vectors, k)), "query_id long, score double, vec_id long, leaf int")
+    for r in _ranked(everywhere, k).collect() if chosen else []:
         true.setdefault(r["query_id"], []).append(r["leaf"])
     ranks = []
     for r in chosen:
         place = {leaf: i for i, leaf in enumerate(tree.order(np.array(r["vector"]), lambda found: False))}
         ranks += [place[leaf] for leaf in true.get(r["vec_id"], [])]
     visits = 1
-    while visits < len(everywhere) and np.mean(np.array(ranks) < visits) < target_recall:
+    while visits < len(tree.leaf) and np.mean(np.array(ranks) < visits) < target_recall:
         visits += max(1, visits // 8)
 
-    def enough(found: list[int]) -> bool:
-        return len(found) >= visits and sum(count.get(x, 0) for x in found) > k
-
-    n_asks = asks.count()
-    blocks = -(-n_asks // QUERY_BLOCK)
-    parts = [search(asks.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect(), lambda q: tree.order(q, enough)) for b in range(blocks)]
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    # every query walks the tree where it lies; leaves and their visitors meet in blocks of both
+    asked = saved(asks.mapInArrow(lean(lambda batches: _visits(batches, held.value, count, visits, k)), f"query_id long, vector {kind}, leaf int"), "tree-visits")
+    visitors = _per_leaf(asked)
+    blocks = spark.createDataFrame([(leaf, -(-m // BLOCK_ROWS), max(1, -(-visitors.get(leaf, 0) // QUERY_BLOCK))) for leaf, m in count.items()], "leaf int, blocks long, parts int")
+    dealt = assigned.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meeting = asked.join(F.broadcast(blocks), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts").cast("int"))
+    key = ("leaf", "block", "part")
+    left = dealt.select(*key, "vec_id", "vector").groupBy(*key)
+    found = left.cogroup(meeting.select(*key, "query_id", "vector").groupBy(*key)).applyInArrow(lambda x, q: _search(x, q, k), "query_id long, score double, vec_id long")
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
