@@ -403,7 +403,10 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
     all_docs = saved(docs.mapInArrow(lean(lambda batches: _summaries(batches, shingle)), summaries), "set-sums")
     ids_of_rows = all_docs.select("doc_id")
     whole_set = F.struct("n", "one", "two")
-    unlike = saved(all_docs.groupBy("doc_id").agg(F.min(whole_set).alias("low"), F.max(whole_set).alias("high")).filter("low <> high").select("doc_id"), "unlike-rows")
+    several_rows = all_docs.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(whole_set).alias("low"), F.max(whole_set).alias("high")).filter("rows > 1")
+    several_rows = saved(several_rows.select("doc_id", (F.col("low") != F.col("high")).alias("unlike")), "repeated-ids")
+    unlike = several_rows.filter("unlike").select("doc_id")
+    ids_repeat = several_rows.limit(1).count() > 0
     if n_unlike := unlike.count():  # ids with several texts: the first of these in order counts
         chosen = saved(_semi(docs, unlike, n_unlike, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "chosen-texts")
         docs = _semi(docs, unlike, n_unlike, "left_anti").unionByName(chosen)
@@ -420,7 +423,8 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
     regions = saved(_meeting(rows), "regions")
 
     ids = saved(regions.select("doc_id").distinct(), "candidates")
-    texts = saved(_semi(docs, ids, ids.count(), "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    texts = _semi(docs, ids, ids.count(), "left_semi")
+    texts = saved(texts.dropDuplicates(["doc_id"]) if ids_repeat else texts, "candidate-texts")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         of_pivot = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text"))
@@ -471,11 +475,13 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         open_ = saved(open_, "open-members")
         fits = (F.count("*") <= JOINED_INSIDE) & ((F.sum("n") <= HELD_SHINGLES) | (F.count("*") <= FEW))
         sizes = open_.groupBy("region").agg(fits.alias("fits"))
-        small = open_.join(sizes.filter("fits").select("region"), "region").join(texts, "doc_id").select("region", "doc_id", "component", "text")
+        small = open_.join(sizes.filter("fits").select("region"), "region").select("region", "doc_id", "component")
+        small_ids = saved(small.select("doc_id").distinct(), "open-ids")
+        small = small.join(_semi(texts, small_ids, small_ids.count(), "left_semi"), "doc_id").select("region", "doc_id", "component", "text")
         inside = small.repartition("region").sortWithinPartitions("region").mapInArrow(lean(lambda batches: _join_inside(batches, shingle, percent)), "a long, b long")
         inside = saved(inside, "links")
         found = joined(found, inside)
-        spent += [open_, inside]
+        spent += [open_, inside, small_ids]
         if several.agg(F.max("n")).first()[0] <= SKETCHED_INSIDE and sizes.agg(F.min("fits")).first()[0] is not False:
             _drop_all(spent)
             break
