@@ -10,11 +10,11 @@ from typing import Any
 
 # The defaults that decisions depend on.
 DEFAULTS: dict[str, Any] = {
-    "detector": {"imgsz": 1536, "iou": 0.55, "max_det": 120},
+    "detector": {"max_det": 120},
     "selection_filters": {
         "enable_safe_zone": True, "safe_zone_percent": 12, "min_height_ratio": 0.15, "min_box_height_px": 220,
         "conf_threshold": 0.33, "keypoint_conf": 0.30, "min_keypoints": 4, "require_frontal_face": False,
-        "min_sharpness_threshold": 80, "sharpness_metric": "subject", "premium_min_sharpness": 180,
+        "min_sharpness_threshold": 80, "premium_min_sharpness": 180,
         "hard_reject_fence": True, "hard_reject_extreme_blur": True,
     },
     "full_frame_runner": {
@@ -38,21 +38,20 @@ DEFAULTS: dict[str, Any] = {
     },
     "whole_image_fallback": {"enabled": False, "min_original_sharpness": 95, "reject_if_fence": True, "save_class": "review"},
     "review_enhancement": {
-        "flag_candidates": True, "candidates_subfolder": "_promising_for_enhancement",
         "candidate_max_sharpness": 160, "candidate_min_brightness": 60, "candidate_max_brightness": 195,
     },
     "image_quality": {
-        "target_height": 4000, "ai_upscaling_limit": 1200, "jpeg_quality": 95,
+        "target_height": 4000, "ai_upscaling_limit": 1200, "post_process_premium": False,
         "enhance_by_class": {"premium": "upscale", "good": "upscale", "review": "none"},
     },
     "quality_scoring": {
-        "save_quality_subfolders": True, "save_review": False, "premium_only": False, "hard_reject_below_score": 62,
+        "save_review": False, "premium_only": False, "hard_reject_below_score": 62,
         "classes": {"premium": 73, "good": 60, "review": 45},
         "excellent_sharpness": 350, "ideal_runner_height_px": 700, "ideal_confidence": 0.65,
         "weights": {"sharpness": 0.30, "center": 0.12, "size": 0.16, "keypoints": 0.12, "isolation": 0.08, "confidence": 0.10, "fence_free": 0.12},
     },
     "performance": {"fast_path": True},
-    "debug": {"save_rejects": False, "rejects_folder": "_rejects_stage6"},
+    "debug": {"save_rejects": False},
     "pre_check": {"enabled": True, "min_image_sharpness": 50.0, "min_image_brightness": 30.0, "max_image_brightness": 230.0},
 }
 FOLDERS = {"premium": "A_Premium", "good": "B_Good", "review": "C_Review", "reject": "Rejected"}

@@ -153,6 +153,58 @@ def counters(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision", "reason", "quality_class").agg(F.count("*").alias("n"))
 
 
+# The names of the counters of a run, in the order in which they are told.
+TALLY = (
+    "total_images", "pre_check_rejected", "images_with_person", "processed_crops", "quality_premium", "quality_good", "quality_review", "fallback_saved",
+    "no_person", "too_small", "unsafe_edge", "bad_pose", "blurred", "fence_rejected", "low_quality_score", "crop_failed",
+    "demoted_partial", "demoted_soft", "partial_body", "truncated_frame", "write_failed", "errors",
+)
+_PARTIAL = ("partial_body", "partial_lower_body", "truncated_head", "truncated_side", "no_upper_body", "no_lower_body")
+
+
+def tally(decisions: DataFrame, photos: DataFrame, rejects: DataFrame | None = None, kept_whole: DataFrame | None = None) -> DataFrame:
+    """``counter`` and ``n`` for each name in ``TALLY``, from rows that are already decided.
+
+    ``photos`` has a row per photo, ``rejects`` those stopped before detection (``pixels.photo_rejects``), ``kept_whole`` the
+    fallback's rows. Each input is aggregated once.
+    """
+    accepted, reason, class_ = F.col("decision") == "accept", F.col("reason"), F.col("quality_class")
+    by_guard = ~accepted & reason.isin(*_PARTIAL)
+    of_candidates = {
+        "processed_crops": accepted, **{f"quality_{c}": accepted & (class_ == c) for c in ("premium", "good", "review")},
+        **{n: reason == n for n in ("too_small", "unsafe_edge", "blurred", "low_quality_score", "crop_failed", "write_failed")},
+        "bad_pose": reason.isin("too_few_keypoints", "no_frontal_face"), "fence_rejected": reason == "fence_detected",
+        "demoted_soft": class_.isNotNull() & (F.col("class1") == "premium") & (F.col("class2") == "good"),
+        "demoted_partial": F.col("demoted_reason").isNotNull() & (F.col("demoted_reason") != "soft_for_premium"),
+        "truncated_frame": by_guard & F.col("complete.truncated_top"), "partial_body": by_guard & ~F.col("complete.truncated_top"),
+    }
+    parts = [decisions.agg(*(F.count_if(c).alias(n) for n, c in of_candidates.items()), F.count_distinct("photo_id").alias("images_with_person")), photos.agg(F.count("*").alias("total_images"))]
+    if rejects is not None:
+        parts.append(rejects.agg(F.count_if(reason == "pre_check_failed").alias("pre_check_rejected"), F.count_if(reason != "pre_check_failed").alias("errors")))
+    if kept_whole is not None:
+        saved_class = F.when(F.col("score") == 50.0, "review").otherwise("good")
+        whole = {"fallback_saved": accepted, "fallback_fence": reason.startswith("fallback_fence_"), **{f"whole_{c}": accepted & (saved_class == c) for c in ("good", "review")}}
+        parts.append(kept_whole.agg(*(F.count_if(c).alias(n) for n, c in whole.items())))
+    row = parts[0]
+    for part in parts[1:]:
+        row = row.join(part)  # one row each
+    known = set(row.columns)
+    value = {n: F.col(n) if n in known else F.lit(0) for n in TALLY}
+    value["no_person"] = F.col("total_images") - F.col("images_with_person") - value["pre_check_rejected"] - value["errors"]
+    if kept_whole is not None:
+        value |= {"processed_crops": value["processed_crops"] + F.col("fallback_saved"), "fence_rejected": value["fence_rejected"] + F.col("fallback_fence")}
+        value |= {f"quality_{c}": value[f"quality_{c}"] + F.col(f"whole_{c}") for c in ("good", "review")}
+    return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("counter"), value[n].cast("long").alias("n")) for n in TALLY))).alias("t")).select("t.*")
+
+
+def post_processing(decisions: DataFrame, s: dict) -> DataFrame:
+    """Adds to accepted crops whether they are upscaled (small ones, by their class' mode) and whether denoising and sharpening follow."""
+    q = s["image_quality"]
+    small = (F.col("crop.y2") - F.col("crop.y1")) < int(q["ai_upscaling_limit"])
+    polish = (F.col("quality_class") != "premium") | F.lit(bool(q["post_process_premium"]))
+    return decisions.filter(F.col("decision") == "accept").withColumns({"upscaled": (F.col("enhance_mode") != "none") & small, "restored_face": (F.col("enhance_mode") == "upscale+face") & small, "post_processed": polish})
+
+
 def report(decisions: DataFrame) -> DataFrame:
     """The fixed columns of the report, in a fixed order of rows."""
     c = F.col("complete")

@@ -122,20 +122,52 @@ def fence_figures(g: np.ndarray, person: tuple[float, float, float, float], s: d
     return count, float(inside.mean()) if inside.size else 0.0, float(lines[:, left : left + band].mean()), float(lines.mean())
 
 
+def decoded(image: dict) -> np.ndarray | None:
+    """A row of the ``image`` source as height x width x channels (blue, green, red) or height x width; None if it can't be read."""
+    if not image or image["height"] <= 0 or image["nChannels"] not in (1, 3):
+        return None
+    shape = (image["height"], image["width"], image["nChannels"])
+    if len(image["data"]) != shape[0] * shape[1] * shape[2]:
+        return None
+    data = np.frombuffer(image["data"], np.uint8).reshape(shape)
+    return data if shape[2] == 3 else data[..., 0]
+
+
+def area_resized(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """An image at another size, by means over the areas that its pixels stand for; near, not equal, to what imaging libraries give."""
+
+    def means(x: np.ndarray, n: int) -> np.ndarray:
+        edges = np.linspace(0, len(x), n + 1)
+        whole = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
+        low = np.floor(edges).astype(int)
+        part = (edges - low).reshape(-1, *[1] * (x.ndim - 1))
+        at = whole[low] + part * np.concatenate([x, x[-1:]])[low]
+        return np.diff(at, axis=0) / np.diff(edges).reshape(-1, *[1] * (x.ndim - 1))
+
+    return means(means(g.astype(float), height).swapaxes(0, 1), width).swapaxes(0, 1)
+
+
+#: Side of the square at which a photo's sharpness and brightness are judged before people are looked for.
+PRE_CHECK_SIDE = 256
+
+
+def pre_check_measures(image: np.ndarray) -> tuple[float, float]:
+    """Sharpness and brightness of a photo at the small size, in whole gray levels."""
+    small = np.rint(area_resized(image, PRE_CHECK_SIDE, PRE_CHECK_SIDE))
+    g = np.rint(gray(small)) if small.ndim == 3 else small
+    return float(laplacian(g).var()), float(g.mean())
+
+
 def measure_images(images: DataFrame) -> DataFrame:
-    """``photo_id``, size, sharpness and brightness of rows of the ``image`` source; undecodable ones have none."""
+    """``photo_id``, size, sharpness and brightness (at the small size) of rows of the ``image`` source; undecodable ones have none."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for image in batch.column("image"):
                 x = image.as_py()
-                if x["height"] <= 0 or x["nChannels"] not in (1, 3):
-                    out.append((x["origin"], None, None, None, None))
-                    continue
-                data = np.frombuffer(x["data"], np.uint8).reshape(x["height"], x["width"], x["nChannels"]).astype(float)
-                g = gray(data) if x["nChannels"] == 3 else data[..., 0]
-                out.append((x["origin"], x["width"], x["height"], float(laplacian(g).var()), float(g.mean())))
+                data = decoded(x)
+                out.append((x["origin"], None, None, None, None) if data is None else (x["origin"], x["width"], x["height"], *pre_check_measures(data)))
             names = ("photo_id", "w", "h", "sharpness", "brightness")
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
             if out:
@@ -144,6 +176,20 @@ def measure_images(images: DataFrame) -> DataFrame:
     return images.select("image").mapInArrow(rows, "photo_id string, w int, h int, sharpness double, brightness double")
 
 
+def photo_rejects(measures: DataFrame, s: dict) -> DataFrame:
+    """Decision rows of photos that can't be read, or that the check before detection stops; others give none."""
+    checked = pre_check(measures, s)
+    reason = F.when(F.col("w").isNull(), "cv2_read_failed").when(~F.col("passes"), "pre_check_failed")
+    return checked.select("photo_id", F.lit("reject").alias("decision"), reason.alias("reason")).filter("reason is not null")
+
+
+def relative_box(box: tuple[float, ...], crop: tuple[float, ...], w: int, h: int) -> tuple[float, float, float, float]:
+    """A box of the photo in the crop's own pixels, inside it and a pixel wide at least."""
+    x1, y1 = (max(0, min(v - o, n - 1)) for v, o, n in ((box[0], crop[0], w), (box[1], crop[1], h)))
+    x2, y2 = (max(a + 1, min(v - o, n)) for v, o, n, a in ((box[2], crop[0], w, x1), (box[3], crop[1], h, y1)))
+    return x1, y1, x2, y2
+
+
 def roi(g: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
     """The part of an image in a box, cut to whole pixels and to one pixel at least."""
     h, w = g.shape[:2]
@@ -153,19 +199,8 @@ def roi(g: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
 
 
 def shrunk(g: np.ndarray, height: int) -> np.ndarray:
-    """A gray image at a smaller height, by area means; near, not equal, to what imaging libraries give."""
-
-    def means(x: np.ndarray, n: int) -> np.ndarray:
-        edges = np.linspace(0, len(x), n + 1)
-        whole = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
-        low = np.floor(edges).astype(int)
-        at = whole[low] + (edges - low)[:, None] * np.vstack([x, x[-1:]])[low]
-        return np.diff(at, axis=0) / np.diff(edges)[:, None]
-
-    if len(g) <= height:
-        return g
-    width = max(1, round(g.shape[1] * height / len(g)))
-    return means(means(g.astype(float), height).T, width).T
+    """A gray image at a smaller height, by area means."""
+    return g if len(g) <= height else area_resized(g, height, max(1, round(g.shape[1] * height / len(g))))
 
 
 def subject_sharpness(g: np.ndarray, region: tuple[float, float, float, float], height: int = 480) -> float:

@@ -273,6 +273,49 @@ def reject_names(spark, sf_dir):
     return rows.select(*KEY, D.reject_name(F.coalesce("demoted_reason", F.concat("reason", F.lit("!")))).alias("reject_name"))
 
 
+STRICT = config.merged({"completeness_guard": {"review_on_partial": False}, "performance": {"fast_path": False}})
+
+
+@query(
+    f"{BASE} SELECT photo_id, candidate_idx, CASE WHEN reason = 'ok' THEN 'accept' ELSE 'reject' END AS decision, reason, CASE WHEN gate IS NULL AND sharpness >= 80 AND NOT fence_detected THEN class2 END AS quality_class, "
+    "CASE WHEN gate IS NULL AND sharpness >= 80 AND NOT fence_detected AND class2 <> class1 THEN 'soft_for_premium' END AS demoted_reason FROM (SELECT *, "
+    "CASE WHEN gate IS NOT NULL THEN gate WHEN sharpness < 80 THEN 'blurred' WHEN fence_detected THEN 'fence_detected' WHEN NOT full_frame AND NOT whole THEN part_reason WHEN class2 NOT IN ('premium', 'good') THEN 'low_quality_score' ELSE 'ok' END AS reason FROM f)"
+)
+def decisions_strict_guard(spark, sf_dir):
+    """Partial persons are rejected instead of going to Review."""
+    return D.decide(_dets(spark, sf_dir), STRICT).select(*KEY, *_DECISION)
+
+
+@query(
+    f"{decided()}, c AS (SELECT count(DISTINCT photo_id) AS images_with_person, count_if(decision = 'accept') AS processed_crops, count_if(decision = 'accept' AND quality_class = 'premium') AS quality_premium, "
+    "count_if(decision = 'accept' AND quality_class = 'good') AS quality_good, count_if(decision = 'accept' AND quality_class = 'review') AS quality_review, count_if(reason = 'too_small') AS too_small, "
+    "count_if(reason = 'unsafe_edge') AS unsafe_edge, count_if(reason = 'too_few_keypoints') AS bad_pose, count_if(reason = 'blurred') AS blurred, count_if(reason = 'fence_detected') AS fence_rejected, "
+    "count_if(reason = 'low_quality_score') AS low_quality_score, count_if(quality_class IS NOT NULL AND class1 = 'premium' AND class2 = 'good') AS demoted_soft, "
+    "count_if(quality_class IS NOT NULL AND NOT full_frame AND NOT whole AND class2 IN ('premium', 'good')) AS demoted_partial FROM decided), p AS (SELECT count(DISTINCT o_orderkey) AS total_images FROM orders), "
+    "r AS (SELECT *, total_images - images_with_person AS no_person, 0 AS pre_check_rejected, 0 AS fallback_saved, 0 AS crop_failed, 0 AS partial_body, 0 AS truncated_frame, 0 AS write_failed, 0 AS errors FROM c, p), "
+    "u AS (UNPIVOT r ON COLUMNS(*) INTO NAME counter VALUE n) SELECT counter, n::BIGINT AS n FROM u"
+)
+def tally(spark, sf_dir):
+    """The counters of a run by their names."""
+    return D.tally(D.decide(_dets(spark, sf_dir), SETTINGS), fixture.photos(spark, sf_dir))
+
+
+@query(
+    f"{decided(save_review=True)} SELECT photo_id, candidate_idx, quality_class <> 'review' AND c_y2 - c_y1 < 1200 AS upscaled, quality_class <> 'premium' AS post_processed FROM decided WHERE decision = 'accept'"
+)
+def post_processing(spark, sf_dir):
+    return D.post_processing(D.decide(_dets(spark, sf_dir), REVIEW), REVIEW).select(*KEY, "upscaled", "post_processed")
+
+
+@query(
+    f"{decided()} SELECT photo_id, candidate_idx, full_frame, decision, reason, sharpness, CASE WHEN quality_class IS NOT NULL THEN score END AS quality_score, quality_class, demoted_reason, completeness, upper_ok AS has_upper_body, cut_top AS truncated_top, "
+    "round_even(y2 - y1, 1) AS box_height FROM decided"
+)
+def report(spark, sf_dir):
+    rows = D.report(D.decide(_dets(spark, sf_dir), SETTINGS))
+    return rows.select(*KEY, "full_frame", "decision", "reason", "sharpness", "quality_score", "quality_class", "demoted_reason", "completeness", "has_upper_body", "truncated_top", "box_height")
+
+
 _GRID = "g AS (SELECT vec_id AS photo_id, i // 8 AS r, i % 8 AS c, floor((embedding[i + 1]::DOUBLE + 1) * 127.5) * 1.6 - 60 AS v FROM embeddings, range(64) t(i))"
 
 
