@@ -4,12 +4,14 @@ The tokenizer ``word_bpe_49k.json`` never joins text across white space, so the
 a text are those of its words in turn. Words repeat; their ids are kept in a bounded
 table per Python worker, and a text is encoded by joining its words' ids. Words with
 plain letters go straight to the library's BPE model; any others, with marks that may
-compose or with special tokens, go through the library's whole chain.
+compose or with special tokens, go through the library's whole chain. A tokenizer file with
+other settings than those assumed here encodes each text as a whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 from array import array
 
 import public_tokenizers
@@ -25,6 +27,22 @@ _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _COMPOSING = regex.compile(r"[^\u0000-\u02FF]").search
 
 
+# The settings of a tokenizer whose texts may be encoded a word at a time, with the splitting above.
+_NORMALIZERS, _SPLITTERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
+
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and splits by ``_PARTS`` into bytes, as is assumed here."""
+    normalizers = (settings.get("normalizer") or {}).get("normalizers", [])
+    splitters = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in normalizers] == _NORMALIZERS and normalizers[1].get("pattern") == {"Regex": r"\s+"} and normalizers[1].get("content") == " "
+        and [x["type"] for x in splitters] == _SPLITTERS and splitters[0].get("pattern") == {"Regex": _PARTS.pattern} and splitters[0].get("behavior") == "Removed"
+        and splitters[0].get("invert") is True and not splitters[1].get("add_prefix_space") and not splitters[1].get("use_regex")
+        and settings["model"].get("type") == "BPE" and not settings.get("post_processor")
+    )
+
+
 def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,6 +61,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = by_words(json.loads(self.tokenizer.to_str()))
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
 
@@ -73,6 +92,8 @@ class WordIds(dict):
         """The ids of a text; none for a null."""
         if not text:
             return b""
+        if not self.by_words:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         text, found, at = text.replace("\n", " "), [], 0
         while at < len(text):
             end = text.find(" ", at + _PART)

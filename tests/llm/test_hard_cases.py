@@ -8,6 +8,7 @@ import pytest
 
 from sightline.llm import decontaminate, jaccard, line_dedup, quality, repeats, token_files, toxicity, tree_search
 from sightline.llm.textbytes import NOT_SPACE, Words, buffers, hashes, sliced
+from sightline.llm.tokens import default_tokenizer, word_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SWAP = str.maketrans("ab", "ba")
@@ -130,3 +131,14 @@ def test_texts_in_parts():
         assert [w for words, a, b in parts for w in words[a:b]] == text.split()
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "b" * 30, "", "c"]})
     assert pa.concat_batches(list(sliced(batch, "t", size=11))) == batch and [x.num_rows for x in sliced(batch, "t", size=11)] == [2, 1, 2]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    other, own = word_ids(public_tokenizers.path("byte_bpe_50k.json")), word_ids(default_tokenizer())
+    assert own.by_words and not other.by_words
+    for text in ("Two  Words\nand don't", " lead", "é" * 5, ""):
+        assert np.frombuffer(other.encode(text), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+    long = "some words of text " * 120_000
+    assert np.frombuffer(own.encode(long), "<u4").tolist() == own.tokenizer.encode(long, add_special_tokens=False).ids
