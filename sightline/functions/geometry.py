@@ -183,7 +183,7 @@ def final_size(s: dict, crop: Column) -> Column:
 def subject_region(s: dict) -> Column:
     """Head and torso by their sure keypoints, padded; the upper 65 % of the box if these are under three."""
     xs, ys = K.along(s, "x", K.TORSO), K.along(s, "y", K.TORSO)
-    n = sum((K.seen(s, i).cast("int") for i in K.TORSO[1:]), K.seen(s, K.TORSO[0]).cast("int"))
+    n = K.count_seen(s, K.TORSO)
     left, right, top, low = K.least(xs), K.greatest(xs), K.least(ys), K.greatest(ys)
     px, py = F.greatest((right - left) * 0.05, box_height() * 0.02), F.greatest((low - top) * 0.08, box_height() * 0.02)
     around = box(left - px, top - py, right + px, low + py)

@@ -1,4 +1,8 @@
-"""Expressions over a candidate's keypoints: ``kps``, an array of up to 17 of struct<x, y, conf>, which may be null."""
+"""Expressions over a candidate's keypoints: ``kps``, an array of up to 17 of struct<x, y, conf>, which may be null.
+
+They are given as SQL text: built call by call, the many terms over single keypoints took
+most of the time in which a plan was made.
+"""
 
 from __future__ import annotations
 
@@ -11,48 +15,54 @@ TORSO = (0, 1, 2, 5, 6, 11, 12)
 POINTS = 17
 
 
+def _sure(s: dict, i: int) -> str:
+    return f"coalesce(get(kps, {i}).conf > {float(s['selection_filters']['keypoint_conf'])!r}D, false)"
+
+
 def seen(s: dict, i: int) -> Column:
     """Whether keypoint i is there and sure enough."""
-    return F.coalesce(F.get("kps", F.lit(i))["conf"] > float(s["selection_filters"]["keypoint_conf"]), F.lit(False))
+    return F.expr(_sure(s, i))
 
 
 def any_seen(s: dict, group: tuple[int, ...]) -> Column:
-    out = F.lit(False)
-    for i in group:
-        out = out | seen(s, i)
-    return out
+    return F.expr(" or ".join(_sure(s, i) for i in group))
+
+
+def count_seen(s: dict, group: tuple[int, ...]) -> Column:
+    """How many of the group are sure enough. A sum over their places: arrays' higher-order functions would be interpreted."""
+    return F.expr(" + ".join(f"int({_sure(s, i)})" for i in group))
 
 
 def visible(s: dict) -> Column:
-    """How many keypoints are sure enough. A sum over their places: arrays' higher-order functions would be interpreted."""
-    return sum((seen(s, i).cast("int") for i in range(1, POINTS)), seen(s, 0).cast("int"))
+    """How many keypoints are sure enough."""
+    return count_seen(s, tuple(range(POINTS)))
 
 
-def along(s: dict, axis: str, group: tuple[int, ...]) -> list[Column]:
-    """The coordinates of the group's keypoints, null where one isn't sure."""
-    return [F.when(seen(s, i), F.get("kps", F.lit(i))[axis]) for i in group]
+def along(s: dict, axis: str, group: tuple[int, ...]) -> list[str]:
+    """The coordinates of the group's keypoints as SQL text, null where one isn't sure."""
+    return [f"(case when {_sure(s, i)} then get(kps, {i}).{axis} end)" for i in group]
 
 
-def least(values: list[Column]) -> Column:
+def least(values: list[str]) -> Column:
     """The least of those that are there; null if none is."""
-    return F.least(*values) if len(values) > 1 else values[0]
+    return F.expr(f"least({', '.join(values)})" if len(values) > 1 else values[0])
 
 
-def greatest(values: list[Column]) -> Column:
-    return F.greatest(*values) if len(values) > 1 else values[0]
+def greatest(values: list[str]) -> Column:
+    return F.expr(f"greatest({', '.join(values)})" if len(values) > 1 else values[0])
 
 
-def mean(values: list[Column]) -> Column:
+def mean(values: list[str]) -> Column:
     """Mean of the one or two values that are there; null if none is."""
     one, two = values
-    return F.coalesce((one + two) / 2.0, one, two)
+    return F.expr(f"coalesce(({one} + {two}) / 2.0D, {one}, {two})")
 
 
 def frontal_face() -> Column:
-    def over(i: int, least: float) -> Column:
-        return F.coalesce(F.get("kps", F.lit(i))["conf"] > least, F.lit(False))
+    def over(i: int, least: float) -> str:
+        return f"coalesce(get(kps, {i}).conf > {least!r}D, false)"
 
-    return F.col("kps").isNull() | (over(0, 0.45) & (over(1, 0.35) | over(2, 0.35)))
+    return F.expr(f"kps is null or ({over(0, 0.45)} and ({over(1, 0.35)} or {over(2, 0.35)}))")
 
 
 def completeness(s: dict, cut_side: Column) -> Column:

@@ -21,6 +21,11 @@ def ramp(value: Column, low: Column | float, high: Column | float) -> Column:
     return F.when(high <= low, step).otherwise(G.clamp((value - low) / span, G.num(0), G.num(1)))
 
 
+def fence_free(fence_score: Column) -> Column:
+    """The part of the score that a fence takes away from."""
+    return G.clamp(1.0 - F.least(G.num(1), fence_score / 0.25), G.num(0), G.num(1))
+
+
 def components(s: dict, fence_score: Column, full_frame: Column, sharpness: Column) -> dict[str, Column]:
     """The seven parts of the score, each from 0 to 1, in the order in which they are added; needs ``alone`` and ``offsets``."""
     f, q = s["selection_filters"], s["quality_scoring"]
@@ -39,7 +44,7 @@ def components(s: dict, fence_score: Column, full_frame: Column, sharpness: Colu
         "keypoints": F.when(bypass, F.greatest(G.num(0.65), share)).otherwise(share),
         "isolation": rest(F.greatest(alone["of_crop"] / 0.25, alone["of_other"] / 0.75)),
         "confidence": ramp(F.col("conf"), f["conf_threshold"], q["ideal_confidence"]),
-        "fence_free": rest(F.least(G.num(1), fence_score / 0.25)),
+        "fence_free": fence_free(fence_score),
     }
 
 

@@ -62,11 +62,10 @@ def prepared(dets: DataFrame, s: dict) -> DataFrame:
 def scored(prep: DataFrame, s: dict) -> DataFrame:
     """Adds the parts of the score, the score, and the ``ceiling`` that it would have without a fence."""
     parts = S.components(s, F.col("fence_score"), F.col("full_frame"), F.col("sharpness"))
-    best = S.components(s, G.num(S.NO_FENCE), F.col("full_frame"), F.col("sharpness"))
     out = prep.withColumns({f"part_{n}": c for n, c in parts.items()})
     known = {n: F.col(f"part_{n}") for n in parts}
     raw = S.raw_score(s, known)
-    ceiling = S.raw_score(s, known | {"fence_free": best["fence_free"]})
+    ceiling = S.raw_score(s, known | {"fence_free": S.fence_free(G.num(S.NO_FENCE))})
     return as_rows(out.withColumns({"raw_score": raw, "ceiling": G.rounded(ceiling, 2)}).withColumn("score", G.rounded(F.col("raw_score"), 2)))
 
 
