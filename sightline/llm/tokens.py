@@ -25,6 +25,8 @@ _PART = 1 << 20
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: A character that normalisation may change or join with another.
 _COMPOSING = regex.compile(r"[^\u0000-\u02FF]").search
+#: Marks that are a part of their own after a word's letters.
+_ENDS = frozenset(".,;:!?")
 
 
 # The settings of a tokenizer whose texts may be encoded a word at a time, with the splitting above.
@@ -67,10 +69,13 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         if (word.isascii() or not _COMPOSING(word)) and "<|" not in word:
-            get, low, found = self.parts.get, word.lower(), []
-            for part in [low] if low.isalpha() else _PARTS.findall(low):
-                found.append(get(part) or self._part(part))
-            ids = found[0] if len(found) == 1 else b"".join(found)
+            get, low = self.parts.get, word.lower()
+            if low.isalpha():
+                ids = get(low) or self._part(low)
+            elif low[-1:] in _ENDS and low[:-1].isalpha():
+                ids = (get(low[:-1]) or self._part(low[:-1])) + (get(low[-1]) or self._part(low[-1]))
+            else:
+                ids = b"".join([get(part) or self._part(part) for part in _PARTS.findall(low)])
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= KEPT_LETTERS:
@@ -80,7 +85,8 @@ class WordIds(dict):
         return ids
 
     def _part(self, part: str) -> bytes:
-        spelled = part.encode().decode("latin-1").translate(self.letters)
+        # visible ASCII letters stand for themselves
+        spelled = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
         ids = array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
         if len(part) <= KEPT_LETTERS:
             if len(self.parts) >= KEPT_WORDS:

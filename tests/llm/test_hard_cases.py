@@ -142,3 +142,14 @@ def test_other_tokenizers_encode_whole_texts():
         assert np.frombuffer(other.encode(text), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
     long = "some words of text " * 120_000
     assert np.frombuffer(own.encode(long), "<u4").tolist() == own.tokenizer.encode(long, add_special_tokens=False).ids
+
+
+def test_words_with_marks_have_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    from sightline.llm.tokens import default_tokenizer, word_ids
+
+    said = ["don't STOP.", "x.y, z! ?", "l'été Étude.", "naïve…", "1,2 3.", "a\tb", "\x00q\x7f", "<|endoftext|> z", "ﬁn é", "İstanbul.", "ß.", "a!!", ".", "it's.", "ab's,", "²", "ª.", "ſ.", "日本。", "x​z.", " \n", ""]
+    tokenizer, words = Tokenizer.from_file(default_tokenizer()), word_ids(default_tokenizer())
+    for text in said:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
