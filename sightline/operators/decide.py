@@ -204,6 +204,16 @@ def post_processing(decisions: DataFrame, s: dict) -> DataFrame:
     return decisions.filter(F.col("decision") == "accept").withColumns({"upscaled": (F.col("enhance_mode") != "none") & small, "restored_face": (F.col("enhance_mode") == "upscale+face") & small, "post_processed": polish})
 
 
+def second_pass(decisions: DataFrame) -> DataFrame:
+    """Saved crops of class review that a second enhancement goes over: those promising, or all where none is.
+
+    Whether one is promising is asked once for the whole table (a scalar subquery), so ``decisions`` is best a written table.
+    """
+    review = decisions.filter((F.col("decision") == "accept") & (F.col("quality_class") == "review"))
+    promising = F.col("enhancement_reason").isNotNull()
+    return review.filter(promising | ~review.filter(promising).exists())
+
+
 def report(decisions: DataFrame) -> DataFrame:
     """The fixed columns of the report, in a fixed order of rows."""
     c = F.col("complete")

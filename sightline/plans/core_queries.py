@@ -307,6 +307,14 @@ def post_processing(spark, sf_dir):
     return D.post_processing(D.decide(_dets(spark, sf_dir), REVIEW), REVIEW).select(*KEY, "upscaled", "post_processed")
 
 
+@query(
+    f"{decided(save_review=True)}, review AS MATERIALIZED (SELECT photo_id, candidate_idx, CASE WHEN sharpness <= 160 THEN 'soft_focus' WHEN brightness < 60 THEN 'underexposed' WHEN brightness > 195 THEN 'overexposed' END AS enhancement_reason "
+    "FROM decided WHERE decision = 'accept' AND quality_class = 'review') SELECT * FROM review WHERE enhancement_reason IS NOT NULL OR NOT EXISTS (SELECT 1 FROM review WHERE enhancement_reason IS NOT NULL)"
+)
+def second_pass(spark, sf_dir):
+    return D.second_pass(D.decide(_dets(spark, sf_dir), REVIEW)).select(*KEY, "enhancement_reason")
+
+
 @query(
     f"{decided()} SELECT photo_id, candidate_idx, full_frame, decision, reason, sharpness, CASE WHEN quality_class IS NOT NULL THEN score END AS quality_score, quality_class, demoted_reason, completeness, upper_ok AS has_upper_body, cut_top AS truncated_top, "
     "round_even(y2 - y1, 1) AS box_height FROM decided"

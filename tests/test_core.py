@@ -187,3 +187,12 @@ def test_metadata_and_session(spark):
     row = spark.createDataFrame([(tags,)], "tags map<string,binary>").select(exif.kept(F.col("tags"), F.lit(40), F.lit(60)).alias("k")).first()
     assert {k: bytes(v) for k, v in row.k.items()} == {"0th.Make": b"x", "Exif.PixelXDimension": b"40", "Exif.PixelYDimension": b"60"}
     assert config.session_settings(8, 2, 100)["spark.sql.shuffle.partitions"] == "800"
+
+
+def test_second_pass_takes_promising_crops_or_all_of_review(spark):
+    schema = "photo_id long, decision string, quality_class string, enhancement_reason string"
+    rows = [(1, "accept", "review", None), (2, "accept", "review", "soft_focus"), (3, "reject", "review", "soft_focus"), (4, "accept", "good", "soft_focus"), (5, "accept", None, None)]
+    taken = lambda some: sorted(r["photo_id"] for r in D.second_pass(spark.createDataFrame(some, schema)).collect())
+    assert taken(rows) == [2]
+    assert taken([r for r in rows if r[0] != 2]) == [1]
+    assert taken([]) == []
