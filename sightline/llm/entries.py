@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, jaccard, licenses, line_dedup, packing, quality, repeats, token_files, toxicity, tree_search
+from sightline.llm import decontaminate, filter_audit, fim, jaccard, licenses, line_dedup, packing, quality, repeats, token_files, toxicity, tree_search, word_repeats
 from sightline.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,4 +18,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_jaccard_join": jaccard.query,
     "op10_repeated_strings": repeats.query,
+    "op11_fill_in_middle": fim.query,
+    "op12_filter_interactions": filter_audit.query,
+    "op13_repeated_words": word_repeats.query,
 }

@@ -87,4 +87,40 @@ SELECT d.doc_id, d.path, coalesce(o.license, k.dir_license) AS license, CASE WHE
 FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k ON k.dir = d.dir
 """
 
-ORACLES = {"op1_benchmark_decontamination": OP1, "op7_license_scan": OP7, "op8_line_dedup": OP8, "op9_jaccard_join": OP9, "op10_repeated_strings": OP10}
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f
+"""
+
+OP12 = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN g USING (doc_id)),
+k AS (SELECT part, good, toxic, failed, count(*) AS n FROM m GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS t(x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS early FROM o, unnest(range(1, 6)) AS t(step) WHERE length(filter_order) = 5),
+x AS (SELECT *, contains(failed, f) AS fails, translate(failed, early, '') <> failed AS gone FROM k, s),
+r AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN failed = f THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS t(p)),
+r AS (SELECT doc_id, p FROM x QUALIFY count(*) OVER (PARTITION BY s) > 1),
+c AS (SELECT DISTINCT doc_id, q FROM r, unnest(range(p, p + 35)) AS t(q)),
+k AS (SELECT doc_id, string_agg(w[q], ' ' ORDER BY q) AS kept FROM d, unnest(range(1, len(w) + 1)) AS t(q) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND c.q = t.q) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op1_benchmark_decontamination": OP1, "op7_license_scan": OP7, "op8_line_dedup": OP8, "op9_jaccard_join": OP9, "op10_repeated_strings": OP10, "op11_fill_in_middle": OP11, "op12_filter_interactions": OP12, "op13_repeated_words": OP13}

@@ -141,11 +141,11 @@ class Words:
     """The words of a run of texts.
 
     ``hash``, ``start`` and ``end`` have an entry per word; words ``first[i]`` to
-    ``first[i + 1]`` are those of text i. Equal words have equal hashes.
+    ``first[i + 1]`` are those of text i. Equal words have equal hashes. ``fold`` takes A-Z as a-z; ``wide`` makes two hashes a word.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
-        self.data = LOWER[raw]
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, *, fold: bool = True, wide: bool = False):
+        self.data = LOWER[raw] if fold else raw
         inside = kind[self.data]
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[offsets] = True
@@ -156,7 +156,7 @@ class Words:
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = hashes(self.data, self.start, self.end)
+        self.hash = hashes(self.data, self.start, self.end, wide=wide)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
