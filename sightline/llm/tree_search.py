@@ -209,6 +209,8 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     (dimension, n), = sizes.items()
     rows = rows.filter(F.size("vector") == dimension)
+    if rows.filter("asks").isEmpty():  # no row asks
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.select("vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample = np.array([r["vector"] for r in sample], dtype=np.float64)
     tree = Tree(sample, min(n // LEAF_ROWS, len(sample) // SAMPLE_PER_LEAF))

@@ -153,3 +153,10 @@ def test_words_with_marks_have_the_librarys_ids():
     tokenizer, words = Tokenizer.from_file(default_tokenizer()), word_ids(default_tokenizer())
     for text in said:
         assert np.frombuffer(words.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_neighbours_without_a_query_row(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [0.5, 1.0], 0), (2, [1.0, 0.5], 0), (None, [1.0, 1.0], 0), (100, None, 0)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = tree_search.query(spark, str(tmp_path))
+    assert out.count() == 0 and out.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
