@@ -68,19 +68,16 @@ def class_of(length: Column, blocks: Column, hashed: Callable[..., Column] = F.x
 
 def repeated_classes(rows: DataFrame, hashed: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """``last``: the classes that hold several rows after every split. ``rows`` has length, blocks and last."""
-    rounds = rows.agg(F.coalesce(F.max(F.size("blocks")), F.lit(0))).first()[0]
-    left, old = rows.select(hashed(F.col("length")).alias("class"), "blocks", "last"), None
-    for k in range(rounds + 1):
-        several = left.groupBy("class").agg(F.count("*").alias("n")).filter("n > 1").select("class")
+    left = rows.groupBy("length", "last").agg(F.any_value("blocks").alias("blocks"), F.count("*").alias("n"))  # copies are one row from here on
+    left = saved(left.select(hashed(F.col("length")).alias("class"), "blocks", "last", "n"), "refined")
+    for k in range(left.agg(F.coalesce(F.max(F.size("blocks")), F.lit(0))).first()[0]):
+        several = saved(left.groupBy("class").agg(F.sum("n").alias("rows")).filter("rows > 1").select("class"), "several")
         split = F.when(F.size("blocks") > k, hashed(F.col("class"), F.get("blocks", F.lit(k)))).otherwise(F.col("class"))
-        if k == rounds:
-            several = several.select(F.col("class").alias("last"))
-            return several
-        left = saved(left.join(several, "class").select(split.alias("class"), "blocks", "last"), "refined")
-        if old is not None:
-            drop(old)
-        old = left
-    return left
+        finer = saved(left.join(several, "class").select(split.alias("class"), "blocks", "last", "n"), "refined")
+        drop(several)
+        drop(left)
+        left = finer
+    return left.groupBy("class").agg(F.sum("n").alias("rows")).filter("rows > 1").select(F.col("class").alias("last"))
 
 
 def _with_classes(docs: DataFrame, classes: DataFrame, how: str = "inner") -> DataFrame:
