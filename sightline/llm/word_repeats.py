@@ -160,24 +160,25 @@ def _repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, list[Dat
     spans = [found.filter("done").select(*_PLACE)]
     # 1: places joined on anchors
     alone = found.filter("not done").drop("done")
-    anchors = _several(alone, "anchor").filter("several").select("anchor")
+    # keys are written before a join, so that it is one of two plain exchanges, of which Spark splits a hot part
+    anchors = saved(_several(alone, "anchor").filter("several").select("anchor"), "anchors")
     joined = saved(alone.join(anchors, "anchor"), "anchored-seeds")
     # 2: extended both ways as a whole
     extended = saved(_several(joined, "anchor", "one", "two").select("anchor", "one", "two", "low", "several"), "extended-seeds")
     spans.append(joined.join(extended.filter("several").select("one", "two"), ["one", "two"]).select(*_PLACE))
     # 3: extended window by window where an anchor has unlike seeds
-    unlike = extended.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    unlike = saved(extended.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "unlike-anchors")
     places = extended.join(unlike, "anchor").select("low.doc_id", "low.start", "low.windows")
     by_doc = saved(places.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "windows"))).alias("places")), "unlike-seeds")
-    tables = [found, joined, extended, by_doc]
+    tables = [found, anchors, joined, extended, unlike, by_doc]
     items = _items(by_doc, "places")
     if items:
         windows = _with_texts(docs, by_doc, items).select("doc_id", "text", "places").mapInArrow(lean(lambda batches: _windows(batches, length)), _SEEDS)
         windows = saved(windows, "seed-windows")
-        tables.append(windows)
-        spans.append(windows.filter("done").select(*_PLACE))
         single = windows.filter("not done")
-        spans.append(single.join(_several(single, "one", "two").filter("several").select("one", "two"), ["one", "two"]).select(*_PLACE))
+        repeated = saved(_several(single, "one", "two").filter("several").select("one", "two"), "repeated-windows")
+        tables += [windows, repeated]
+        spans += [windows.filter("done").select(*_PLACE), single.join(repeated, ["one", "two"]).select(*_PLACE)]
     return functools.reduce(DataFrame.unionByName, spans), tables
 
 
