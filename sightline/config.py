@@ -10,7 +10,7 @@ from typing import Any
 
 # The defaults that decisions depend on.
 DEFAULTS: dict[str, Any] = {
-    "detector": {"max_det": 120},
+    "detector": {"max_det": 120, "iou": 0.55},
     "selection_filters": {
         "enable_safe_zone": True, "safe_zone_percent": 12, "min_height_ratio": 0.15, "min_box_height_px": 220,
         "conf_threshold": 0.33, "keypoint_conf": 0.30, "min_keypoints": 4, "require_frontal_face": False,

@@ -71,6 +71,11 @@ def scored(prep: DataFrame, s: dict) -> DataFrame:
 
 def decide(dets: DataFrame, s: dict) -> DataFrame:
     """A row per candidate with ``decision``, ``reason``, class, demotion and output columns."""
+    return finished(scored(prepared(dets, s), s), s)
+
+
+def finished(rows: DataFrame, s: dict) -> DataFrame:
+    """The decisions over rows of ``scored``."""
     f, q = s["selection_filters"], s["quality_scoring"]
     guard = F.lit(bool(s["completeness_guard"]["enabled"])) & ~F.col("full_frame")
     whole, why = F.col("complete.ok_for_premium"), F.coalesce(F.col("complete.reason"), F.lit("partial_body"))
@@ -78,14 +83,14 @@ def decide(dets: DataFrame, s: dict) -> DataFrame:
     soft = F.lit(least > 0) & (F.col("sharpness") < least)
     prune, floor = F.lit(config.may_prune(s)), F.lit(config.saveable_floor(s) or 0.0)
 
-    rows = scored(prepared(dets, s), s)
+    bright = "brightness" in rows.columns
     rows = rows.withColumn("class1", S.quality_class(s, F.col("score")))
     first = F.col("class1")
     rows = rows.withColumn("class2", F.when((first == "premium") & soft, "good").otherwise(first))
     after_soft = F.col("class2")
     to_review = guard & ~whole & F.lit(bool(s["completeness_guard"]["review_on_partial"])) & after_soft.isin("premium", "good")
     graded = F.when(to_review, "review").otherwise(after_soft)
-    no_crop = ~F.col("full_frame") & ((crop["x2"] <= crop["x1"]) | (crop["y2"] <= crop["y1"]))
+    no_crop = ~F.col("full_frame") & ((crop["x2"] <= crop["x1"]) | (crop["y2"] <= crop["y1"]) | (crop["x1"] >= F.col("w")) | (crop["y1"] >= F.col("h")))  # the last two: a photo without pixels
     reason = (
         F.when(F.col("gate").isNotNull(), F.col("gate"))
         .when(prune & guard & ~whole, F.concat(F.lit("skipped_"), why))
@@ -104,7 +109,7 @@ def decide(dets: DataFrame, s: dict) -> DataFrame:
     final = F.when(F.col("graded") == "reject", "review").otherwise(F.col("graded"))
     measured = ~F.col("reason").isin("unsafe_edge", "too_small", "too_few_keypoints", "no_frontal_face", "crop_failed", "blurred", "fence_detected") & ~F.col("reason").startswith("skipped_")
     out = out.withColumns({"decision": F.when(accepted, "accept").otherwise("reject"), "quality_class": F.when(measured, F.when(accepted, final).otherwise(F.col("graded"))), "demoted_reason": F.when(measured, F.col("demoted"))})
-    worth = F.when(accepted & (F.col("quality_class") == "review"), S.enhancement(s, F.col("sharpness"), F.col("brightness"))) if "brightness" in dets.columns else F.lit(None).cast("string")
+    worth = F.when(accepted & (F.col("quality_class") == "review"), S.enhancement(s, F.col("sharpness"), F.col("brightness"))) if bright else F.lit(None).cast("string")
     out = out.withColumns({"enhancement_reason": worth, "enhance_mode": F.when(accepted, S.enhance_mode(s, F.col("quality_class")))})
     return out.withColumn("output_name", F.when(accepted, output_name()))
 
@@ -223,3 +228,15 @@ def report(decisions: DataFrame) -> DataFrame:
         F.when(F.col("quality_class").isNotNull(), F.col("score")).alias("quality_score"), "quality_class", "demoted_reason",
         c["completeness"].alias("completeness"), c["has_upper_body"].alias("has_upper_body"), c["truncated_top"].alias("truncated_top"), "enhancement_reason", "enhance_mode", "output_name",
     ).orderBy("photo_id", "candidate_idx")
+
+
+def report_columns(decisions: DataFrame, s: dict) -> DataFrame:
+    """The candidates' columns of the report by the names of its header."""
+    c, crop = F.col("complete"), F.col("crop")
+    boxes = {f"box_{x}": G.rounded(F.col(x), 1) for x in ("x1", "y1", "x2", "y2")} | {f"crop_{x}": G.rounded(crop[x], 1) for x in ("x1", "y1", "x2", "y2")}
+    return decisions.select(
+        "photo_id", "candidate_idx", G.rounded(F.col("conf"), 4).alias("confidence"), *(v.alias(n) for n, v in boxes.items()), G.rounded(G.box_height(), 1).alias("box_height"),
+        F.col("full_frame").alias("is_full_frame"), "decision", "reason", K.visible(s).alias("visible_keypoints"), G.rounded(F.col("sharpness"), 2).alias("sharpness"), "fence_detected", G.rounded(F.col("fence_score"), 4).alias("fence_score"),
+        F.col("score").alias("quality_score"), "quality_class", "demoted_reason", c["completeness"].alias("completeness"), c["has_upper_body"].alias("has_upper_body"), c["truncated_top"].alias("truncated_top"),
+        F.col("enhancement_reason").alias("enhancement_candidate_reason"), "enhance_mode", F.col("output_name").alias("output_path"),
+    )

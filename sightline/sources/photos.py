@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline import config
+from sightline.operators.suppress import suppressed
+
 PATTERN = "*.{jpg,jpeg,JPG,JPEG}"
 BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x1", "y1", "x2", "y2")])
 KEYPOINT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "conf")])
@@ -66,11 +69,50 @@ def is_valid_download(content: Column, least_bytes: int, sha256: str = "") -> Co
     return (F.length(content) >= least_bytes) & ~F.coalesce(page, F.lit(False)) & right
 
 
-def detect(rows: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], most: int = 120) -> DataFrame:
-    """Adds ``dets`` by a model that maps batches of ``photo_id`` and its inputs to batches of ``photo_id, dets``; at most ``most`` each."""
-    schema = T.StructType([rows.schema["photo_id"], T.StructField("dets", T.ArrayType(DETECTION))])
-    found = rows.mapInPandas(model, schema)
-    return found.withColumn("dets", F.slice(F.coalesce("dets", F.array().cast(T.ArrayType(DETECTION))), 1, most))
+Model = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+
+def isolated(model: Model) -> Model:
+    """``model`` with faults kept to the rows that cause them.
+
+    A batch that raises is halved until single rows are left; such a row comes back without detections and with
+    the fault as ``error``, all others with theirs. A model that gives more or fewer rows than it got counts as raising.
+    """
+
+    def tried(part: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            made = list(model(iter([part])))
+            if sum(map(len, made)) != len(part):
+                raise ValueError(f"{sum(map(len, made))} rows for {len(part)}")
+            return [x.assign(error=None) for x in made]
+        except Exception as e:
+            if len(part) == 1:
+                return [part[["photo_id"]].assign(dets=None, error=f"batch_predict_exception: {e}")]
+            return tried(part.iloc[: len(part) // 2]) + tried(part.iloc[len(part) // 2 :])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield from tried(batch)
+
+    return run
+
+
+def detect(rows: DataFrame, model: Model, s: dict = config.DEFAULTS, *, most: int | None = None) -> DataFrame:
+    """Adds ``dets`` by a model that maps batches of ``photo_id`` and its inputs to batches of ``photo_id, dets``, and ``error`` where it fails.
+
+    Detections that are sure enough and don't overlap a surer one stay, at most ``max_det`` (or ``most``) of them, surest first.
+    """
+    s = s if most is None else config.merged({"detector": {"max_det": most}}, s)
+    kind = T.ArrayType(DETECTION)
+    schema = T.StructType([rows.schema["photo_id"], T.StructField("dets", kind), T.StructField("error", T.StringType())])
+    found = rows.mapInPandas(isolated(model), schema)
+    return found.withColumn("dets", suppressed(F.coalesce("dets", F.array().cast(kind)), s, kind.simpleString()))
+
+
+def predict_errors(found: DataFrame) -> DataFrame:
+    """Decision rows of photos on which the model failed."""
+    return found.filter("error is not null").select("photo_id", F.lit("reject").alias("decision"), F.col("error").alias("reason"))
 
 
 def candidates(found: DataFrame, sizes: DataFrame) -> DataFrame:
