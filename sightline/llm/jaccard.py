@@ -511,6 +511,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90,
         spent += [regions, differ, centred]
         regions = saved(_meeting(parts), "regions")
         _drop_all(spent)
+    _drop_all([regions, ids, texts, sketches])
 
     direct = all_docs.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     if n_unlike:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm.batches import lean
-from sightline.llm.store import saved
+from sightline.llm.store import drop, saved
 from sightline.llm.textbytes import buffers, byte_set, fresh_name, hashes, mixed, pieces, replaced, sliced
 
 GRAM, WINDOW = 2, 2
@@ -152,6 +152,11 @@ def matches(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int
 
     A match goes as far both ways as the two places agree in runs that count.
     """
+    return _matches(docs, least_lines, least_words, text, doc_id)[0]
+
+
+def _matches(docs: DataFrame, least_lines: int, least_words: int | None, text: str, doc_id: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The matches, and the tables that they are read from."""
     if least_lines < LEAST_LINES:
         raise ValueError(f"winnowing guarantees runs of {LEAST_LINES} lines or more")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
@@ -169,7 +174,8 @@ def matches(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int
     pairs = pairs.withColumn("distance", F.col("line") - F.col("from_line")).withColumn("before", F.max(F.col("line") + F.col("size")).over(along.rowsBetween(Window.unboundedPreceding, -1)))
     pairs = pairs.withColumn("match", F.sum(F.when(F.col("line") <= F.col("before"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     whole = pairs.groupBy("doc_id", "from_doc", "distance", "match").agg(F.min("line").alias("line"), F.max(F.col("line") + F.col("size")).alias("end"))
-    return whole.select("doc_id", "line", (F.col("end") - F.col("line")).alias("n_lines"), "from_doc", (F.col("line") - F.col("distance")).alias("from_line"))
+    whole = whole.select("doc_id", "line", (F.col("end") - F.col("line")).alias("n_lines"), "from_doc", (F.col("line") - F.col("distance")).alias("from_line"))
+    return whole, [found, matched]
 
 
 def _without(text: str, runs: list[dict]) -> tuple[str, int]:
@@ -200,10 +206,12 @@ def _cut(batches: Iterator[pa.RecordBatch], columns: list[str], text: str, chars
 
 def remove_repeated_lines(docs: DataFrame, *, least_lines: int = LEAST_LINES, least_words: int | None = None, text: str = "text", doc_id: str = "doc_id", chars: str | None = "n_chars", drop_emptied: bool = False, count: bool = False) -> DataFrame:
     """``docs`` without the later ones of repeated runs of lines; with ``count``, and ``n_removed`` lines (a column of that name is replaced)."""
-    found = matches(docs, least_lines=least_lines, least_words=least_words, text=text, doc_id=doc_id)
+    found, tables = _matches(docs, least_lines, least_words, text, doc_id)
     doc, runs = fresh_name("__doc", docs.columns), fresh_name("__runs", docs.columns)
     found = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_set(F.struct("line", "n_lines"))).alias(runs))
     found = saved(found, "line-cuts")
+    for table in tables:
+        drop(table)
     n = found.agg(F.coalesce(F.sum(F.size(runs) + 1), F.lit(0))).first()[0]
     joined = docs.join(F.broadcast(found) if n <= BROADCAST_NUMBERS else found, docs[doc_id].cast("long") == found[doc], "left").drop(doc)
     chars = chars if chars in docs.columns and docs.schema[chars].dataType == T.LongType() else None
