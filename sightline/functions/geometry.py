@@ -36,6 +36,15 @@ def rounded(x: Column, digits: int) -> Column:
     return F.when(up, low + 1.0).otherwise(low) / scale
 
 
+def rounded_text(x: str, digits: int) -> str:
+    """The same for a column, as SQL text."""
+    scale = f"{float(10**digits)!r}D"
+    product, low = f"({x} * {scale})", f"double(floor({x} * {scale}))"
+    high = f"({x} * 134217729.0D - ({x} * 134217729.0D - {x}))"
+    over = f"(({product} - {low} - 0.5D) + (({high} * {scale} - {product}) + ({x} - {high}) * {scale}))"
+    return f"(CASE WHEN {over} > 0 OR ({over} = 0 AND {low} % 2.0D <> 0) THEN {low} + 1.0D ELSE {low} END) / {scale}"
+
+
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.struct(x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), x2.cast("double").alias("x2"), y2.cast("double").alias("y2"))
 
@@ -44,14 +53,17 @@ def box_height() -> Column:
     return F.col("y2") - F.col("y1")
 
 
-def cut_by_frame(s: dict, top: bool = False) -> Column:
-    """Whether the box runs into the left or right border, or, with ``top``, into the upper one."""
+def _cut_text(s: dict, top: bool = False) -> str:
     g = s["completeness_guard"]
     if not g["edge_truncation_guard"]:
-        return F.lit(False)
-    margin = float(g["edge_margin_px"])
-    out = (F.col("x1") <= margin) | (F.col("x2") >= F.col("w") - margin)
-    return out | (F.col("y1") <= margin) if top else out
+        return "false"
+    margin = f"{float(g['edge_margin_px'])!r}D"
+    return f"(x1 <= {margin} OR x2 >= w - {margin}{f' OR y1 <= {margin}' if top else ''})"
+
+
+def cut_by_frame(s: dict, top: bool = False) -> Column:
+    """Whether the box runs into the left or right border, or, with ``top``, into the upper one."""
+    return F.expr(_cut_text(s, top))
 
 
 def is_full_frame(s: dict) -> Column:
@@ -59,114 +71,91 @@ def is_full_frame(s: dict) -> Column:
     f = s["full_frame_runner"]
     if not f["enabled"]:
         return F.lit(False)
-    tall = box_height() / F.greatest(num(1), F.col("h")) >= float(f["trigger_box_height_ratio"])
-    area = (F.col("x2") - F.col("x1")) * box_height() / F.greatest(num(1), F.col("w") * F.col("h"))
-    return ~cut_by_frame(s, top=True) & (tall | (area >= float(f["trigger_box_area_ratio"])))
-
-
-def aspect_crop(s: dict, centre_x: Column, centre_y: Column) -> Column:
-    """The largest crop of the wanted aspect around a point, inside the photo; whole pixels, halves to even."""
-    ratio = float(s["crop"]["aspect_ratio"])
-    w, h = F.col("w").cast("double"), F.col("h").cast("double")
-    now = w / F.greatest(num(1), h)
-    wide = now > ratio
-    cw, ch = F.when(wide, h * ratio).otherwise(w), F.when(wide, h).otherwise(w / ratio)
-    x = clamp(F.when(wide, centre_x - cw / 2.0).otherwise(0.0), num(0), F.greatest(num(0), w - cw))
-    y = clamp(F.when(wide, num(0)).otherwise(centre_y - ch / 2.0), num(0), F.greatest(num(0), h - ch))
-    fitted = box(F.rint(x), F.rint(y), F.rint(x + cw), F.rint(y + ch))
-    return F.when(F.abs(now - ratio) < 0.01, box(num(0), num(0), w, h)).otherwise(fitted)
+    tall = f"(y2 - y1) / greatest(1.0D, h) >= {float(f['trigger_box_height_ratio'])!r}D"
+    area = f"(x2 - x1) * (y2 - y1) / greatest(1.0D, w * h) >= {float(f['trigger_box_area_ratio'])!r}D"
+    return F.expr(f"NOT {_cut_text(s, top=True)} AND ({tall} OR {area})")
 
 
 def full_frame_crop(s: dict) -> Column:
-    if s["full_frame_runner"]["crop_to_aspect_ratio"]:
-        return aspect_crop(s, (F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0)
-    return box(num(0), num(0), F.col("w"), F.col("h"))
-
-
-def _stages(df: DataFrame, *stages) -> DataFrame:
-    """Adds columns stage by stage; what several later columns use is then computed once, not inlined in each."""
+    """The largest crop of the wanted aspect around the box's centre, inside the photo; whole pixels, halves to even. The photo itself where crops keep its shape."""
+    whole = _box_text("0", "0", "w", "h")
+    if not s["full_frame_runner"]["crop_to_aspect_ratio"]:
+        return F.expr(whole)
+    ratio = f"{float(s['crop']['aspect_ratio'])!r}D"
+    now = "(double(w) / greatest(1.0D, double(h)))"
+    wide = f"{now} > {ratio}"
+    cw, ch = _case(wide, f"double(h) * {ratio}", "double(w)"), _case(wide, "double(h)", f"double(w) / {ratio}")
+    x = f"greatest(0.0D, least({_case(wide, f'(x1 + x2) / 2.0D - ({cw}) / 2.0D', '0.0D')}, greatest(0.0D, double(w) - ({cw}))))"
+    y = f"greatest(0.0D, least({_case(wide, '0.0D', f'(y1 + y2) / 2.0D - ({ch}) / 2.0D')}, greatest(0.0D, double(h) - ({ch}))))"
+    fitted = _box_text(f"rint({x})", f"rint({y})", f"rint({x} + ({cw}))", f"rint({y} + ({ch}))")
+    return F.expr(_case(f"abs({now} - {ratio}) < 0.01D", whole, fitted))
+
+
+def _stages(df: DataFrame, *stages: dict[str, str]) -> DataFrame:
+    """Adds columns, given as SQL text, stage by stage; what several later columns use is then computed once, not inlined in each."""
     for stage in stages:
-        df = df.withColumns(stage())
+        df = df.selectExpr("*", *(f"{text} AS {name}" for name, text in stage.items()))
     return df
 
 
-def with_anatomy(df: DataFrame, s: dict) -> DataFrame:
-    """Adds ``anatomy``: a crop from head to foot with margins, whose width follows from the aspect ratio.
+def _case(condition: str, yes: str, no: str) -> str:
+    return f"CASE WHEN {condition} THEN {yes} ELSE {no} END"
 
-    The box is first widened to the sure keypoints, if these are enough.
-    """
-    c, ratio = s["crop"], float(s["crop"]["aspect_ratio"])
-    col = F.col
-
-    def reach() -> dict[str, Column]:
-        enough, every = K.visible(s) >= int(s["selection_filters"]["min_keypoints"]), tuple(range(K.POINTS))
-        ends = {"x1": ("x", K.least, F.least), "y1": ("y", K.least, F.least), "x2": ("x", K.greatest, F.greatest), "y2": ("y", K.greatest, F.greatest)}
-        sides = {f"_{side}": F.when(enough, pick(col(side), end(K.along(s, axis, every)))).otherwise(col(side)) for side, (axis, end, pick) in ends.items()}
-        joints = {"_head_y": K.least(K.along(s, "y", K.HEAD)), "_shoulder_y": K.mean(K.along(s, "y", K.SHOULDERS)), "_hip_y": K.mean(K.along(s, "y", K.HIPS))}
-        return sides | joints | {f"_low_{n}": K.greatest(K.along(s, "y", g)) for n, g in (("hip", K.HIPS), ("knee", K.KNEES), ("ankle", K.ANKLES))}
-
-    def scale() -> dict[str, Column]:
-        return {"_tall": F.greatest(num(1), col("_y2") - col("_y1")), "_torso": F.when(col("_hip_y") > col("_shoulder_y"), col("_hip_y") - col("_shoulder_y"))}
-
-    def ends() -> dict[str, Column]:
-        above = F.coalesce(col("_head_y") - col("_tall") * float(c["anatomy_crown_allowance"]), col("_shoulder_y") - col("_tall") * float(s["completeness_guard"]["head_estimate_ratio"]))
 
-        def below(joint: str, of_torso: str, of_box: str) -> Column:
-            return col(joint) + F.coalesce(col("_torso") * float(c[of_torso]), col("_tall") * float(c[of_box]))
+def _box_text(x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"named_struct('x1', double({x1}), 'y1', double({y1}), 'x2', double({x2}), 'y2', double({y2}))"
 
-        feet = F.coalesce(col("_low_ankle"), below("_low_knee", "anatomy_shank_to_torso_ratio", "anatomy_knee_extend_ratio"), below("_low_hip", "anatomy_leg_to_torso_ratio", "anatomy_hip_extend_ratio"))
-        return {"_top0": F.least(col("_y1"), above), "_foot": F.greatest(col("_y2"), feet)}  # both skip nulls
 
-    def margins() -> dict[str, Column]:
-        person = F.greatest(num(1), col("_foot") - col("_top0"))
-        return {"_top": col("_top0") - person * float(c["anatomy_headroom_ratio"]), "_low": col("_foot") + person * float(c["anatomy_footroom_ratio"]), "_need": (col("_x2") - col("_x1")) * (1.0 + float(c["anatomy_side_margin"])), "_middle": (col("_x1") + col("_x2")) / 2.0}
-
-    def width() -> dict[str, Column]:
-        framed = (col("_low") - col("_top")) * ratio
-        narrow = framed < col("_need")
-        return {"_width": F.when(narrow, col("_need")).otherwise(framed), "_bottom": F.when(narrow, col("_top") + col("_need") / ratio).otherwise(col("_low"))}
-
-    def crop() -> dict[str, Column]:
-        return {"anatomy": box(col("_middle") - col("_width") / 2.0, col("_top"), col("_middle") + col("_width") / 2.0, col("_bottom"))}
+def with_anatomy(df: DataFrame, s: dict) -> DataFrame:
+    """Adds ``anatomy``: a crop from head to foot with margins, whose width follows from the aspect ratio.
 
+    The box is first widened to the sure keypoints, if these are enough. The terms are SQL text, as those over keypoints are: built call by call
+    they took seconds of a plan.
+    """
+    c, every = s["crop"], tuple(range(K.POINTS))
+    d = {n: f"{float(v)!r}D" for n, v in c.items() if isinstance(v, (int, float))}
+    estimate, enough = f"{float(s['completeness_guard']['head_estimate_ratio'])!r}D", f"{K.count_text(s, every)} >= {int(s['selection_filters']['min_keypoints'])}"
+    reach = {}
+    for side, axis, pick in (("x1", "x", "least"), ("y1", "y", "least"), ("x2", "x", "greatest"), ("y2", "y", "greatest")):
+        reach[f"_{side}"] = _case(enough, f"{pick}({side}, {pick}({', '.join(K.along(s, axis, every))}))", side)  # both skip nulls
+    reach |= {"_head_y": f"least({', '.join(K.along(s, 'y', K.HEAD))})"} | {f"_{n}_y": K.mean_text(K.along(s, "y", g)) for n, g in (("shoulder", K.SHOULDERS), ("hip", K.HIPS))}
+    reach |= {f"_low_{n}": f"greatest({', '.join(K.along(s, 'y', g))})" for n, g in (("hip", K.HIPS), ("knee", K.KNEES), ("ankle", K.ANKLES))}
+    scale = {"_tall": "greatest(1.0D, _y2 - _y1)", "_torso": "CASE WHEN _hip_y > _shoulder_y THEN _hip_y - _shoulder_y END"}
+    above = f"coalesce(_head_y - _tall * {d['anatomy_crown_allowance']}, _shoulder_y - _tall * {estimate})"
+    below = "{0} + coalesce(_torso * {1}, _tall * {2})".format
+    feet = f"coalesce(_low_ankle, {below('_low_knee', d['anatomy_shank_to_torso_ratio'], d['anatomy_knee_extend_ratio'])}, {below('_low_hip', d['anatomy_leg_to_torso_ratio'], d['anatomy_hip_extend_ratio'])})"
+    ends = {"_top0": f"least(_y1, {above})", "_foot": f"greatest(_y2, {feet})"}
+    person = "greatest(1.0D, _foot - _top0)"
+    side = f"{1.0 + float(c['anatomy_side_margin'])!r}D"
+    margins = {"_top": f"_top0 - {person} * {d['anatomy_headroom_ratio']}", "_low": f"_foot + {person} * {d['anatomy_footroom_ratio']}", "_need": f"(_x2 - _x1) * {side}", "_middle": "(_x1 + _x2) / 2.0D"}
+    framed, ratio = f"(_low - _top) * {d['aspect_ratio']}", d["aspect_ratio"]
+    width = {"_width": _case(f"{framed} < _need", "_need", framed), "_bottom": _case(f"{framed} < _need", f"_top + _need / {ratio}", "_low")}
+    crop = {"anatomy": _box_text("_middle - _width / 2.0D", "_top", "_middle + _width / 2.0D", "_bottom")}
     kept = [n for n in df.columns if n != "anatomy"]
-    return _stages(df, reach, scale, ends, margins, width, crop).select(*kept, "anatomy")
+    return _stages(df.select(*kept), reach, scale, ends, margins, width, crop).select(*kept, "anatomy")
 
 
 def with_smart_crop(df: DataFrame, s: dict, name: str = "smart_crop") -> DataFrame:
     """Adds the anatomy crop, cut to whole pixels inside the photo."""
-    a = F.col("anatomy")
-
-    def begin() -> dict[str, Column]:
-        return {"_cx1": clamp(a["x1"], num(0), F.col("w") - num(1)).cast("int"), "_cy1": clamp(a["y1"], num(0), F.col("h") - num(1)).cast("int")}
-
-    def end() -> dict[str, Column]:
-        x2 = clamp(a["x2"], F.col("_cx1") + num(1), F.col("w").cast("double")).cast("int")
-        y2 = clamp(a["y2"], F.col("_cy1") + num(1), F.col("h").cast("double")).cast("int")
-        return {name: box(F.col("_cx1"), F.col("_cy1"), x2, y2)}
-
-    return _stages(with_anatomy(df, s), begin, end).drop("_cx1", "_cy1", "anatomy")
-
-
-def centre_offsets(crop: Column) -> Column:
-    """How far the crop's centre lies from the box's, as shares of the crop."""
-    x = F.abs((F.col("x1") + F.col("x2")) / 2.0 - (crop["x1"] + crop["x2"]) / 2.0) / F.greatest(num(1), crop["x2"] - crop["x1"])
-    y = F.abs((F.col("y1") + F.col("y2")) / 2.0 - (crop["y1"] + crop["y2"]) / 2.0) / F.greatest(num(1), crop["y2"] - crop["y1"])
-    return F.struct(x.alias("x"), y.alias("y"), F.greatest(x, y).alias("max"))
+    begin = {"_cx1": "int(greatest(0.0D, least(anatomy.x1, w - 1.0D)))", "_cy1": "int(greatest(0.0D, least(anatomy.y1, h - 1.0D)))"}
+    x2, y2 = "int(greatest(_cx1 + 1.0D, least(anatomy.x2, double(w))))", "int(greatest(_cy1 + 1.0D, least(anatomy.y2, double(h))))"
+    return _stages(with_anatomy(df, s), begin, {name: _box_text("_cx1", "_cy1", x2, y2)}).drop("_cx1", "_cy1", "anatomy")
 
 
-def isolation(crop: Column) -> Column:
-    """Largest overlap of the crop with any other raw detection of the photo (``dets``): as share of the crop, and of the other."""
-    area = F.greatest(num(1), (crop["x2"] - crop["x1"]) * (crop["y2"] - crop["y1"]))
+def centre_offsets(crop: str = "crop") -> Column:
+    """How far a crop column's centre lies from the box's, as shares of the crop."""
+    x, y = (f"abs(({v}1 + {v}2) / 2.0D - ({crop}.{v}1 + {crop}.{v}2) / 2.0D) / greatest(1.0D, {crop}.{v}2 - {crop}.{v}1)" for v in "xy")
+    return F.expr(f"named_struct('x', {x}, 'y', {y}, 'max', greatest({x}, {y}))")
 
-    def shares(d: Column, i: Column) -> dict[str, Column]:
-        wide = F.least(crop["x2"], d["x2"]) - F.greatest(crop["x1"], d["x1"])
-        tall = F.least(crop["y2"], d["y2"]) - F.greatest(crop["y1"], d["y1"])
-        inter = F.when((wide > 0) & (tall > 0) & (d["candidate_idx"] != F.col("candidate_idx")), wide * tall).otherwise(0.0)
-        return {"of_crop": inter / area, "of_other": inter / F.greatest(num(1), (d["x2"] - d["x1"]) * (d["y2"] - d["y1"]))}
 
-    most = F.array_max(F.transform("dets", lambda d, i: shares(d, i)["of_crop"])), F.array_max(F.transform("dets", lambda d, i: shares(d, i)["of_other"]))
-    return F.struct(F.coalesce(most[0], num(0)).alias("of_crop"), F.coalesce(most[1], num(0)).alias("of_other"))
+def isolation(crop: str = "crop") -> Column:
+    """Largest overlap of a crop column with any other raw detection of the photo (``dets``): as share of the crop, and of the other."""
+    wide = f"(least({crop}.x2, d.x2) - greatest({crop}.x1, d.x1))"
+    tall = f"(least({crop}.y2, d.y2) - greatest({crop}.y1, d.y1))"
+    met = f"CASE WHEN {wide} > 0 AND {tall} > 0 AND d.candidate_idx <> candidate_idx THEN {wide} * {tall} ELSE 0.0D END"
+    of_crop, of_other = f"greatest(1.0D, ({crop}.x2 - {crop}.x1) * ({crop}.y2 - {crop}.y1))", "greatest(1.0D, (d.x2 - d.x1) * (d.y2 - d.y1))"
+    most = [f"coalesce(array_max(transform(dets, d -> {met} / {area})), 0.0D)" for area in (of_crop, of_other)]
+    return F.expr(f"named_struct('of_crop', {most[0]}, 'of_other', {most[1]})")
 
 
 def final_size(s: dict, crop: Column) -> Column:

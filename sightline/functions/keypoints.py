@@ -28,9 +28,13 @@ def any_seen(s: dict, group: tuple[int, ...]) -> Column:
     return F.expr(" or ".join(_sure(s, i) for i in group))
 
 
-def count_seen(s: dict, group: tuple[int, ...]) -> Column:
+def count_text(s: dict, group: tuple[int, ...]) -> str:
     """How many of the group are sure enough. A sum over their places: arrays' higher-order functions would be interpreted."""
-    return F.expr(" + ".join(f"int({_sure(s, i)})" for i in group))
+    return " + ".join(f"int({_sure(s, i)})" for i in group)
+
+
+def count_seen(s: dict, group: tuple[int, ...]) -> Column:
+    return F.expr(count_text(s, group))
 
 
 def visible(s: dict) -> Column:
@@ -52,17 +56,17 @@ def greatest(values: list[str]) -> Column:
     return F.expr(f"greatest({', '.join(values)})" if len(values) > 1 else values[0])
 
 
-def mean(values: list[str]) -> Column:
+def mean_text(values: list[str]) -> str:
     """Mean of the one or two values that are there; null if none is."""
     one, two = values
-    return F.expr(f"coalesce(({one} + {two}) / 2.0D, {one}, {two})")
+    return f"coalesce(({one} + {two}) / 2.0D, {one}, {two})"
 
 
-def frontal_face() -> Column:
+def frontal_text() -> str:
     def over(i: int, least: float) -> str:
         return f"coalesce(get(kps, {i}).conf > {least!r}D, false)"
 
-    return F.expr(f"kps is null or ({over(0, 0.45)} and ({over(1, 0.35)} or {over(2, 0.35)}))")
+    return f"kps is null or ({over(0, 0.45)} and ({over(1, 0.35)} or {over(2, 0.35)}))"
 
 
 def completeness(s: dict, cut_side: Column) -> Column:

@@ -13,49 +13,60 @@ from sightline.functions import keypoints as K
 NO_FENCE = 0.0
 
 
-def ramp(value: Column, low: Column | float, high: Column | float) -> Column:
+def number(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def ramp_text(value: str, low: str, high: str) -> str:
     """0 up to ``low``, 1 from ``high``, straight between; a step where the bounds cross."""
+    step = f"CASE WHEN {value} >= {high} THEN 1.0D ELSE 0.0D END"
+    return f"CASE WHEN {high} <= {low} THEN {step} ELSE greatest(0.0D, least(({value} - {low}) / nullif({high} - {low}, 0.0D), 1.0D)) END"
+
+
+def ramp(value: Column, low: Column | float, high: Column | float) -> Column:
+    """The same for columns."""
     low, high = (x if isinstance(x, Column) else G.num(x) for x in (low, high))
     span = F.when(high > low, high - low)
     step = F.when(value >= high, 1.0).otherwise(0.0)
     return F.when(high <= low, step).otherwise(G.clamp((value - low) / span, G.num(0), G.num(1)))
 
 
-def fence_free(fence_score: Column) -> Column:
-    """The part of the score that a fence takes away from."""
-    return G.clamp(1.0 - F.least(G.num(1), fence_score / 0.25), G.num(0), G.num(1))
+def fence_free(fence_score: str) -> str:
+    """The part of the score that a fence takes away from, as SQL text."""
+    return f"greatest(0.0D, least(1.0D - least(1.0D, {fence_score} / 0.25D), 1.0D))"
 
 
-def components(s: dict, fence_score: Column, full_frame: Column, sharpness: Column) -> dict[str, Column]:
-    """The seven parts of the score, each from 0 to 1, in the order in which they are added; needs ``alone`` and ``offsets``."""
+def components(s: dict, fence_score: str = "fence_score") -> dict[str, str]:
+    """The seven parts of the score as SQL text, each from 0 to 1, in the order in which they are added; needs ``full_frame``, ``sharpness``, ``alone`` and ``offsets``."""
     f, q = s["selection_filters"], s["quality_scoring"]
-    least_h = F.greatest(G.num(f["min_box_height_px"]), F.col("h") * float(f["min_height_ratio"]))
-    share = G.clamp(K.visible(s) / 17.0, G.num(0), G.num(1))
-    bypass = full_frame & F.lit(bool(s["full_frame_runner"]["bypass_min_keypoints"]))
-    alone = F.col("alone")
-
-    def rest(x: Column) -> Column:
-        return G.clamp(1.0 - x, G.num(0), G.num(1))
-
+    least_h = f"greatest({number(f['min_box_height_px'])}, h * {number(f['min_height_ratio'])})"
+    share = f"greatest(0.0D, least(({K.count_text(s, tuple(range(K.POINTS)))}) / 17.0D, 1.0D))"
+    rest = "greatest(0.0D, least(1.0D - {0}, 1.0D))".format
+    of_frame = f"CASE WHEN full_frame THEN greatest(0.65D, {share}) ELSE {share} END" if s["full_frame_runner"]["bypass_min_keypoints"] else share
     return {
-        "sharpness": ramp(sharpness, f["min_sharpness_threshold"], q["excellent_sharpness"]),
-        "center": rest(F.least(G.num(1), F.col("offsets")["max"] / 0.28)),
-        "size": F.when(full_frame, 1.0).otherwise(ramp(F.greatest(G.num(1), G.box_height()), least_h, q["ideal_runner_height_px"])),
-        "keypoints": F.when(bypass, F.greatest(G.num(0.65), share)).otherwise(share),
-        "isolation": rest(F.greatest(alone["of_crop"] / 0.25, alone["of_other"] / 0.75)),
-        "confidence": ramp(F.col("conf"), f["conf_threshold"], q["ideal_confidence"]),
+        "sharpness": ramp_text("sharpness", number(f["min_sharpness_threshold"]), number(q["excellent_sharpness"])),
+        "center": rest("least(1.0D, offsets.max / 0.28D)"),
+        "size": f"CASE WHEN full_frame THEN 1.0D ELSE {ramp_text('greatest(1.0D, y2 - y1)', least_h, number(q['ideal_runner_height_px']))} END",
+        "keypoints": of_frame,
+        "isolation": rest("greatest(alone.of_crop / 0.25D, alone.of_other / 0.75D)"),
+        "confidence": ramp_text("conf", number(f["conf_threshold"]), number(q["ideal_confidence"])),
         "fence_free": fence_free(fence_score),
     }
 
 
-def raw_score(s: dict, parts: dict[str, Column]) -> Column:
-    """The weighted mean in hundredths, not rounded; added in a fixed order."""
+def raw_score(s: dict, parts: dict[str, str]) -> str:
+    """The weighted mean in hundredths as SQL text, not rounded; added in a fixed order."""
     weights = s["quality_scoring"]["weights"]
-    total, of = F.lit(0.0), 0.0
+    total, of = "0.0D", 0.0
     for name, part in parts.items():
         weight = float(weights.get(name, 0.0))
-        total, of = total + part * weight, of + weight
-    return total / max(0.001, of) * 100.0
+        total, of = f"{total} + {part} * {number(weight)}", of + weight
+    return f"({total}) / {number(max(0.001, of))} * 100.0D"
+
+
+def class_text(s: dict, score: str) -> str:
+    lines = s["quality_scoring"]["classes"]
+    return f"CASE {' '.join(f"WHEN {score} >= {number(lines[n])} THEN '{n}'" for n in ('premium', 'good', 'review'))} ELSE 'reject' END"
 
 
 def quality_class(s: dict, score: Column) -> Column:
@@ -70,25 +81,23 @@ def folder(quality: Column) -> Column:
     return out.otherwise(FOLDERS["review"])
 
 
-def is_saved(s: dict, quality: Column, score: Column) -> Column:
+def saved_text(s: dict, quality: str, score: str) -> str:
+    """Whether a class and score are saved, as SQL text."""
     q = s["quality_scoring"]
     if q["premium_only"]:
-        return quality == "premium"
-    review = F.lit(bool(q["save_review"]))
-    return F.when(quality == "reject", (score >= float(q["hard_reject_below_score"])) & review).when(quality == "review", review).otherwise(True)
+        return f"({quality} = 'premium')"
+    if not q["save_review"]:
+        return f"({quality} NOT IN ('reject', 'review'))"
+    return f"({quality} <> 'reject' OR {score} >= {number(q['hard_reject_below_score'])})"
 
 
-def enhancement(s: dict, sharpness: Column, brightness: Column) -> Column:
-    """Why a Review crop looks worth restoring; null if it doesn't."""
+def enhancement_text(s: dict) -> str:
+    """Why a Review crop looks worth restoring, as SQL text; null if it doesn't."""
     r = s["review_enhancement"]
-    return F.when(sharpness <= float(r["candidate_max_sharpness"]), "soft_focus").when(brightness < float(r["candidate_min_brightness"]), "underexposed").when(brightness > float(r["candidate_max_brightness"]), "overexposed")
-
-
-def enhance_mode(s: dict, quality: Column) -> Column:
-    out = F.lit("upscale")
-    for name, mode in s["image_quality"]["enhance_by_class"].items():
-        out = F.when(quality == name, mode).otherwise(out)
-    return out
+    return (
+        f"CASE WHEN sharpness <= {number(r['candidate_max_sharpness'])} THEN 'soft_focus' WHEN brightness < {number(r['candidate_min_brightness'])} THEN 'underexposed' "
+        f"WHEN brightness > {number(r['candidate_max_brightness'])} THEN 'overexposed' END"
+    )
 
 
 def fence_decision(s: dict, lines: Column, person: Column, central: Column, coverage: Column) -> Column:

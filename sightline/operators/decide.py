@@ -41,14 +41,15 @@ def as_rows(df: DataFrame) -> DataFrame:
 def geometry_gate(s: dict) -> Column:
     """The first gate of position, size and keypoints that a candidate fails; null if none. Needs ``full_frame``."""
     f, r = s["selection_filters"], s["full_frame_runner"]
-    free_zone = F.col("full_frame") & F.lit(bool(r["bypass_safe_zone"]))
-    free_pose = F.col("full_frame") & F.lit(bool(r["bypass_min_keypoints"]))
-    zone, centre = float(f["safe_zone_percent"]) / 100.0, (F.col("x1") + F.col("x2")) / 2.0
-    outside = F.lit(bool(f["enable_safe_zone"])) & ~free_zone & ((centre < F.col("w") * zone) | (centre > F.col("w") * (1.0 - zone)))
-    small = ~F.col("full_frame") & (G.box_height() < F.greatest(F.col("h") * float(f["min_height_ratio"]), G.num(f["min_box_height_px"])))
-    few = ~free_pose & (K.visible(s) < int(f["min_keypoints"]))
-    averted = F.lit(bool(f["require_frontal_face"])) & ~free_pose & ~K.frontal_face()
-    return F.when(outside, "unsafe_edge").when(small, "too_small").when(few, "too_few_keypoints").when(averted, "no_frontal_face")
+    zone, gates = S.number(float(f["safe_zone_percent"]) / 100.0), []
+    free = lambda flag: "full_frame" if r[flag] else "false"
+    if f["enable_safe_zone"]:
+        gates.append(f"WHEN NOT {free('bypass_safe_zone')} AND ((x1 + x2) / 2.0D < w * {zone} OR (x1 + x2) / 2.0D > w * (1.0D - {zone})) THEN 'unsafe_edge'")
+    gates.append(f"WHEN NOT full_frame AND y2 - y1 < greatest(h * {S.number(f['min_height_ratio'])}, {S.number(f['min_box_height_px'])}) THEN 'too_small'")
+    gates.append(f"WHEN NOT {free('bypass_min_keypoints')} AND {K.count_text(s, tuple(range(K.POINTS)))} < {int(f['min_keypoints'])} THEN 'too_few_keypoints'")
+    if f["require_frontal_face"]:
+        gates.append(f"WHEN NOT {free('bypass_min_keypoints')} AND NOT ({K.frontal_text()}) THEN 'no_frontal_face'")
+    return F.expr(f"CASE {' '.join(gates)} END")
 
 
 def prepared(dets: DataFrame, s: dict) -> DataFrame:
@@ -56,17 +57,17 @@ def prepared(dets: DataFrame, s: dict) -> DataFrame:
     out = with_others(dets).withColumn("full_frame", G.is_full_frame(s))
     out = out.withColumn("gate", geometry_gate(s)).withColumn("complete", K.completeness(s, G.cut_by_frame(s)))
     out = G.with_smart_crop(out, s).withColumn("crop", F.when(F.col("full_frame"), G.full_frame_crop(s)).otherwise(F.col("smart_crop"))).drop("smart_crop")
-    return out.withColumns({"alone": G.isolation(F.col("crop")), "offsets": G.centre_offsets(F.col("crop"))})
+    return out.withColumns({"alone": G.isolation("crop"), "offsets": G.centre_offsets("crop")})
 
 
 def scored(prep: DataFrame, s: dict) -> DataFrame:
     """Adds the parts of the score, the score, and the ``ceiling`` that it would have without a fence."""
-    parts = S.components(s, F.col("fence_score"), F.col("full_frame"), F.col("sharpness"))
-    out = prep.withColumns({f"part_{n}": c for n, c in parts.items()})
-    known = {n: F.col(f"part_{n}") for n in parts}
-    raw = S.raw_score(s, known)
-    ceiling = S.raw_score(s, known | {"fence_free": S.fence_free(G.num(S.NO_FENCE))})
-    return as_rows(out.withColumns({"raw_score": raw, "ceiling": G.rounded(ceiling, 2)}).withColumn("score", G.rounded(F.col("raw_score"), 2)))
+    parts = S.components(s)
+    out = prep.selectExpr("*", *(f"{text} AS part_{n}" for n, text in parts.items()))
+    known = {n: f"part_{n}" for n in parts}
+    ceiling = S.raw_score(s, known | {"fence_free": S.fence_free(S.number(S.NO_FENCE))})
+    out = out.selectExpr("*", f"{S.raw_score(s, known)} AS raw_score", f"{ceiling} AS raw_ceiling")
+    return as_rows(out.selectExpr("* EXCEPT (raw_ceiling)", f"{G.rounded_text('raw_ceiling', 2)} AS ceiling", f"{G.rounded_text('raw_score', 2)} AS score"))
 
 
 def decide(dets: DataFrame, s: dict) -> DataFrame:
@@ -75,43 +76,49 @@ def decide(dets: DataFrame, s: dict) -> DataFrame:
 
 
 def finished(rows: DataFrame, s: dict) -> DataFrame:
-    """The decisions over rows of ``scored``."""
-    f, q = s["selection_filters"], s["quality_scoring"]
-    guard = F.lit(bool(s["completeness_guard"]["enabled"])) & ~F.col("full_frame")
-    whole, why = F.col("complete.ok_for_premium"), F.coalesce(F.col("complete.reason"), F.lit("partial_body"))
-    crop, least = F.col("crop"), float(f["premium_min_sharpness"])
-    soft = F.lit(least > 0) & (F.col("sharpness") < least)
-    prune, floor = F.lit(config.may_prune(s)), F.lit(config.saveable_floor(s) or 0.0)
-
-    bright = "brightness" in rows.columns
-    rows = rows.withColumn("class1", S.quality_class(s, F.col("score")))
-    first = F.col("class1")
-    rows = rows.withColumn("class2", F.when((first == "premium") & soft, "good").otherwise(first))
-    after_soft = F.col("class2")
-    to_review = guard & ~whole & F.lit(bool(s["completeness_guard"]["review_on_partial"])) & after_soft.isin("premium", "good")
-    graded = F.when(to_review, "review").otherwise(after_soft)
-    no_crop = ~F.col("full_frame") & ((crop["x2"] <= crop["x1"]) | (crop["y2"] <= crop["y1"]) | (crop["x1"] >= F.col("w")) | (crop["y1"] >= F.col("h")))  # the last two: a photo without pixels
-    reason = (
-        F.when(F.col("gate").isNotNull(), F.col("gate"))
-        .when(prune & guard & ~whole, F.concat(F.lit("skipped_"), why))
-        .when(no_crop, "crop_failed")
-        .when(F.lit(bool(f["hard_reject_extreme_blur"])) & (F.col("sharpness") < float(f["min_sharpness_threshold"])), "blurred")
-        .when(prune & F.lit(bool(q["premium_only"])) & soft, "skipped_soft")
-        .when(prune & (F.col("ceiling") < floor), "skipped_score")
-        .when(F.lit(bool(f["hard_reject_fence"])) & F.col("fence_detected"), "fence_detected")
-        .when(guard & ~whole & F.lit(not s["completeness_guard"]["review_on_partial"]), why)
-        .when(~S.is_saved(s, F.col("graded"), F.col("score")), "low_quality_score")
-        .otherwise("ok")
-    )
-    out = rows.withColumns({"graded": graded, "demoted": F.when(to_review, F.col("complete.reason")).when((first == "premium") & soft, "soft_for_premium")})
-    out = out.withColumn("reason", reason)
-    accepted = F.col("reason") == "ok"
-    final = F.when(F.col("graded") == "reject", "review").otherwise(F.col("graded"))
-    measured = ~F.col("reason").isin("unsafe_edge", "too_small", "too_few_keypoints", "no_frontal_face", "crop_failed", "blurred", "fence_detected") & ~F.col("reason").startswith("skipped_")
-    out = out.withColumns({"decision": F.when(accepted, "accept").otherwise("reject"), "quality_class": F.when(measured, F.when(accepted, final).otherwise(F.col("graded"))), "demoted_reason": F.when(measured, F.col("demoted"))})
-    worth = F.when(accepted & (F.col("quality_class") == "review"), S.enhancement(s, F.col("sharpness"), F.col("brightness"))) if bright else F.lit(None).cast("string")
-    out = out.withColumns({"enhancement_reason": worth, "enhance_mode": F.when(accepted, S.enhance_mode(s, F.col("quality_class")))})
-    return out.withColumn("output_name", F.when(accepted, output_name()))
+    """The decisions over rows of ``scored``, in stages of SQL text."""
+    f, q, guarded = s["selection_filters"], s["quality_scoring"], s["completeness_guard"]
+    number, soft_line = S.number, float(f["premium_min_sharpness"])
+    soft = f"sharpness < {number(soft_line)}"
+    partial = "NOT full_frame AND NOT complete.ok_for_premium"
+    why = "coalesce(complete.reason, 'partial_body')"
+    class2 = f"CASE WHEN class1 = 'premium' AND {soft} THEN 'good' ELSE class1 END" if soft_line > 0 else "class1"
+    to_review = f"{partial} AND class2 IN ('premium', 'good')" if guarded["enabled"] and guarded["review_on_partial"] else "false"
+    demoted = f"CASE WHEN {to_review} THEN complete.reason {f"WHEN class1 = 'premium' AND {soft} THEN 'soft_for_premium'" if soft_line > 0 else ''} END"
+    gates = [("gate IS NOT NULL", "gate")]
+    if (prune := config.may_prune(s)) and guarded["enabled"]:
+        gates.append((partial, f"concat('skipped_', {why})"))
+    # the last two: a photo without pixels
+    gates.append(("NOT full_frame AND (crop.x2 <= crop.x1 OR crop.y2 <= crop.y1 OR crop.x1 >= w OR crop.y1 >= h)", "'crop_failed'"))
+    if f["hard_reject_extreme_blur"]:
+        gates.append((f"sharpness < {number(f['min_sharpness_threshold'])}", "'blurred'"))
+    if prune and q["premium_only"] and soft_line > 0:
+        gates.append((soft, "'skipped_soft'"))
+    if prune:
+        gates.append((f"ceiling < {number(config.saveable_floor(s))}", "'skipped_score'"))
+    if f["hard_reject_fence"]:
+        gates.append(("fence_detected", "'fence_detected'"))
+    if guarded["enabled"] and not guarded["review_on_partial"]:
+        gates.append((partial, why))
+    gates.append((f"NOT {S.saved_text(s, 'graded', 'score')}", "'low_quality_score'"))
+    reason = f"CASE {' '.join(f'WHEN {test} THEN {said}' for test, said in gates)} ELSE 'ok' END"
+    measured = "reason NOT IN ('unsafe_edge', 'too_small', 'too_few_keypoints', 'no_frontal_face', 'crop_failed', 'blurred', 'fence_detected') AND NOT startswith(reason, 'skipped_')"
+    accepted = "reason = 'ok'"
+    final = "CASE WHEN graded = 'reject' THEN 'review' ELSE graded END"
+    worth = f"CASE WHEN {accepted} AND quality_class = 'review' THEN {S.enhancement_text(s)} END" if "brightness" in rows.columns else "CAST(NULL AS STRING)"
+    modes = "".join(f" WHEN '{name}' THEN '{mode}'" for name, mode in s["image_quality"]["enhance_by_class"].items())
+    folders = "".join(f" WHEN '{name}' THEN '{folder}'" for name, folder in config.FOLDERS.items())
+    name = (
+        f"format_string('%s/%s_runner%02d_q%d_s%d_c%d.jpg', CASE quality_class{folders} ELSE '{config.FOLDERS['review']}' END, string(photo_id), candidate_idx, "
+        "int(rint(score)), int(rint(sharpness)), int(rint(conf * 100)))"
+    )
+    rows = rows.selectExpr("*", f"{S.class_text(s, 'score')} AS class1").selectExpr("*", f"{class2} AS class2")
+    rows = rows.selectExpr("*", f"CASE WHEN {to_review} THEN 'review' ELSE class2 END AS graded", f"{demoted} AS demoted").selectExpr("*", f"{reason} AS reason")
+    rows = rows.selectExpr(
+        "*", f"CASE WHEN {accepted} THEN 'accept' ELSE 'reject' END AS decision", f"CASE WHEN {measured} THEN CASE WHEN {accepted} THEN {final} ELSE graded END END AS quality_class",
+        f"CASE WHEN {measured} THEN demoted END AS demoted_reason",
+    )
+    return rows.selectExpr("*", f"{worth} AS enhancement_reason", f"CASE WHEN {accepted} THEN CASE quality_class{modes} ELSE 'upscale' END END AS enhance_mode", f"CASE WHEN {accepted} THEN {name} END AS output_name")
 
 
 def needs_fence(s: dict) -> Column:
@@ -126,11 +133,6 @@ def needs_fence(s: dict) -> Column:
     return out
 
 
-def output_name() -> Column:
-    """The file name of a saved crop, keyed by its photo's whole name."""
-    return F.format_string("%s/%s_runner%02d_q%d_s%d_c%d.jpg", S.folder(F.col("quality_class")), F.col("photo_id").cast("string"), F.col("candidate_idx"), F.rint("score").cast("int"), F.rint("sharpness").cast("int"), F.rint(F.col("conf") * 100).cast("int"))
-
-
 def reject_name(reason: Column) -> Column:
     """A reason as part of a file name."""
     return F.substring(F.regexp_replace(reason, r"[^\p{L}\p{N}._-]", "_"), 1, 60)

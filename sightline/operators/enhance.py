@@ -11,6 +11,23 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Where a pixel of an upright picture goes, by EXIF orientation: row and column, from the stored ones.
+_TURNED = {
+    1: ("r", "c"), 2: ("r", "w - 1 - c"), 3: ("h - 1 - r", "w - 1 - c"), 4: ("h - 1 - r", "c"),
+    5: ("c", "r"), 6: ("c", "h - 1 - r"), 7: ("w - 1 - c", "h - 1 - r"), 8: ("w - 1 - c", "r"),
+}
+
+
+def oriented(pixels: DataFrame, orientation: str = "orientation") -> DataFrame:
+    """Pictures turned as their ``orientation`` (1 to 8, others count as 1) says; a row stays a row, nothing is shuffled."""
+    row, column = (" ".join(f"WHEN {k} THEN {v[axis]}" for k, v in _TURNED.items()) for axis in (0, 1))
+    turned = f"{orientation} BETWEEN 5 AND 8"
+    return pixels.selectExpr(
+        "photo_id", f"CASE WHEN {turned} THEN w ELSE h END AS h", f"CASE WHEN {turned} THEN h ELSE w END AS w",
+        f"CASE {orientation} {row} ELSE r END AS r", f"CASE {orientation} {column} ELSE c END AS c", "v",
+    )
+
+
 #: Lobes of the Lanczos kernel.
 LOBES = 4
 LEVELS = 256

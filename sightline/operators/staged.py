@@ -23,18 +23,18 @@ _FENCE = ("fence_score", "fence_detected")
 
 def with_ceiling(dets: DataFrame, s: dict) -> DataFrame:
     """Candidates without fence figures, with all parts of the score but that of the fence, and the ceiling."""
-    prep = D.prepared(dets, s)
-    parts = S.components(s, G.num(S.NO_FENCE), F.col("full_frame"), F.col("sharpness"))
-    out = prep.withColumns({f"part_{n}": c for n, c in parts.items()})
-    return D.as_rows(out.withColumn("ceiling", G.rounded(S.raw_score(s, {n: F.col(f"part_{n}") for n in parts}), 2)))
+    parts = S.components(s, S.number(S.NO_FENCE))
+    out = D.prepared(dets, s).selectExpr("*", *(f"{text} AS part_{n}" for n, text in parts.items()))
+    out = out.selectExpr("*", f"{S.raw_score(s, {n: f'part_{n}' for n in parts})} AS raw_ceiling")
+    return D.as_rows(out.selectExpr("* EXCEPT (raw_ceiling)", f"{G.rounded_text('raw_ceiling', 2)} AS ceiling"))
 
 
 def with_fence(rows: DataFrame, s: dict) -> DataFrame:
     """Adds the fence's part and the score to rows that have their fence figures."""
     names = [c.removeprefix("part_") for c in rows.columns if c.startswith("part_")]
-    rows = rows.withColumn("part_fence_free", S.fence_free(F.col("fence_score")))
-    rows = rows.withColumn("raw_score", S.raw_score(s, {n: F.col(f"part_{n}") for n in names}))
-    return rows.withColumn("score", G.rounded(F.col("raw_score"), 2))
+    rows = rows.selectExpr("* EXCEPT (part_fence_free)", f"{S.fence_free('fence_score')} AS part_fence_free")
+    rows = rows.selectExpr("*", f"{S.raw_score(s, {n: f'part_{n}' for n in names})} AS raw_score")
+    return rows.selectExpr("*", f"{G.rounded_text('raw_score', 2)} AS score")
 
 
 def decide_staged(dets: DataFrame, s: dict, fences: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -11,6 +11,7 @@ from sightline.functions import keypoints as K
 from sightline.functions import scoring as S
 from sightline.operators import decide as D
 from sightline.operators import pixels as P
+from sightline.operators.tables import settled
 from sightline.plans.oracle_base import BASE, decided
 from sightline.sources import fixture
 from sightline.streaming import ingest
@@ -312,7 +313,8 @@ def post_processing(spark, sf_dir):
     "FROM decided WHERE decision = 'accept' AND quality_class = 'review') SELECT * FROM review WHERE enhancement_reason IS NOT NULL OR NOT EXISTS (SELECT 1 FROM review WHERE enhancement_reason IS NOT NULL)"
 )
 def second_pass(spark, sf_dir):
-    return D.second_pass(D.decide(_dets(spark, sf_dir), REVIEW)).select(*KEY, "enhancement_reason")
+    review = D.decide(_dets(spark, sf_dir), REVIEW).filter("quality_class = 'review'").select(*KEY, "decision", "quality_class", "enhancement_reason")
+    return D.second_pass(settled(review)).select(*KEY, "enhancement_reason")
 
 
 @query(

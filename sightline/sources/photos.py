@@ -62,6 +62,43 @@ def with_size(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("size", _sizes(content))
 
 
+def orientation(data: bytes | None) -> int:
+    """How a JPEG's pixels are to be turned (1 to 8), by the tag in its EXIF block; 1 where there is none or it can't be read."""
+    at = 2
+    while data and data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = struct.unpack(">H", data[at + 2 : at + 4])[0]
+        block = data[at + 4 : at + 2 + size]
+        if data[at + 1] == 0xE1 and block[:6] == b"Exif\0\0":
+            return _tag_of(block[6:])
+        at += 2 + size
+    return 1
+
+
+def _tag_of(tiff: bytes) -> int:
+    """The orientation in the first directory of a TIFF header."""
+    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
+    try:
+        (start,) = struct.unpack(f"{order}I", tiff[4:8])
+        (entries,) = struct.unpack(f"{order}H", tiff[start : start + 2])
+        for k in range(entries):
+            tag, kind, count, value = struct.unpack(f"{order}HHIH", tiff[start + 2 + 12 * k : start + 12 + 12 * k])
+            if tag == 0x0112:
+                return value if kind == 3 and count == 1 and 1 <= value <= 8 else 1
+    except struct.error:
+        pass
+    return 1
+
+
+@F.pandas_udf(T.IntegerType())
+def _orientations(content: pd.Series) -> pd.Series:
+    return content.map(orientation)
+
+
+def with_orientation(df: DataFrame, content: str = "content") -> DataFrame:
+    """Adds ``orientation``, read from the header without decoding."""
+    return df.withColumn("orientation", _orientations(content))
+
+
 def is_valid_download(content: Column, least_bytes: int, sha256: str = "") -> Column:
     """Whether a fetched file is large enough, no web page, and has the expected checksum (if one is given)."""
     page = F.lower(F.substring(content.cast("string"), 1, 200)).rlike("<!doctype html|<html")

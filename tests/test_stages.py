@@ -32,7 +32,7 @@ def images(df, pictures=None):
     return {k: np.array([[v[r, c] for c in range(max(x for _, x in v) + 1)] for r in range(max(y for y, _ in v) + 1)]) for k, v in out.items()}
 
 
-NEW = ["fence_areas", "fence_figures", "decisions_staged", "suppression", "batch_isolation", "resampled_smaller", "resampled_larger", "equalised", "denoised", "written_crops", "write_tally", "report_file"]
+NEW = ["fence_areas", "fence_figures", "decisions_staged", "suppression", "batch_isolation", "resampled_smaller", "resampled_larger", "oriented", "equalised", "denoised", "written_crops", "write_tally", "report_file"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -207,6 +207,24 @@ def test_connected_over_long_chains(spark):
 # ---- pixel operations
 
 
+def jpeg(order, code, kind=3):
+    import struct
+
+    entry = struct.pack(f"{order}HHIHH", 0x0100, 3, 1, 9, 0) + struct.pack(f"{order}HHIHH", 0x0112, kind, 1, code, 0)
+    tiff = {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(f"{order}I", 8) + struct.pack(f"{order}H", 2) + entry
+    return b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"JF\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xda"
+
+
+def test_orientation(spark):
+    rows = [(k, jpeg("<>"[k % 2], k)) for k in range(1, 9)] + [(9, jpeg("<", 9)), (10, jpeg(">", 6, kind=4)), (11, b"\xff\xd8\xff\xda"), (12, None), (13, jpeg("<", 6)[:30]), (14, b"")]
+    got = {r.k: r.orientation for r in photo_files.with_orientation(spark.createDataFrame(rows, "k int, content binary")).collect()}
+    assert got == {k: k if k <= 8 else 1 for k in range(1, 15)}
+    g = np.arange(6.0).reshape(2, 3)
+    upright = {1: g, 2: g[:, ::-1], 3: g[::-1, ::-1], 4: g[::-1], 5: g.T, 6: np.rot90(g, -1), 7: g[::-1, ::-1].T, 8: np.rot90(g), 0: g}
+    made = images(enhance.oriented(relation(spark, {k: g for k in upright}).withColumn("orientation", F.col("photo_id"))))
+    assert all(np.array_equal(made[k], want) for k, want in upright.items())
+
+
 def lanczos(x):
     return np.where(np.abs(x) < 1e-12, 1.0, np.sinc(x) * np.sinc(x / 4)) * (np.abs(x) < 4)
 
