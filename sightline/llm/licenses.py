@@ -59,7 +59,7 @@ TEMPLATES = {
 #: A block without any of these holds no licence line.
 TERMS = r"licen[sc]e|copyright|all rights reserved|public domain|\bcc0\b|\bcc by"
 #: The same where a line break or a comment mark stands between the words.
-_WRAPPED_TERMS = TERMS.replace(" ", "[^a-z0-9]+")
+WRAPPED_TERMS = TERMS.replace(" ", "[^a-z0-9]+")
 LEAST_COSINE = 0.6
 #: Runs of lines of more words than so many times the longest template can't reach the cosine without repeating it.
 RUN_LENGTHS = 3
@@ -152,7 +152,7 @@ class Statements:
         return kept[0][1], -kept[0][0], sum(len(lines[k]) for k in taken) >= FILE_SHARE * sum(map(len, lines))
 
 
-_HAS_TERM = re.compile(_WRAPPED_TERMS)
+_HAS_TERM = re.compile(WRAPPED_TERMS)
 _WORDS = re.compile(_WORD)
 
 
@@ -182,7 +182,7 @@ def scan(files: DataFrame, *, templates: dict[str, str] | None = None, key: str
     held = spark.sparkContext.broadcast(Statements(templates, found.pop("", 0), found))
 
     schema = T.StructType([files.schema["k"], files.schema["path"], *(T.StructField(name, t) for name, t in (("name", T.StringType()), ("cosine", T.DoubleType()), ("is_file", T.BooleanType())))])
-    own = files.filter(F.lower("text").rlike(_WRAPPED_TERMS)).mapInArrow(lean(lambda batches: _own(batches, held.value)), schema)
+    own = files.filter(F.lower("text").rlike(WRAPPED_TERMS)).mapInArrow(lean(lambda batches: _own(batches, held.value)), schema)
     own = saved(own, "licences").groupBy("k", "path").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "name")).alias("top"), F.max("is_file").alias("is_file"))
     own = own.select("k", "path", F.regexp_replace("top.name", "-short$", "").alias("license"), (-F.col("top.less")).alias("cosine"), "is_file")
 

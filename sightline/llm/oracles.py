@@ -4,7 +4,7 @@ Learned scores, tokenizers, approximate search and packing have none; tests hold
 against brute force.
 """
 
-from sightline.llm.licenses import FILE_SHARE, LEAST_COSINE, TEMPLATES, TERMS
+from sightline.llm.licenses import FILE_SHARE, LEAST_COSINE, RUN_LENGTHS, TEMPLATES, WRAPPED_TERMS
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -65,26 +65,35 @@ _TERM_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z
 _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 
 OP7 = f"""
-WITH t AS (SELECT * FROM (VALUES {_VALUES}) AS v(license, statement)),
+WITH RECURSIVE t AS (SELECT * FROM (VALUES {_VALUES}) AS v(license, statement)),
 tw AS (SELECT license, word, count(*) AS tf FROM t, unnest({_TERM_WORDS.format("statement")}) AS u(word) GROUP BY ALL),
-d AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS dir, source, text FROM documents),
+vo AS (SELECT list(DISTINCT word) AS vocabulary FROM tw),
+me AS (SELECT {RUN_LENGTHS} * max(n) AS most FROM (SELECT sum(tf) AS n FROM tw GROUP BY license)),
+d AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS dir, text FROM documents),
 n AS (SELECT count(*) AS n FROM d),
 df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, word FROM d, unnest({_TERM_WORDS.format("text")}) AS u(word)) WHERE word IN (SELECT word FROM tw) GROUP BY 1),
-idf AS (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word), n),
-tv AS (SELECT license, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS tw FROM tw JOIN idf USING (word)),
-l AS (SELECT doc_id, p, string_split(text, chr(10))[p] AS said, len({_TERM_WORDS.format("text")}) AS size FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(p)),
-h AS (SELECT doc_id, p, size, {_TERM_WORDS.format("said")} AS words FROM l WHERE regexp_matches(lower(said), '{TERMS}')),
-w AS (SELECT doc_id, p, size, len(words) AS length, word, count(*) AS tf FROM h, unnest(words) AS u(word) GROUP BY ALL),
-v AS (SELECT w.*, tf * coalesce(idf, ln((n + 1) / 2) + 1) AS x FROM w LEFT JOIN idf USING (word), n),
-z AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id, p)) AS norm FROM v),
-c AS (SELECT doc_id, p, size, length, license, round(sum(x / norm * tw), 9) AS cosine FROM z JOIN tv USING (word) GROUP BY ALL),
-b AS (SELECT * FROM c WHERE cosine >= {LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY cosine DESC, license) = 1),
-s AS (SELECT doc_id, sum(length) AS said, max(size) AS size FROM b GROUP BY 1),
-o AS (SELECT doc_id, regexp_replace(license, '-short$', '') AS license, cosine FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
-k AS (SELECT d.dir, o.license AS dir_license FROM o JOIN s USING (doc_id) JOIN d USING (doc_id) WHERE said >= {FILE_SHARE} * s.size QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY d.path) = 1)
-SELECT d.doc_id, d.path, coalesce(o.license, k.dir_license) AS license, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN k.dir_license IS NOT NULL THEN 'directory' ELSE 'none' END AS source,
-  o.cosine, CASE WHEN o.license IS NULL AND k.dir_license IS NOT NULL THEN d.dir END AS from_dir
-FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k ON k.dir = d.dir
+idf AS MATERIALIZED (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word), n),
+tv AS MATERIALIZED (SELECT license, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS tw, avg(idf) OVER (PARTITION BY license) AS other FROM tw JOIN idf USING (word)),
+l0 AS (SELECT doc_id, p, string_split(text, chr(10))[p] AS said FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(p)),
+l1 AS (SELECT *, {_TERM_WORDS.format("said")} AS words FROM l0),
+l AS MATERIALIZED (SELECT *, len(words) AS size, list_has_any(words, vocabulary) AS known, sum(len(words)) OVER o AS total, count_if(len(words) = 0) OVER o AS block FROM l1, vo WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+b AS MATERIALIZED (SELECT doc_id, min(p) AS a, max(p) AS z FROM l WHERE size > 0 GROUP BY doc_id, block HAVING regexp_matches(lower(string_agg(said, chr(10) ORDER BY p)), '{WRAPPED_TERMS}')),
+r AS MATERIALIZED (SELECT b.doc_id, x.p AS a, y.p AS z FROM b JOIN l x ON x.doc_id = b.doc_id AND x.p BETWEEN b.a AND b.z AND x.known JOIN l y ON y.doc_id = b.doc_id AND y.p BETWEEN x.p AND b.z AND (y.known OR y.p = b.z), me WHERE y.p = x.p OR y.total - x.total + x.size <= most
+  UNION SELECT doc_id, a, z FROM b UNION SELECT doc_id, 1, max(p) FROM l WHERE doc_id IN (SELECT doc_id FROM b) GROUP BY 1),
+v AS MATERIALIZED (SELECT doc_id, a, z, word, count(*) AS tf FROM (SELECT r.*, unnest(words) AS word FROM r JOIN l ON l.doc_id = r.doc_id AND l.p BETWEEN a AND z) GROUP BY ALL),
+m AS (SELECT doc_id, a, z, sum(CASE WHEN idf IS NULL THEN 0 ELSE tf * idf * tf * idf END) AS own, sum(CASE WHEN idf IS NULL THEN tf * tf ELSE 0 END) AS others FROM v LEFT JOIN idf USING (word) GROUP BY ALL),
+c AS (SELECT doc_id, a, z, license, round(sum(tf * idf * tw) / sqrt(any_value(own) + any_value(others) * any_value(other) * any_value(other)), 9) AS cosine FROM v JOIN idf USING (word) JOIN tv USING (word) JOIN m USING (doc_id, a, z) GROUP BY ALL),
+q AS (SELECT * FROM c WHERE cosine >= {LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id, a, z ORDER BY cosine DESC, license) = 1),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license, z - a, a) AS k FROM q),
+g AS (SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS taken FROM k WHERE k = 1 UNION ALL
+  SELECT g.doc_id, k.k, CASE WHEN list_has_any(taken, range(a, z + 1)) THEN taken ELSE list_concat(taken, range(a, z + 1)) END FROM g JOIN k ON k.doc_id = g.doc_id AND k.k = g.k + 1),
+h AS (SELECT doc_id, arg_max(taken, k) AS taken FROM g GROUP BY 1),
+f AS (SELECT doc_id FROM h JOIN l USING (doc_id) GROUP BY doc_id HAVING sum(CASE WHEN list_contains(taken, p) THEN size ELSE 0 END) >= {FILE_SHARE} * sum(size)),
+o AS (SELECT doc_id, regexp_replace(license, '-short$', '') AS license, cosine FROM k WHERE k = 1),
+s AS (SELECT d.dir, o.license AS dir_license FROM o JOIN f USING (doc_id) JOIN d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY d.path) = 1)
+SELECT d.doc_id, d.path, coalesce(o.license, s.dir_license) AS license, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN s.dir_license IS NOT NULL THEN 'directory' ELSE 'none' END AS source,
+  o.cosine, CASE WHEN o.license IS NULL AND s.dir_license IS NOT NULL THEN d.dir END AS from_dir
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN s ON s.dir = d.dir
 """
 
 OP11 = """

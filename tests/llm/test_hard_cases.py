@@ -160,3 +160,27 @@ def test_neighbours_without_a_query_row(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     out = tree_search.query(spark, str(tmp_path))
     assert out.count() == 0 and out.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+
+
+def test_licences_are_those_of_their_sql(spark, tmp_path):
+    """Wrapped headers, holders and years, several statements, licence files: the SQL states the operator's rule."""
+    import duckdb
+
+    from sightline.llm import licenses, oracles
+
+    t = licenses.TEMPLATES
+    own = ["plain words about nothing", "more of the same here", "and a third line"]
+    wrapped = "\n".join(["# " + x for x in ("Licensed under the Apache", "License, Version", "2.0.")])
+    texts = [
+        wrapped, "Copyright 2021 Acme.\n" + t["Apache-2.0"], "\n".join([*own, "", "/* " + t["MIT"][:60], t["MIT"][60:] + " */", "", *own]), t["MIT"] + "\n\n" + t["BSD-3-Clause"], t["Proprietary"] + " 2020 Some Holder Ltd.",
+        "\n".join([t["GPL-3.0"], "All rights reserved."]), None, "", "license", "a license of no kind that we know of", "\n".join([*own, t["CC-BY-4.0"], *own]), "\n\n".join([t["CC0-1.0"], *own * 9]),
+        "\n".join(["Redistribution and use in source", "and binary forms, with or", "without modification, are", "permitted under the BSD", "license.", "", "x"]), "cc by\n\n\nlicensed under", t["LGPL-3.0"].upper(), "All\nrights\nreserved",
+        "Released under the MIT License. See the LICENSE file. " + " ".join(own), "\n".join(["copyright notice", t["MPL-2.0"], "copyright 2019", t["MPL-2.0"]]),
+    ]
+    rows = [(i, x, "en", f"s{i % 5}", 0) for i, x in enumerate(texts * 2)] + [(100 + i, "nothing to see", "de" if i % 2 else "en", f"s{i % 6}", 0) for i in range(30)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(oracles.ORACLES["op7_license_scan"])
+    got = sorted(map(tuple, licenses.query(spark, str(tmp_path)).select(*want.columns).collect()), key=repr)
+    assert got == sorted(want.fetchall(), key=repr) and len({r[want.columns.index("license")] for r in got}) >= 8
