@@ -11,6 +11,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.tables import settled
+
 # Where a pixel of an upright picture goes, by EXIF orientation: row and column, from the stored ones.
 _TURNED = {
     1: ("r", "c"), 2: ("r", "w - 1 - c"), 3: ("h - 1 - r", "w - 1 - c"), 4: ("h - 1 - r", "c"),
@@ -107,7 +109,7 @@ def equalised(pixels: DataFrame, *, clip: float = 2.0, tiles: int = 8) -> DataFr
     tile = ("photo_id", "ty", "tx")
     counts = full.groupBy("photo_id", F.floor(F.col("r") / F.col("th")).cast("int").alias("ty"), F.floor(F.col("c") / F.col("tw")).cast("int").alias("tx"), "v").agg(F.count("*").alias("n"), F.first(F.col("th") * F.col("tw")).alias("area"))
     limit = F.greatest(F.lit(1), F.floor(clip * F.col("area") / LEVELS).cast("int"))
-    counts = counts.withColumn("limit", limit)
+    counts = settled(counts.withColumn("limit", limit))  # a few hundred rows a part, read twice
     over = counts.groupBy(*tile).agg(F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0))).alias("over"), F.first("area").alias("area"))
     dense = over.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).join(counts.select(*tile, "v", F.least("n", "limit").alias("n")), [*tile, "v"], "left")
     each, rest = F.floor(F.col("over") / LEVELS), F.col("over") % LEVELS

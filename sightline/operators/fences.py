@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import scoring as S
 from sightline.operators.labels import connected
+from sightline.operators.tables import settled
 
 #: Pictures with a shorter side have no figures.
 LEAST_SIDE = 50
@@ -45,11 +46,11 @@ def opened_runs(pixels: DataFrame, s: dict) -> DataFrame:
 
 def labelled(runs: DataFrame) -> DataFrame:
     """``runs`` with the ``label`` of their 8-connected area: the least of its runs, by column and row."""
-    named = runs.withColumn("node", F.shiftleft(F.col("c").cast("long"), 32) + F.col("r0"))
+    named = settled(runs.withColumn("node", F.shiftleft(F.col("c").cast("long"), 32) + F.col("r0")))  # read by nodes and by both ends of edges
     one = named.select("photo_id", "c", F.col("r0").alias("a0"), F.col("r1").alias("a1"), F.col("node").alias("a"))
     next_ = named.select("photo_id", (F.col("c") - 1).alias("c"), F.col("r0").alias("b0"), F.col("r1").alias("b1"), F.col("node").alias("b"))
     edges = one.join(next_, ["photo_id", "c"]).filter("b0 <= a1 + 1 AND a0 <= b1 + 1")
-    return named.join(connected(named, edges), ["photo_id", "node"]).drop("node")
+    return settled(named.join(connected(named, edges), ["photo_id", "node"]).drop("node"))
 
 
 def areas(runs: DataFrame) -> DataFrame:

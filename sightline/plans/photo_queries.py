@@ -10,7 +10,7 @@ from sightline import config
 from sightline.functions import geometry as G
 from sightline.operators import decide as D
 from sightline.operators import enhance, fences, report, sinks, staged, suppress
-from sightline.operators.tables import shared_folder
+from sightline.operators.tables import settled, shared_folder
 from sightline.plans.core_queries import FALLBACK, KEY, ORACLES, QUERIES, SETTINGS, _dets, query
 from sightline.plans.oracle_base import BASE, decided
 from sightline.sources import fixture
@@ -289,8 +289,8 @@ _KINDS = ", ".join(f"('{kind}', {k}, '{name}')" for kind, names in report.KINDS.
 def report_file(spark, sf_dir):
     """Accepted, rejected, whole and error rows in one file, read back by its own header."""
     photos = fixture.photos(spark, sf_dir)
-    errors = photo_files.predict_errors(photo_files.detect(photos.select("photo_id"), _stub_model, SETTINGS))
-    decisions = D.decide(_dets(spark, sf_dir).join(errors.select("photo_id"), "photo_id", "left_anti"), FALLBACK)
+    errors = settled(photo_files.predict_errors(photo_files.detect(photos.select("photo_id"), _stub_model, SETTINGS)))
+    decisions = settled(D.decide(_dets(spark, sf_dir).join(errors.select("photo_id"), "photo_id", "left_anti"), FALLBACK))
     looked = photos.join(errors.select("photo_id"), "photo_id", "left_anti").withColumns({"photo_sharpness": (F.col("photo_id") % 200).cast("double"), "photo_fence": F.col("photo_id") % 7 == 0})
     whole = D.fallback(looked, decisions, FALLBACK).join(looked.select("photo_id", "photo_sharpness"), "photo_id")
     path = shared_folder(spark, "report")
