@@ -8,15 +8,18 @@ so that misspelled terms are found without comparing a word with every term. Ter
 ("l'idiot", "you-idiot"), and its letters with the digits and marks between them, where each of
 those is a wrong letter ("id1ot", "st*pid"); the reading with the fewest errors counts.
 
-A hit then gets a score from its context window: between quotation marks, or near a word
-that reports speech, it counts for a part only, so quotation and abuse part. Weights of
-exact, misspelled and quoted hits are fitted on the same labelled rows.
+A term weighs as much as its log-odds between toxic and clean training rows. A misspelling that clean rows
+have of their own is an ordinary word and no hit; the other misspellings of a term weigh as the term itself
+until clean rows have them, too. A hit then gets a score from its context window: between quotation marks, or
+near a word that reports speech, it counts for a part only, so quotation and abuse part. How much exact,
+misspelled and quoted hits count is fitted on the same rows, around ``PRIOR``: that alone decides where rows say nothing.
 
 Scale: one pass over the texts, no shuffle of them; a worker looks each word up once in
-a bounded table. Broadcast are at most ``LEXICON_TERMS`` terms and a few weights.
+a bounded table. The labelled sample is written once. Broadcast are at most ``LEXICON_TERMS`` terms,
+as many ordinary words, and a few weights.
 
 Defined cases: a null or empty text has no hit and gets the score of texts without hits;
-repeated rows each get the same score; labels without their document and null labels are
+repeated rows each get the same score, and copies of a text count once for the lexicon; labels without their document and null labels are
 left out; without labels of both kinds the lexicon is empty and the score is the share
 of toxic labels (0.5 if none); an empty table gives no rows; extra columns don't matter, whatever
 their names. A text is read in parts of a million letters, so a very long one takes no more room.
@@ -26,7 +29,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +41,23 @@ from pyspark.sql import types as T
 
 from sightline.llm.batches import lean
 from sightline.llm.quality import crc32_of_id, labelled_sample
+from sightline.llm.store import drop, saved
 from sightline.llm.textbytes import fresh_name
 
 #: Labelled rows that lexicon and weights are fitted on at most, half of each label where there are enough.
 TRAIN_ROWS = 6000
-LEXICON_TERMS = 300
+#: Terms at most; the sample's size and ``EVIDENCE`` bind first in all tables seen so far.
+LEXICON_TERMS = 2000
 #: Least and most letters of a stem; least letters of a term that may be misspelled.
 STEM, FUZZY_LETTERS = (4, 6), 5
 ERRORS = 1
-#: A term's least share of toxic documents among those that have it; least number of them, and share of all toxic rows (copies of a few texts stay below).
-PURITY, SUPPORT, SUPPORT_SHARE = 0.97, 3, 0.02
+#: A term's least share of toxic documents among those that have it (as if both kinds were equally many), and least evidence in nats
+#: (Chernoff's bound: a key whose documents are toxic by chance reaches it once in e to that number).
+PURITY, EVIDENCE = 0.9, 14.0
+#: Clean rows from which a misspelling that they have is looked at as a word of its own.
+ORDINARY = 3
+#: What misspelled and quoted hits count beside exact ones where labelled rows say nothing, and the bounds of what rows can make of it.
+PRIOR, BOUNDS = (0.5, 0.2), ((0.25, 1.0), (0.05, 0.3))
 #: Words either way that a context window spans.
 CONTEXT = 8
 #: Words whose hits a worker keeps at most, and letters of such a word.
@@ -100,13 +112,23 @@ class Trie:
                     self.ends.append([])
                 node = self.follow[node][letter]
             self.ends[node].append((i, stem, len(term)))
-        # one error leaves the first two letters or the next three of a long term in place
-        long = [t for t, _ in terms if len(t) >= FUZZY_LETTERS]
-        self.heads, self.middles = {t[:2] for t, _ in terms}, {t[2:5] for t in long}
+        # one error leaves either half of a term in place, its second one at most a letter off
+        self.halves: dict[int, set[str]] = {}
+        self.others: dict[tuple[int, int], set[str]] = {}
+        for term, _ in terms:
+            half = len(term) // 2 if errors and len(term) >= FUZZY_LETTERS else len(term)
+            self.halves.setdefault(half, set()).add(term[:half])
+            if half < len(term):
+                for at in range(half - errors, half + errors + 1):
+                    self.others.setdefault((at, at + len(term) - half), set()).add(term[half:])
+        self.looks = [(slice(0, n), x) for n, x in self.halves.items()] + [(slice(*at), x) for at, x in self.others.items()]
 
     def find(self, word: str) -> tuple[int, int] | None:
         """The term with the fewest errors that the word is, or begins with, and their number."""
-        if word[:2] not in self.heads and not {word[1:4], word[2:5], word[3:6]} & self.middles:
+        for part, known in self.looks:
+            if word[part] in known:
+                break
+        else:
             return None
         masks: dict[str, int] = {}
         for i, letter in enumerate(word):
@@ -135,17 +157,22 @@ class Trie:
 
 
 class Hits(dict):
-    """word as written -> (term, errors) or None."""
+    """word as written -> (term, errors) or None; ``ordinary``: readings that are words of their own, not misspellings."""
 
-    def __init__(self, trie: Trie):
+    def __init__(self, trie: Trie, weights: np.ndarray | None = None, ordinary: frozenset[str] = frozenset()):
         super().__init__()
-        self.trie = trie
+        self.trie, self.ordinary = trie, ordinary
+        self.weights = np.ones((2, len(trie.ends))) if weights is None else weights
+
+    def readings(self, word: str) -> list[tuple[str, tuple[int, int]]]:
+        """Each reading of a token that is a hit, and its term and errors."""
+        hits = [(x, hit) for x in runs(word) if len(x) >= 3 and (hit := self.trie.find(x))]
+        if not word.isalpha() and not any(hit[1] == 0 for _, hit in hits) and (x := masked(word)) and (hit := self.trie.find(x)):
+            hits.append((x, hit))
+        return [(x, hit) for x, hit in hits if not hit[1] or x not in self.ordinary]
 
     def __missing__(self, word: str) -> tuple[int, int] | None:
-        hits = [hit for x in runs(word) if len(x) >= 3 and (hit := self.trie.find(x))]
-        if not word.isalpha() and not any(hit[1] == 0 for hit in hits) and (x := masked(word)) and (hit := self.trie.find(x)):
-            hits.append(hit)
-        hit = min(hits, key=lambda x: (x[1], x[0])) if hits else None
+        hit = min((hit for _, hit in self.readings(word)), key=lambda x: (x[1], x[0]), default=None)
         if len(word) <= KEPT_LETTERS:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -153,20 +180,16 @@ class Hits(dict):
         return hit
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """Exact, misspelled and quoted hits, the last at a part of their number."""
-        exact = fuzzy = quoted = 0
+        """Exact, misspelled and quoted hits: of each term the logarithm of their number, by its weight."""
+        seen: tuple[Counter, Counter, Counter] = Counter(), Counter(), Counter()
         for words, first, end in word_parts(text or ""):
             found = list(map(self.__getitem__, words))
             if any(found[first:end]):
                 for i in range(first, end):
                     if hit := found[i]:
-                        if in_quotation(words, i):
-                            quoted += 1
-                        elif hit[1]:
-                            fuzzy += 1
-                        else:
-                            exact += 1
-        return float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quoted))
+                        fuzzy = min(hit[1], 1)
+                        seen[2 if in_quotation(words, i) else fuzzy][fuzzy, hit[0]] += 1
+        return tuple(sum(float(np.log1p(n)) * float(self.weights[key]) for key, n in sorted(x.items())) for x in seen)
 
 
 def word_parts(text: str, size: int = _PART) -> Iterator[tuple[list[str], int, int]]:
@@ -199,27 +222,43 @@ def in_quotation(words: list[str], i: int) -> bool:
     return opened and (closed or any(letters(w) in REPORTING for w in before))
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Intercept and weights of a logistic regression, drawn to ``means`` by a small ridge."""
+    a, middle = np.c_[np.ones(len(x)), x], np.r_[0.0, means]
+    w, ridge = middle.copy(), np.diag([1e-3, *[1.0] * x.shape[1]])
+    loss = lambda w: np.logaddexp(0, a @ w).sum() - y @ (a @ w) + (w - middle) @ ridge @ (w - middle) / 2
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a.T @ (a * (p * (1 - p))[:, None])) + ridge, a.T @ (p - y) + ridge @ (w - middle))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return w
+
+
 class Judge:
-    """A lexicon and the weights of its hits."""
+    """A lexicon, the weights of its terms (spelled right and misspelled), ordinary words, and what kinds of hits count."""
 
     def __init__(self, terms: list[tuple[str, bool]], base: float):
         self.terms, self.trie, self.base, self.weights = terms, Trie(terms), base, None
+        self.term_weights, self.ordinary = np.ones((2, len(terms))), frozenset()
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ratio: float) -> Judge:
-        """Logistic regression with a small ridge; ``ratio``: how much rarer toxic rows are than in ``y``, as odds.
+    def hits(self) -> Hits:
+        return Hits(self.trie, self.term_weights, self.ordinary)
 
-        Weights of hits stay at 0 or more, that of quoted ones at 0.3 of an exact one's at most.
-        """
+    def fit(self, x: np.ndarray, y: np.ndarray, ratio: float) -> Judge:
+        """``ratio``: how much rarer toxic rows are than in ``y``, as odds."""
         if len(set(y.tolist())) < 2:
             return self
-        a, w = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-3, *[0.05] * x.shape[1]])
-            w -= np.linalg.solve(h, a.T @ (p - y) + np.array([0, *0.05 * w[1:]]))
+        exact = max(_logistic(x[:, :1], y, np.ones(1))[1], 0.05)
+        w = _logistic(x, y, exact * np.array([1.0, *PRIOR]))
         w[0] += np.log(ratio)
-        w[1:] = np.maximum(w[1:], 0)
-        w[3] = min(w[3], 0.3 * w[1])
+        w[1] = max(w[1], 0.05)
+        for i, (low, high) in enumerate(BOUNDS, 2):
+            w[i] = min(max(w[i], low * w[1]), high * w[1])
         self.weights = w
         return self
 
@@ -231,57 +270,115 @@ class Judge:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and stems of training rows, each once per document."""
+    """Words and stems of training rows, each once per document, with a hash of the neighbours where it stands first."""
     for batch in batches:
-        keys, marks = [], []
+        keys, marks, about = [], [], []
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text"), strict=True):
-            seen: set[str] = set()
-            for word in {x for w in set((text.as_py() or "").split()) for x in runs(w)}:
-                if len(word) >= 3:
-                    seen.add(word)
-                    seen.update(word[:n] + "*" for n in range(STEM[0], STEM[1] + 1) if len(word) > n)
+            seen: dict[str, int] = {}
+            words = (text.as_py() or "").split()
+            first: dict[str, int] = {}
+            for i, w in enumerate(words):
+                first.setdefault(w, i)
+            for w, i in first.items():
+                beside = crc32(" ".join([*words[max(0, i - 1) : i], "|", *words[i + 1 : i + 2]]).encode())
+                for word in runs(w):
+                    if len(word) >= 3:
+                        seen.setdefault(word, beside)
+                        for n in range(STEM[0], min(STEM[1], len(word) - 1) + 1):
+                            seen.setdefault(word[:n] + "*", beside)
             keys += seen
+            about += seen.values()
             marks += [y] * len(seen)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "y": pa.array(marks, pa.int32())})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "y": pa.array(marks, pa.int32()), "beside": pa.array(about, pa.int64())})
 
 
-def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
-    """Terms (word or stem, whether a stem), chosen in turn by how many toxic documents have them, of equals the longest; none that a chosen stem covers."""
-    totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def _odds(toxic: float, clean: float, totals: dict[int, int]) -> float:
+    return float(np.log((toxic + 0.5) / (totals[1] + 1)) - np.log((clean + 0.5) / (totals[0] + 1)))
+
+
+def learn_lexicon(sample: DataFrame, totals: dict[int, int]) -> tuple[list[tuple[str, bool]], list[float]]:
+    """Terms (word or stem, whether a stem) and their log-odds, chosen in turn by evidence, of equals words before stems and the longest first; none that a chosen stem covers.
+
+    Documents in which a key has the same neighbours count once, so near copies of a toxic text don't make all of its words terms.
+    """
     if len(totals) < 2:
-        return []
-    keys = sample.select("y", "text").mapInArrow(lean(_keys), "key string, y int").groupBy("key").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
-    clean = (F.col("n") - F.col("toxic")) / totals[0]
-    share = F.col("toxic") / totals[1]
-    pure = keys.filter((F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * totals[1])) & (share >= PURITY * (share + clean)) & (F.length("key") >= 4))
-    found = pure.orderBy(F.desc("toxic"), F.desc(F.length("key")), "key").limit(20 * LEXICON_TERMS).collect()
+        return [], []
+    met = sample.select("y", "text").mapInArrow(lean(_keys), "key string, y int, beside long").dropDuplicates(["key", "y", "beside"])
+    keys = met.groupBy("key").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    clean, share, base = (F.col("n") - F.col("toxic")) / totals[0], F.col("toxic") / totals[1], totals[1] / (totals[0] + totals[1])
+    p = F.col("toxic") / F.col("n")
+    evidence = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
+    pure = keys.filter((F.col("toxic") > 0) & (share >= PURITY * (share + clean)) & (F.length("key") >= 4)).withColumn("evidence", evidence).filter(F.col("evidence") >= EVIDENCE)
+    found = pure.orderBy(F.desc(F.round("evidence", 6)), F.endswith("key", F.lit("*")), F.desc(F.length("key")), "key").limit(20 * LEXICON_TERMS).collect()
     terms: list[tuple[str, bool]] = []
+    odds: list[float] = []
     stems: set[str] = set()
     begun: set[str] = set()
     for r in found:
         word, stem = r["key"].rstrip("*"), r["key"].endswith("*")
-        # a shorter stem as common as a chosen term adds nothing
+        # a shorter stem with no more evidence than a chosen term adds nothing
         if len(terms) < LEXICON_TERMS and not any(word[:n] in stems for n in range(1, len(word) + 1)) and not (stem and word in begun):
             terms.append((word, stem))
+            odds.append(_odds(r["toxic"], r["n"] - r["toxic"], totals))
             begun.update(word[:n] for n in range(1, len(word) + 1))
             if stem:
                 stems.add(word)
-    return terms
+    return terms, odds
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Judge:
-    sample, share = labelled_sample(docs, labels, label, train, rows, doc_id=doc_id, text=text)
-    judge = Judge(learn_lexicon(sample), share)
+def _misspelled(sample: DataFrame, judge: Judge, totals: dict[int, int]) -> None:
+    """Gives the judge its ordinary words and the weights of misspelled terms, from the sample's misspellings."""
     held = sample.sparkSession.sparkContext.broadcast(judge.trie)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = Hits(held.value)
+        for batch in batches:
+            rows = [
+                (form, term, y)
+                for y, text in zip(batch.column("y").to_pylist(), batch.column("text"), strict=True)
+                for form, term in {(x, hit[0]) for w in set((text.as_py() or "").split()) for x, hit in hits.readings(w) if hit[1]}
+            ]
+            form, term, y = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"form": pa.array(form, pa.string()), "term": pa.array(term, pa.int32()), "y": pa.array(y, pa.int32())})
+
+    forms = sample.select("y", "text").mapInArrow(lean(met), "form string, term int, y int").groupBy("form", "term").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    forms = saved(forms, "toxic-forms")
+    clean = F.col("n") - F.col("toxic")
+    share = F.col("toxic") / totals[1]
+    own = (clean >= ORDINARY) & (share < PURITY * (share + clean / totals[0]))
+    common = forms.filter(own).orderBy(F.desc(clean), "form").limit(LEXICON_TERMS).collect()
+    judge.ordinary = frozenset(r["form"] for r in common)
+    rest = forms.join(F.broadcast(sample.sparkSession.createDataFrame([(x,) for x in sorted(judge.ordinary)], "form string")), "form", "left_anti")  # at most LEXICON_TERMS words
+    for r in rest.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect():
+        term = judge.term_weights[0, r["term"]]
+        # one toxic row's worth of the term's own odds stands beside what the misspellings show
+        seen = _odds(r["toxic"] + 0.5, r["n"] - r["toxic"] + 0.5 * float(np.exp(-term)) * totals[0] / totals[1], totals)
+        judge.term_weights[1, r["term"]] = min(max(seen, 0.0), term)
+    drop(forms)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Judge:
+    chosen, share = labelled_sample(docs, labels, label, train, rows, doc_id=doc_id, text=text)
+    sample = saved(chosen.select("y", "text"), "toxic-sample")  # a bounded number of rows
+    distinct = sample.dropDuplicates(["y", "text"])
+    totals = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    terms, odds = learn_lexicon(distinct, totals)
+    judge = Judge(terms, share)
+    if terms:
+        judge.term_weights = np.array([odds, odds])
+        _misspelled(distinct, judge, totals)
+    held = sample.sparkSession.sparkContext.broadcast(judge)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = held.value.hits()
         for batch in batches:
             x = [hits.features(t.as_py()) for t in batch.column("text")]
             columns = list(zip(*x, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_pydict({"y": batch.column("y")} | {n: pa.array(c, pa.float64()) for n, c in zip(("exact", "fuzzy", "quoted"), columns, strict=True)})
 
-    got = sample.select("y", "text").mapInArrow(lean(counted), "y int, exact double, fuzzy double, quoted double").orderBy("y", "exact", "fuzzy", "quoted").collect()
+    got = sample.mapInArrow(lean(counted), "y int, exact double, fuzzy double, quoted double").collect()
+    drop(sample)
+    got.sort(key=lambda r: (r["y"], r["exact"], r["fuzzy"], r["quoted"]))
     x = np.array([(r["exact"], r["fuzzy"], r["quoted"]) for r in got]).reshape(-1, 3)
     y = np.array([r["y"] for r in got], dtype=float)
     drawn = y.mean() if len(y) else 0
@@ -290,7 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train, rows
 
 
 def _score(batches: Iterator[pa.RecordBatch], judge: Judge, text: str) -> Iterator[pa.RecordBatch]:
-    hits = Hits(judge.trie)
+    hits = judge.hits()
     for batch in batches:
         score = [judge.score(hits.features(t.as_py())) for t in batch.column(text)]
         yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names if n != text} | {"score": pa.array(score, pa.float64())})
@@ -311,7 +408,7 @@ def reject_toxic(docs: DataFrame, judge: Judge, *, limit: float = 0.5, text: str
     held = docs.sparkSession.sparkContext.broadcast(judge)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = Hits(held.value.trie)
+        hits = held.value.hits()
         for batch in batches:
             keep = [held.value.score(hits.features(t.as_py())) < limit for t in batch.column(text)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -1,5 +1,6 @@
 """Cases that an earlier round left out: long passages of few lines, headers in large tables, wrapped licences."""
 
+import math
 import random
 
 import pytest
@@ -78,3 +79,62 @@ def test_whole_tokens_are_read():
         assert hits[token] and hits[token][1] == 1, token
     for token in ("", "12'345", "l'ide", "id10t5", "well-known", "m0r0n"):
         assert hits[token] is None, token
+
+
+def judge_of_rows(spark, n=600):
+    """A judge fitted on rows of which a fifth abuse, near copies of one such text among them."""
+    r, rows, labels = random.Random(8), [], []
+    copied = said(30, 77).split()
+    for i in range(n):
+        bad = i % 5 == 0
+        w = said(40, 4000 + i).split()
+        if bad:
+            for term in ("scumbag", "vermin", "grothling"):
+                w.insert(r.randrange(len(w)), term)
+        elif i % 5 == 1:
+            w.insert(r.randrange(len(w)), "vermine")  # a word of its own, one letter from a term
+        if i % 15 == 0:
+            w = [*w, *copied[: r.randrange(25, 30)]]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), train=toxicity.F.lit(True)), rows, labels
+
+
+def test_misspelled_and_quoted_hits_move_the_score(spark):
+    judge, rows, labels = judge_of_rows(spark)
+    assert {t for t, _ in judge.terms} == {"scumbag", "vermin", "grothling"}  # no word of the copied passage
+    assert all(w > 0 for w in judge.weights[1:]) and judge.ordinary == {"vermine"}
+    asked = ["plain words", "you scumbag", "you scumbga bag", "you scumbxg", 'He said "you scumbag" to it', "you vermine", "you vermin scumbag grothling", "you vermin scumbxg grothling", 'They wrote "vermin scumbag grothling" there', None, ""]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(docs, judge, keep=["doc_id"]).collect()}
+    assert got[0] < got[4] < got[3] < got[1] < got[7] < got[6] and got[5] == got[0] == got[9] == got[10]
+    assert got[6] >= 0.5 and got[8] < 0.5
+    marked = {i: y for i, y in labels}
+    scored = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), judge, keep=["doc_id"]).collect()
+    assert all((x.score >= 0.5) == marked[x.doc_id] for x in scored)
+
+
+def test_scores_are_those_of_brute_force(spark):
+    judge, _, _ = judge_of_rows(spark)
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["scumbag", "scumbg", "vermin", "vermine", "vremin", "grothlinga", "word", "of", '"he', 'it"', "said"]) for _ in range(r.randrange(30))) for _ in range(80)]
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), judge, keep=["doc_id"]).collect()}
+
+    def errors(a, b):
+        rows = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        return rows[-1][-1]
+
+    for i, text in enumerate(texts):
+        words, counts = text.split(), {}
+        for k, word in enumerate(words):
+            near = [(errors(word.strip('"'), t), n) for n, (t, _) in enumerate(judge.terms) if errors(word.strip('"'), t) <= 1 and not (word in judge.ordinary)]
+            if near:
+                e, n = min(near)
+                kind = 2 if toxicity.in_quotation(words, k) else e
+                counts[kind, e, n] = counts.get((kind, e, n), 0) + 1
+        z = judge.weights[0] + sum(judge.weights[1 + kind] * judge.term_weights[e, n] * math.log1p(c) for (kind, e, n), c in counts.items())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
