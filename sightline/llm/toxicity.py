@@ -53,7 +53,7 @@ STEM, FUZZY_LETTERS = (4, 6), 5
 ERRORS = 1
 #: A term's least share of toxic documents among those that have it (as if both kinds were equally many), and least evidence in nats
 #: (Chernoff's bound: a key whose documents are toxic by chance reaches it once in e to that number).
-PURITY, EVIDENCE = 0.9, 14.0
+PURITY, EVIDENCE = 0.9, 10.0
 #: Clean rows from which a misspelling that they have is looked at as a word of its own.
 ORDINARY = 3
 #: What misspelled and quoted hits count beside exact ones where labelled rows say nothing, and the bounds of what rows can make of it.
