@@ -50,9 +50,18 @@ def _figures(persons: str) -> str:
     )
 
 
+#: Vectors that are dealt to one task: as pictures of 64 x 64 they are two million rows, which are sorted without spilling.
+DEALT = 500
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors dealt by photo before they become pixels: what groups by photo later needs no shuffle, and a shuffle moves a row per picture instead of one per pixel."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS photo_id", "embedding")
+    return e.repartition(max(spark.sparkContext.defaultParallelism, -(-e.count() // DEALT)), "photo_id")
+
+
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = e.selectExpr("vec_id AS photo_id", "embedding", f"explode(sequence(0, {SIDE - 1})) AS r").selectExpr("*", f"explode(sequence(0, {SIDE - 1})) AS c")
+    rows = _vectors(spark, sf_dir).selectExpr("photo_id", "embedding", f"explode(sequence(0, {SIDE - 1})) AS r").selectExpr("*", f"explode(sequence(0, {SIDE - 1})) AS c")
     v = "floor((double(get(embedding, c div 3)) + 1) * 127.5D) * 1.6D - 60 + floor(double(get(embedding, r div 4 + 32)) * 100D) AS v"
     return rows.selectExpr("photo_id", f"{SIDE} AS h", f"{SIDE} AS w", "r", "c", v)
 
@@ -159,7 +168,7 @@ _SMALL = "sm AS (SELECT vec_id AS photo_id, (i // 8)::INT AS r, (i % 8)::INT AS
 
 
 def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("photo_id"), F.posexplode("embedding").alias("i", "e"))
+    e = _vectors(spark, sf_dir).select("photo_id", F.posexplode("embedding").alias("i", "e"))
     return e.selectExpr("photo_id", "8 AS h", "8 AS w", "i div 8 AS r", "i % 8 AS c", "double(floor((double(e) + 1) * 127.5D)) AS v").withColumns({"r": F.col("r").cast("int"), "c": F.col("c").cast("int")})
 
 
