@@ -6,7 +6,7 @@ vertical runs as long as the rectangle, widened by one column again; beyond the
 counts as bright, so a run that touches it may be shorter. Areas, their sizes and their
 covers follow from the runs alone.
 
-All windows and aggregates are within a photo: the pixels are shuffled once, by photo. Photos
+All windows and aggregates are within a photo: the pixels are shuffled once, by photo, or not at all where they lie by photo. Photos
 of any size go together, as the rectangle's height is a column.
 """
 
@@ -26,10 +26,10 @@ LEAST_SIDE = 50
 def opened_runs(pixels: DataFrame, s: dict) -> DataFrame:
     """Vertical runs of what an opening leaves of the bright pixels: photo_id, h, w, c, r0, r1. ``pixels`` has photo_id, h, w, r, c and v."""
     f = s["fence_detection"]
-    bright = pixels.filter((F.col("v") > float(f["bright_threshold"])) & (F.least("h", "w") >= LEAST_SIDE)).select("photo_id", "h", "w", "r", "c").repartition("photo_id")
-    across = Window.partitionBy("photo_id", "r").orderBy("c")
-    left = (F.col("c") == 0) | F.coalesce(F.lag("c").over(across) == F.col("c") - 1, F.lit(False))
-    right = (F.col("c") == F.col("w") - 1) | F.coalesce(F.lead("c").over(across) == F.col("c") + 1, F.lit(False))
+    bright = pixels.filter((F.col("v") > float(f["bright_threshold"])) & (F.least("h", "w") >= LEAST_SIDE)).select("photo_id", "h", "w", "r", "c")
+    across = Window.partitionBy("photo_id").orderBy("r", "c")  # by photo alone, so that pixels which lie by photo aren't shuffled, and others once
+    beside = lambda f, step: F.coalesce((f("r").over(across) == F.col("r")) & (f("c").over(across) == F.col("c") + step), F.lit(False))
+    left, right = (F.col("c") == 0) | beside(F.lag, -1), (F.col("c") == F.col("w") - 1) | beside(F.lead, 1)
     inner = bright.withColumn("inner", left & right).filter("inner")
     runs = inner.withColumn("island", F.col("r") - F.row_number().over(Window.partitionBy("photo_id", "c").orderBy("r")))
     runs = runs.groupBy("photo_id", "h", "w", "c", "island").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).drop("island")

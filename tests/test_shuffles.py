@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__
+from sightline.operators import fences
+from sightline.plans import photo_queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -37,3 +39,9 @@ def test_resampled_broadcasts_its_weights(spark, made):
     """Pixels shuffled by size went to as many tasks as there are rows of a picture."""
     found = shuffles(made["resampled_larger"](spark, SMALL))
     assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
+
+
+def test_fences_do_not_shuffle_pixels(spark):
+    pixels = photo_queries._pictures(spark, SMALL)
+    found = shuffles(fences.opened_runs(pixels, photo_queries.FENCE))
+    assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
