@@ -12,15 +12,19 @@ LAYOUT = [
 WIDTH, HEIGHT = 6192, 4128
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per detected person: photo_id, candidate_idx, w, h, box, conf, kps, sharpness and fence figures."""
+def detections(spark: SparkSession, sf_dir: str, *, in_order: bool = False) -> DataFrame:
+    """One row per detected person: photo_id, candidate_idx, w, h, box, conf, kps, sharpness and fence figures.
+
+    With ``in_order`` parts are ranges of photos. A result sorted by photo then needs no shuffle at its end, whose
+    ranges Spark would find by computing all of it one time more.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    d = lines.selectExpr(
-        "l_orderkey AS photo_id",
-        "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS candidate_idx",
-        "l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber * 101 AS k",
-        "CAST(floor(l_extendedprice) AS BIGINT) AS ep",
-    )
+    d = lines.selectExpr("l_orderkey AS photo_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    if in_order:
+        d = d.repartitionByRange("photo_id")
+    # the key has its last name before the window and all else comes after it: the next window by photo then needs no other shuffle, and this one moves five columns
+    d = d.selectExpr("*", "CAST(row_number() OVER (PARTITION BY photo_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS candidate_idx")
+    d = d.selectExpr("photo_id", "candidate_idx", "photo_id * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber * 101 AS k", "CAST(floor(l_extendedprice) AS BIGINT) AS ep")
     d = d.selectExpr("*", f"CAST({WIDTH} AS DOUBLE) AS w", f"CAST({HEIGHT} AS DOUBLE) AS h", "300 + k % 3829 AS bh", f"k * 13 % {WIDTH} AS cx", "k * 29 % 1000 AS yr", "(330 + ep % 650) / 1000.0D AS conf", "CAST(ep % 520 AS DOUBLE) AS sharpness", "CAST(ep % 211 AS DOUBLE) AS brightness")
     d = d.selectExpr("*", "greatest(1, bh * 2 DIV 5) AS bw", f"CAST(least({HEIGHT} - bh, yr * ({HEIGHT} - bh) DIV 900) AS DOUBLE) AS y1")
     d = d.selectExpr("*", "CAST(greatest(0, cx - bw DIV 2) AS DOUBLE) AS x1", f"CAST(least({WIDTH}, cx + bw DIV 2) AS DOUBLE) AS x2", "y1 + bh AS y2")

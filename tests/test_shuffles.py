@@ -45,3 +45,15 @@ def test_fences_do_not_shuffle_pixels(spark):
     pixels = photo_queries._pictures(spark, SMALL)
     found = shuffles(fences.opened_runs(pixels, photo_queries.FENCE))
     assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
+
+
+@pytest.mark.parametrize("name", ["quality_score", "decisions_fast", "decisions_slow", "decisions_strict_guard", "manifest_names", "post_processing", "score_components"])
+def test_detections_are_shuffled_once(spark, made, name):
+    """The number of a candidate and the photo's other detections are windows over one shuffle of the source's columns."""
+    assert len(shuffles(made[name](spark, SMALL))) == 1
+
+
+@pytest.mark.parametrize("name", ["tally", "fallback"])
+def test_what_groups_decisions_by_photo_shuffles_no_more(spark, made, name):
+    """One shuffle of detections, one of photos."""
+    assert len(shuffles(made[name](spark, SMALL))) == 2
