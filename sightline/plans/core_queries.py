@@ -322,7 +322,7 @@ def second_pass(spark, sf_dir):
     "round_even(y2 - y1, 1) AS box_height FROM decided"
 )
 def report(spark, sf_dir):
-    rows = D.report(D.decide(_dets(spark, sf_dir), SETTINGS))
+    rows = D.report(D.decide(fixture.detections(spark, sf_dir, in_order=True), SETTINGS))
     return rows.select(*KEY, "full_frame", "decision", "reason", "sharpness", "quality_score", "quality_class", "demoted_reason", "completeness", "has_upper_body", "truncated_top", "box_height")
 
 
