@@ -37,14 +37,20 @@ def with_fence(rows: DataFrame, s: dict) -> DataFrame:
     return rows.selectExpr("*", f"{G.rounded_text('raw_score', 2)} AS score")
 
 
-def decide_staged(dets: DataFrame, s: dict, fences: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Columns of ``prepared`` that no later stage reads; arrays, which are most of a row's bytes.
+_DONE = ("kps", "dets", "alone", "offsets")
+
+
+def decide_staged(dets: DataFrame, s: dict, fences: Callable[[DataFrame], DataFrame], *, lean: bool = False) -> DataFrame:
     """As ``decide``, for ``dets`` without fence figures.
 
     ``fences`` gives photo_id, candidate_idx, fence_score and fence_detected for each row that it gets: candidates that
     need it, with their crop. Rows that never get there have null figures and no score. The rows before the costly stage are
-    made once, as a written table that both branches read.
+    made once, as a written table that both branches read. With ``lean`` the keypoints and the photo's other detections, which no decision
+    reads any more, are neither written nor in the result.
     """
-    rows = settled(with_ceiling(dets.drop(*_FENCE), s).withColumn("needs_fence", F.coalesce(D.needs_fence(s), F.lit(False))))
+    rows = with_ceiling(dets.drop(*_FENCE), s).withColumn("needs_fence", F.coalesce(D.needs_fence(s), F.lit(False)))
+    rows = settled(rows.drop(*_DONE) if lean else rows)
     waiting = rows.filter("needs_fence")
     measured = waiting.join(fences(waiting).select("photo_id", "candidate_idx", *_FENCE), ["photo_id", "candidate_idx"])
     known = rows.filter(~F.col("needs_fence")).withColumns({"fence_score": F.lit(None).cast("double"), "fence_detected": F.lit(None).cast("boolean")})

@@ -120,7 +120,7 @@ STAGED = config.merged({"fence_detection": FENCE["fence_detection"]})
 @query(f"{_staged_sql()} SELECT photo_id, candidate_idx, decision, reason, quality_class, demoted_reason FROM decided")
 def decisions_staged(spark, sf_dir):
     """Decisions with fences measured from pixels, for those candidates only that a fence can still change."""
-    out = staged.decide_staged(_dets(spark, sf_dir), STAGED, _fences_of(spark, sf_dir, STAGED))
+    out = staged.decide_staged(_dets(spark, sf_dir), STAGED, _fences_of(spark, sf_dir, STAGED), lean=True)
     return out.select(*KEY, "decision", "reason", "quality_class", "demoted_reason")
 
 
