@@ -126,9 +126,10 @@ def write_report(decisions: DataFrame, path: str, s: dict, kept_whole: DataFrame
     """The report as text parts that are one CSV file if they are put together by name; gives its header.
 
     The first line has a byte order mark and the header; rows follow in order of photo and candidate. Parts are sorted ranges of photos,
-    so none of them has all rows.
+    so none of them has all rows. ``decisions`` may be a written table of ``report_columns``, which is then read as it is (once for the header, once for the rows).
     """
-    rows = settled(R.report_rows(D.report_columns(decisions, s), kept_whole, errors))
+    told = decisions if "is_full_frame" in decisions.columns else settled(D.report_columns(decisions, s))
+    rows = R.report_rows(told, kept_whole, errors)
     header = R.header(rows)
     head = rows.sparkSession.createDataFrame([("\ufeff" + ",".join(header),)], "value string")
     lines = rows.select("photo_id", "place", R.line(rows, header).alias("value"))

@@ -57,3 +57,26 @@ def test_detections_are_shuffled_once(spark, made, name):
 def test_what_groups_decisions_by_photo_shuffles_no_more(spark, made, name):
     """One shuffle of detections, one of photos."""
     assert len(shuffles(made[name](spark, SMALL))) == 2
+
+
+def test_the_report_is_sorted_by_its_one_shuffle(spark, made):
+    df = made["report"](spark, SMALL)
+    found = shuffles(df)
+    assert len(found) == 1 and "rangepartitioning" in found[0]
+    keys = [(r.photo_id, r.candidate_idx) for r in df.select("photo_id", "candidate_idx").collect()]
+    assert keys == sorted(keys) and keys
+
+
+def test_staged_rows_are_written_without_keypoints(spark, made, monkeypatch):
+    from sightline.operators import staged
+
+    wrote = []
+    monkeypatch.setattr(staged, "settled", lambda df: wrote.append(df.columns) or df.localCheckpoint())
+    made["decisions_staged"](spark, SMALL)
+    assert wrote and not {"kps", "dets"} & set(wrote[0])
+
+
+def test_the_report_file_writes_decisions_without_keypoints(spark, made, monkeypatch):
+    wrote, write = [], photo_queries.settled
+    monkeypatch.setattr(photo_queries, "settled", lambda df: wrote.append(df.columns) or write(df))
+    assert made["report_file"](spark, SMALL).count() and not any({"kps", "dets"} & set(columns) for columns in wrote)
