@@ -149,10 +149,11 @@ def suppression(spark, sf_dir):
 def _stub_model(batches):
     """Finds a person in each photo of an even key; can't stand keys that end in 77, nor any batch with one."""
     for pdf in batches:
-        if (pdf.photo_id % 100 == 77).any():
-            raise RuntimeError(f"photo {pdf.photo_id[pdf.photo_id % 100 == 77].iloc[0]}")
+        keys = pdf.photo_id.to_numpy()
+        if len(lost := keys[keys % 100 == 77]):
+            raise RuntimeError(f"photo {lost[0]}")
         box = lambda k: {"x1": float(k % 50), "y1": 0.0, "x2": float(k % 50 + 100), "y2": 300.0}
-        yield pd.DataFrame({"photo_id": pdf.photo_id, "dets": [[{"box": box(k), "conf": 0.9, "kps": None}] if k % 2 == 0 else [] for k in pdf.photo_id]})
+        yield pd.DataFrame({"photo_id": keys, "dets": [[{"box": box(k), "conf": 0.9, "kps": None}] if k % 2 == 0 else [] for k in keys.tolist()]})
 
 
 @query("SELECT DISTINCT o_orderkey AS photo_id, CASE WHEN o_orderkey % 100 = 77 THEN 'batch_predict_exception: photo ' || o_orderkey END AS error, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS n_found FROM orders")

@@ -145,6 +145,47 @@ def test_a_failing_photo_fails_alone(spark):
     assert {r.photo_id for r in photo_files.predict_errors(found).collect()} == {"p5", "p6", "p70", "p40"}
 
 
+def _with_faults(lost, calls, most=10**9):
+    """A model that can't stand some keys, nor more rows than ``most``; notes the rows of each call."""
+
+    def model(batches):
+        for pdf in batches:
+            calls.append(len(pdf))
+            if len(bad := [k for k in pdf.photo_id if k in lost]) or len(pdf) > most:
+                raise RuntimeError(f"photo {bad[0]}" if bad else "too many")
+            yield pd.DataFrame({"photo_id": pdf.photo_id, "dets": [[k] for k in pdf.photo_id]})
+
+    return model
+
+
+def _told(lost, sizes, **more):
+    calls, at, batches = [], 0, []
+    for n in sizes:
+        batches.append(pd.DataFrame({"photo_id": range(at, at + n)}))
+        at += n
+    out = list(photo_files.isolated(_with_faults(lost, calls, **more))(iter(batches)))
+    rows = [r for x in out for r in x[["photo_id", "dets", "error"]].astype(object).where(lambda v: v.notna(), None).itertuples(index=False, name=None)]
+    assert rows == [(k, None if k in lost else [k], f"batch_predict_exception: photo {k}" if k in lost else None) for k in range(at)]
+    return calls, out
+
+
+def test_a_fault_in_a_hundred_costs_few_calls_and_batches_stay_whole():
+    """Halving each batch down to every fault took 15 calls a fault, and as many small batches went back to Spark."""
+    lost = {k for k in range(10_000) if k % 100 == 77}
+    calls, out = _told(lost, [5_000, 0, 5_000])
+    assert len(out) == 2 and len(calls) < 11 * len(lost) and sum(calls) < 60_000
+
+
+@pytest.mark.parametrize("lost", [set(), {0}, {0, 1, 2}, {62, 63}, set(range(64, 128)), set(range(130)), {k for k in range(130) if k % 2}])
+def test_faults_anywhere_are_told_in_order(lost):
+    calls, _ = _told(lost, [64, 1, 65])
+    assert len(calls) <= 2 * 130 and (lost or calls == [64, 1, 65])
+
+
+def test_a_model_that_fails_on_large_groups_only_loses_nothing():
+    _told({5, 77}, [200, 3], most=7)
+
+
 # ---- fences
 
 
