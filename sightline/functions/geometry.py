@@ -106,20 +106,24 @@ def _box_text(x1: str, y1: str, x2: str, y2: str) -> str:
     return f"named_struct('x1', double({x1}), 'y1', double({y1}), 'x2', double({x2}), 'y2', double({y2}))"
 
 
+def reach(s: dict) -> dict[str, str]:
+    """All that the anatomy crop reads of the keypoints, as SQL text: the box widened to the sure ones, if these are enough, and where parts of the body lie."""
+    every = tuple(range(K.POINTS))
+    enough, reach = f"{K.count_text(s, every)} >= {int(s['selection_filters']['min_keypoints'])}", {}
+    for side, axis, pick in (("x1", "x", "least"), ("y1", "y", "least"), ("x2", "x", "greatest"), ("y2", "y", "greatest")):
+        reach[f"_{side}"] = _case(enough, f"{pick}({side}, {pick}({', '.join(K.along(s, axis, every))}))", side)  # both skip nulls
+    reach |= {"_head_y": f"least({', '.join(K.along(s, 'y', K.HEAD))})"} | {f"_{n}_y": K.mean_text(K.along(s, "y", g)) for n, g in (("shoulder", K.SHOULDERS), ("hip", K.HIPS))}
+    return reach | {f"_low_{n}": f"greatest({', '.join(K.along(s, 'y', g))})" for n, g in (("hip", K.HIPS), ("knee", K.KNEES), ("ankle", K.ANKLES))}
+
+
 def with_anatomy(df: DataFrame, s: dict) -> DataFrame:
     """Adds ``anatomy``: a crop from head to foot with margins, whose width follows from the aspect ratio.
 
-    The box is first widened to the sure keypoints, if these are enough. The terms are SQL text, as those over keypoints are: built call by call
-    they took seconds of a plan.
+    The terms are SQL text, as those over keypoints are: built call by call they took seconds of a plan. Columns of :func:`reach` that are there already are used up.
     """
-    c, every = s["crop"], tuple(range(K.POINTS))
+    c, read = s["crop"], reach(s)
     d = {n: f"{float(v)!r}D" for n, v in c.items() if isinstance(v, (int, float))}
-    estimate, enough = f"{float(s['completeness_guard']['head_estimate_ratio'])!r}D", f"{K.count_text(s, every)} >= {int(s['selection_filters']['min_keypoints'])}"
-    reach = {}
-    for side, axis, pick in (("x1", "x", "least"), ("y1", "y", "least"), ("x2", "x", "greatest"), ("y2", "y", "greatest")):
-        reach[f"_{side}"] = _case(enough, f"{pick}({side}, {pick}({', '.join(K.along(s, axis, every))}))", side)  # both skip nulls
-    reach |= {"_head_y": f"least({', '.join(K.along(s, 'y', K.HEAD))})"} | {f"_{n}_y": K.mean_text(K.along(s, "y", g)) for n, g in (("shoulder", K.SHOULDERS), ("hip", K.HIPS))}
-    reach |= {f"_low_{n}": f"greatest({', '.join(K.along(s, 'y', g))})" for n, g in (("hip", K.HIPS), ("knee", K.KNEES), ("ankle", K.ANKLES))}
+    estimate = f"{float(s['completeness_guard']['head_estimate_ratio'])!r}D"
     scale = {"_tall": "greatest(1.0D, _y2 - _y1)", "_torso": "CASE WHEN _hip_y > _shoulder_y THEN _hip_y - _shoulder_y END"}
     above = f"coalesce(_head_y - _tall * {d['anatomy_crown_allowance']}, _shoulder_y - _tall * {estimate})"
     below = "{0} + coalesce(_torso * {1}, _tall * {2})".format
@@ -131,8 +135,9 @@ def with_anatomy(df: DataFrame, s: dict) -> DataFrame:
     framed, ratio = f"(_low - _top) * {d['aspect_ratio']}", d["aspect_ratio"]
     width = {"_width": _case(f"{framed} < _need", "_need", framed), "_bottom": _case(f"{framed} < _need", f"_top + _need / {ratio}", "_low")}
     crop = {"anatomy": _box_text("_middle - _width / 2.0D", "_top", "_middle + _width / 2.0D", "_bottom")}
-    kept = [n for n in df.columns if n != "anatomy"]
-    return _stages(df.select(*kept), reach, scale, ends, margins, width, crop).select(*kept, "anatomy")
+    kept = [n for n in df.columns if n != "anatomy" and n not in read]
+    begun = df.drop("anatomy") if set(read) <= set(df.columns) else _stages(df.select(*kept), read)
+    return _stages(begun, scale, ends, margins, width, crop).select(*kept, "anatomy")
 
 
 def with_smart_crop(df: DataFrame, s: dict, name: str = "smart_crop") -> DataFrame:
@@ -148,14 +153,24 @@ def centre_offsets(crop: str = "crop") -> Column:
     return F.expr(f"named_struct('x', {x}, 'y', {y}, 'max', greatest({x}, {y}))")
 
 
-def isolation(crop: str = "crop") -> Column:
-    """Largest overlap of a crop column with any other raw detection of the photo (``dets``): as share of the crop, and of the other."""
-    wide = f"(least({crop}.x2, d.x2) - greatest({crop}.x1, d.x1))"
-    tall = f"(least({crop}.y2, d.y2) - greatest({crop}.y1, d.y1))"
-    met = f"CASE WHEN {wide} > 0 AND {tall} > 0 AND d.candidate_idx <> candidate_idx THEN {wide} * {tall} ELSE 0.0D END"
-    of_crop, of_other = f"greatest(1.0D, ({crop}.x2 - {crop}.x1) * ({crop}.y2 - {crop}.y1))", "greatest(1.0D, (d.x2 - d.x1) * (d.y2 - d.y1))"
-    most = [f"coalesce(array_max(transform(dets, d -> {met} / {area})), 0.0D)" for area in (of_crop, of_other)]
-    return F.expr(f"named_struct('of_crop', {most[0]}, 'of_other', {most[1]})")
+#: Detections of a photo that are told apart by their places in compiled code; functions of arrays, which take any number, are interpreted.
+FEW = 8
+
+
+def with_isolation(df: DataFrame, name: str, crop: str = "crop") -> DataFrame:
+    """Adds the largest overlap of a crop column with any other raw detection of the photo (``dets``): as share of the crop, and of the other."""
+
+    def met(d: str) -> str:
+        wide, tall = (f"(least({crop}.{v}2, {d}.{v}2) - greatest({crop}.{v}1, {d}.{v}1))" for v in "xy")
+        return f"CASE WHEN {wide} > 0 AND {tall} > 0 AND {d}.candidate_idx <> candidate_idx THEN {wide} * {tall} ELSE 0.0D END"
+
+    area = "greatest(1.0D, ({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))".format
+    places = [f"get(dets, {i})" for i in range(FEW)]
+    meetings = {f"_met{i}": met(d) for i, d in enumerate(places)}
+    few = {"of_crop": f"greatest({', '.join(meetings)}) / {area(crop)}", "of_other": f"greatest({', '.join(f'_met{i} / {area(d)}' for i, d in enumerate(places))})"}
+    every = {"of_crop": f"{met('d')} / {area(crop)}", "of_other": f"{met('d')} / {area('d')}"}
+    most = [f"'{n}', CASE WHEN size(dets) <= {FEW} THEN {few[n]} ELSE coalesce(array_max(transform(dets, d -> {every[n]})), 0.0D) END" for n in few]
+    return _stages(df, meetings, {name: f"named_struct({', '.join(most)})"}).drop(*meetings)
 
 
 def final_size(s: dict, crop: Column) -> Column:

@@ -37,10 +37,10 @@ def fence_free(fence_score: str) -> str:
 
 
 def components(s: dict, fence_score: str = "fence_score") -> dict[str, str]:
-    """The seven parts of the score as SQL text, each from 0 to 1, in the order in which they are added; needs ``full_frame``, ``sharpness``, ``alone`` and ``offsets``."""
+    """The seven parts of the score as SQL text, each from 0 to 1, in the order in which they are added; needs ``full_frame``, ``points_seen``, ``sharpness``, ``alone`` and ``offsets``."""
     f, q = s["selection_filters"], s["quality_scoring"]
     least_h = f"greatest({number(f['min_box_height_px'])}, h * {number(f['min_height_ratio'])})"
-    share = f"greatest(0.0D, least(({K.count_text(s, tuple(range(K.POINTS)))}) / 17.0D, 1.0D))"
+    share = f"greatest(0.0D, least(points_seen / {float(K.POINTS)}D, 1.0D))"
     rest = "greatest(0.0D, least(1.0D - {0}, 1.0D))".format
     of_frame = f"CASE WHEN full_frame THEN greatest(0.65D, {share}) ELSE {share} END" if s["full_frame_runner"]["bypass_min_keypoints"] else share
     return {

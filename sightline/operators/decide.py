@@ -20,11 +20,14 @@ from sightline.functions import scoring as S
 
 
 def with_others(dets: DataFrame) -> DataFrame:
-    """Adds ``dets``: number and box of all raw detections of the photo, in any order.
+    """Adds ``dets``: number and box of all raw detections of the photo, in any order, unless the source brings them.
 
     A detector gives at most a bounded number per photo, so the arrays are bounded. The window
-    uses the same shuffle by photo as what made the detections.
+    uses the same shuffle by photo as what made the detections, and copies whole rows: a source that adds
+    keypoints later does better to gather the boxes before.
     """
+    if "dets" in dets.columns:
+        return dets
     one = F.struct("candidate_idx", "x1", "y1", "x2", "y2")
     return dets.withColumn("dets", F.collect_list(one).over(Window.partitionBy("photo_id")))
 
@@ -39,41 +42,53 @@ def as_rows(df: DataFrame) -> DataFrame:
     return df.select("photo_id", F.inline(F.array(F.struct(*(n for n in df.columns if n != "photo_id"))))).select(df.columns)
 
 
-def geometry_gate(s: dict) -> Column:
-    """The first gate of position, size and keypoints that a candidate fails; null if none. Needs ``full_frame``."""
+def geometry_gate(s: dict, seen: str | None = None) -> Column:
+    """The first gate of position, size and keypoints that a candidate fails; null if none. Needs ``full_frame``; ``seen`` names the number of sure keypoints, if it is known."""
     f, r = s["selection_filters"], s["full_frame_runner"]
     zone, gates = S.number(float(f["safe_zone_percent"]) / 100.0), []
     free = lambda flag: "full_frame" if r[flag] else "false"
     if f["enable_safe_zone"]:
         gates.append(f"WHEN NOT {free('bypass_safe_zone')} AND ((x1 + x2) / 2.0D < w * {zone} OR (x1 + x2) / 2.0D > w * (1.0D - {zone})) THEN 'unsafe_edge'")
     gates.append(f"WHEN NOT full_frame AND y2 - y1 < greatest(h * {S.number(f['min_height_ratio'])}, {S.number(f['min_box_height_px'])}) THEN 'too_small'")
-    gates.append(f"WHEN NOT {free('bypass_min_keypoints')} AND {K.count_text(s, tuple(range(K.POINTS)))} < {int(f['min_keypoints'])} THEN 'too_few_keypoints'")
+    gates.append(f"WHEN NOT {free('bypass_min_keypoints')} AND {seen or K.count_text(s, tuple(range(K.POINTS)))} < {int(f['min_keypoints'])} THEN 'too_few_keypoints'")
     if f["require_frontal_face"]:
         gates.append(f"WHEN NOT {free('bypass_min_keypoints')} AND NOT ({K.frontal_text()}) THEN 'no_frontal_face'")
     return F.expr(f"CASE {' '.join(gates)} END")
 
 
 def prepared(dets: DataFrame, s: dict) -> DataFrame:
-    """Candidates with ``full_frame``, ``gate``, ``complete``, ``crop``, and how it lies: ``alone`` and ``offsets``."""
-    out = with_others(dets).withColumn("full_frame", G.is_full_frame(s))
-    out = out.withColumn("gate", geometry_gate(s)).withColumn("complete", K.completeness(s, G.cut_by_frame(s)))
+    """Candidates with ``full_frame``, ``points_seen``, ``gate``, ``complete``, ``crop``, and how it lies: ``alone`` and ``offsets``.
+
+    What is read of the keypoints is read in one projection (the gate of faces, where it is on, comes after), so that later ones needn't carry these if nobody asks for them.
+    """
+    read = {"full_frame": G.is_full_frame(s), "points_seen": K.visible(s), "complete": K.completeness(s, G.cut_by_frame(s))}
+    out = with_others(dets).select("*", *(c.alias(n) for n, c in read.items()), *(F.expr(text).alias(n) for n, text in G.reach(s).items()))
+    out = out.withColumn("gate", geometry_gate(s, "points_seen"))
     out = G.with_smart_crop(out, s).withColumn("crop", F.when(F.col("full_frame"), G.full_frame_crop(s)).otherwise(F.col("smart_crop"))).drop("smart_crop")
-    return out.withColumns({"alone": G.isolation("crop"), "offsets": G.centre_offsets("crop")})
+    return G.with_isolation(out, "alone").withColumn("offsets", G.centre_offsets("crop"))
+
 
+#: Columns of ``prepared`` that no later stage reads; arrays, which are most of a row's bytes.
+DONE = ("kps", "dets", "alone", "offsets")
 
-def scored(prep: DataFrame, s: dict) -> DataFrame:
-    """Adds the parts of the score, the score, and the ``ceiling`` that it would have without a fence."""
+
+def scored(prep: DataFrame, s: dict, *, lean: bool = False) -> DataFrame:
+    """Adds the parts of the score, the score, and the ``ceiling`` that it would have without a fence. With ``lean`` the columns of ``DONE`` and the parts go."""
     parts = S.components(s)
     out = prep.selectExpr("*", *(f"{text} AS part_{n}" for n, text in parts.items()))
     known = {n: f"part_{n}" for n in parts}
     ceiling = S.raw_score(s, known | {"fence_free": S.fence_free(S.number(S.NO_FENCE))})
     out = out.selectExpr("*", f"{S.raw_score(s, known)} AS raw_score", f"{ceiling} AS raw_ceiling")
-    return as_rows(out.selectExpr("* EXCEPT (raw_ceiling)", f"{G.rounded_text('raw_ceiling', 2)} AS ceiling", f"{G.rounded_text('raw_score', 2)} AS score"))
+    out = out.selectExpr("* EXCEPT (raw_ceiling)", f"{G.rounded_text('raw_ceiling', 2)} AS ceiling", f"{G.rounded_text('raw_score', 2)} AS score")
+    return as_rows(out.drop(*DONE, *known.values()) if lean else out)
+
 
+def decide(dets: DataFrame, s: dict, *, lean: bool = False) -> DataFrame:
+    """A row per candidate with ``decision``, ``reason``, class, demotion and output columns.
 
-def decide(dets: DataFrame, s: dict) -> DataFrame:
-    """A row per candidate with ``decision``, ``reason``, class, demotion and output columns."""
-    return finished(scored(prepared(dets, s), s), s)
+    With ``lean`` the keypoints, the photo's other detections and the parts of the score, which no decision reads any more, aren't in the result.
+    """
+    return finished(scored(prepared(dets, s), s, lean=lean), s)
 
 
 def finished(rows: DataFrame, s: dict) -> DataFrame:
@@ -239,7 +254,7 @@ def report_columns(decisions: DataFrame, s: dict) -> DataFrame:
     boxes = {f"box_{x}": G.rounded(F.col(x), 1) for x in ("x1", "y1", "x2", "y2")} | {f"crop_{x}": G.rounded(crop[x], 1) for x in ("x1", "y1", "x2", "y2")}
     return decisions.select(
         "photo_id", "candidate_idx", G.rounded(F.col("conf"), 4).alias("confidence"), *(v.alias(n) for n, v in boxes.items()), G.rounded(G.box_height(), 1).alias("box_height"),
-        F.col("full_frame").alias("is_full_frame"), "decision", "reason", K.visible(s).alias("visible_keypoints"), G.rounded(F.col("sharpness"), 2).alias("sharpness"), "fence_detected", G.rounded(F.col("fence_score"), 4).alias("fence_score"),
+        F.col("full_frame").alias("is_full_frame"), "decision", "reason", (F.col("points_seen") if "points_seen" in decisions.columns else K.visible(s)).alias("visible_keypoints"), G.rounded(F.col("sharpness"), 2).alias("sharpness"), "fence_detected", G.rounded(F.col("fence_score"), 4).alias("fence_score"),
         F.col("score").alias("quality_score"), "quality_class", "demoted_reason", c["completeness"].alias("completeness"), c["has_upper_body"].alias("has_upper_body"), c["truncated_top"].alias("truncated_top"),
         F.col("enhancement_reason").alias("enhancement_candidate_reason"), "enhance_mode", F.col("output_name").alias("output_path"),
     )

@@ -37,10 +37,6 @@ def with_fence(rows: DataFrame, s: dict) -> DataFrame:
     return rows.selectExpr("*", f"{G.rounded_text('raw_score', 2)} AS score")
 
 
-#: Columns of ``prepared`` that no later stage reads; arrays, which are most of a row's bytes.
-_DONE = ("kps", "dets", "alone", "offsets")
-
-
 def decide_staged(dets: DataFrame, s: dict, fences: Callable[[DataFrame], DataFrame], *, lean: bool = False) -> DataFrame:
     """As ``decide``, for ``dets`` without fence figures.
 
@@ -50,7 +46,7 @@ def decide_staged(dets: DataFrame, s: dict, fences: Callable[[DataFrame], DataFr
     reads any more, are neither written nor in the result.
     """
     rows = with_ceiling(dets.drop(*_FENCE), s).withColumn("needs_fence", F.coalesce(D.needs_fence(s), F.lit(False)))
-    rows = settled(rows.drop(*_DONE) if lean else rows)
+    rows = settled(rows.drop(*D.DONE) if lean else rows)
     waiting = rows.filter("needs_fence")
     measured = waiting.join(fences(waiting).select("photo_id", "candidate_idx", *_FENCE), ["photo_id", "candidate_idx"])
     known = rows.filter(~F.col("needs_fence")).withColumns({"fence_score": F.lit(None).cast("double"), "fence_detected": F.lit(None).cast("boolean")})

@@ -46,7 +46,7 @@ def _dets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{decided()} SELECT reason, coalesce(quality_class, 'none') AS quality_class, count(*) AS n FROM decided GROUP BY ALL")
 def flagship_reason_class(spark, sf_dir):
-    rows = D.decide(_dets(spark, sf_dir), SETTINGS)
+    rows = D.decide(_dets(spark, sf_dir), SETTINGS, lean=True)
     return rows.groupBy("reason", F.coalesce("quality_class", F.lit("none")).alias("quality_class")).agg(F.count("*").alias("n"))
 
 
@@ -164,7 +164,7 @@ def score_components(spark, sf_dir):
 
 @query(f"{BASE} SELECT photo_id, candidate_idx, score, ceiling, class1 AS quality_class FROM f")
 def quality_score(spark, sf_dir):
-    rows = D.scored(D.prepared(_dets(spark, sf_dir), SETTINGS), SETTINGS)
+    rows = D.scored(D.prepared(_dets(spark, sf_dir), SETTINGS), SETTINGS, lean=True)
     return rows.select(*KEY, "score", "ceiling", S.quality_class(SETTINGS, F.col("score")).alias("quality_class"))
 
 
@@ -174,34 +174,34 @@ _ROWS = f"SELECT photo_id, candidate_idx, {', '.join(_DECISION)} FROM decided"
 
 @query(f"{decided(fast=False)} {_ROWS}")
 def decisions_slow(spark, sf_dir):
-    return D.decide(_dets(spark, sf_dir), SLOW).select(*KEY, *_DECISION)
+    return D.decide(_dets(spark, sf_dir), SLOW, lean=True).select(*KEY, *_DECISION)
 
 
 @query(f"{decided()} {_ROWS}")
 def decisions_fast(spark, sf_dir):
-    return D.decide(_dets(spark, sf_dir), SETTINGS).select(*KEY, *_DECISION)
+    return D.decide(_dets(spark, sf_dir), SETTINGS, lean=True).select(*KEY, *_DECISION)
 
 
 @query(f"{decided(premium_only=True)} {_ROWS}")
 def decisions_premium_only(spark, sf_dir):
-    return D.decide(_dets(spark, sf_dir), PREMIUM).select(*KEY, *_DECISION)
+    return D.decide(_dets(spark, sf_dir), PREMIUM, lean=True).select(*KEY, *_DECISION)
 
 
 @query(f"{decided(save_review=True)} {_ROWS}")
 def decisions_save_review(spark, sf_dir):
-    return D.decide(_dets(spark, sf_dir), REVIEW).select(*KEY, *_DECISION)
+    return D.decide(_dets(spark, sf_dir), REVIEW, lean=True).select(*KEY, *_DECISION)
 
 
 @query(f"{BASE} SELECT photo_id, candidate_idx FROM f WHERE gate IS NULL AND sharpness >= 80 AND (full_frame OR whole) AND ceiling >= 60")
 def fence_candidates(spark, sf_dir):
     """Candidates that still need a fence measurement: the filter that stands before that stage."""
-    rows = D.scored(D.prepared(_dets(spark, sf_dir), SETTINGS), SETTINGS)
+    rows = D.scored(D.prepared(_dets(spark, sf_dir), SETTINGS), SETTINGS, lean=True)
     return rows.filter(D.needs_fence(SETTINGS)).select(*KEY)
 
 
 @query(f"{decided()} SELECT decision, reason, quality_class, count(*) AS n FROM decided GROUP BY ALL")
 def counters(spark, sf_dir):
-    return D.counters(D.decide(_dets(spark, sf_dir), SETTINGS))
+    return D.counters(D.decide(_dets(spark, sf_dir), SETTINGS, lean=True))
 
 
 @query(
@@ -213,7 +213,7 @@ def counters(spark, sf_dir):
 )
 def fallback(spark, sf_dir):
     photos = fixture.photos(spark, sf_dir).withColumns({"photo_sharpness": (F.col("photo_id") % 200).cast("double"), "photo_fence": F.col("photo_id") % 7 == 0})
-    return D.fallback(photos, D.decide(_dets(spark, sf_dir), FALLBACK), FALLBACK)
+    return D.fallback(photos, D.decide(_dets(spark, sf_dir), FALLBACK, lean=True), FALLBACK)
 
 
 @query(
@@ -221,7 +221,7 @@ def fallback(spark, sf_dir):
     "|| '_q' || round_even(score, 0)::INT || '_s' || sharpness::INT || '_c' || round_even(conf * 100, 0)::INT || '.jpg' AS output_name FROM decided WHERE decision = 'accept'"
 )
 def manifest_names(spark, sf_dir):
-    rows = D.decide(_dets(spark, sf_dir), SETTINGS)
+    rows = D.decide(_dets(spark, sf_dir), SETTINGS, lean=True)
     return rows.filter("decision = 'accept'").select(*KEY, "output_name")
 
 
@@ -230,7 +230,7 @@ def manifest_names(spark, sf_dir):
     "CASE quality_class WHEN 'review' THEN 'none' ELSE 'upscale' END AS enhance_mode FROM decided WHERE decision = 'accept'"
 )
 def enhancement(spark, sf_dir):
-    rows = D.decide(_dets(spark, sf_dir), REVIEW).filter("decision = 'accept'")
+    rows = D.decide(_dets(spark, sf_dir), REVIEW, lean=True).filter("decision = 'accept'")
     return rows.select(*KEY, "quality_class", "enhancement_reason", "enhance_mode")
 
 
@@ -270,7 +270,7 @@ def fence_decision(spark, sf_dir):
 
 @query(f"{decided()} SELECT photo_id, candidate_idx, regexp_replace(coalesce(demoted_reason, reason || '!'), '[^\\p{{L}}\\p{{N}}._-]', '_', 'g')[:60] AS reject_name FROM decided WHERE decision = 'reject'")
 def reject_names(spark, sf_dir):
-    rows = D.decide(_dets(spark, sf_dir), SETTINGS).filter("decision = 'reject'")
+    rows = D.decide(_dets(spark, sf_dir), SETTINGS, lean=True).filter("decision = 'reject'")
     return rows.select(*KEY, D.reject_name(F.coalesce("demoted_reason", F.concat("reason", F.lit("!")))).alias("reject_name"))
 
 
@@ -284,7 +284,7 @@ STRICT = config.merged({"completeness_guard": {"review_on_partial": False}, "per
 )
 def decisions_strict_guard(spark, sf_dir):
     """Partial persons are rejected instead of going to Review."""
-    return D.decide(_dets(spark, sf_dir), STRICT).select(*KEY, *_DECISION)
+    return D.decide(_dets(spark, sf_dir), STRICT, lean=True).select(*KEY, *_DECISION)
 
 
 @query(
@@ -298,14 +298,14 @@ def decisions_strict_guard(spark, sf_dir):
 )
 def tally(spark, sf_dir):
     """The counters of a run by their names."""
-    return D.tally(D.decide(_dets(spark, sf_dir), SETTINGS), fixture.photos(spark, sf_dir))
+    return D.tally(D.decide(_dets(spark, sf_dir), SETTINGS, lean=True), fixture.photos(spark, sf_dir))
 
 
 @query(
     f"{decided(save_review=True)} SELECT photo_id, candidate_idx, quality_class <> 'review' AND c_y2 - c_y1 < 1200 AS upscaled, quality_class <> 'premium' AS post_processed FROM decided WHERE decision = 'accept'"
 )
 def post_processing(spark, sf_dir):
-    return D.post_processing(D.decide(_dets(spark, sf_dir), REVIEW), REVIEW).select(*KEY, "upscaled", "post_processed")
+    return D.post_processing(D.decide(_dets(spark, sf_dir), REVIEW, lean=True), REVIEW).select(*KEY, "upscaled", "post_processed")
 
 
 @query(
@@ -313,7 +313,7 @@ def post_processing(spark, sf_dir):
     "FROM decided WHERE decision = 'accept' AND quality_class = 'review') SELECT * FROM review WHERE enhancement_reason IS NOT NULL OR NOT EXISTS (SELECT 1 FROM review WHERE enhancement_reason IS NOT NULL)"
 )
 def second_pass(spark, sf_dir):
-    review = D.decide(_dets(spark, sf_dir), REVIEW).filter("quality_class = 'review'").select(*KEY, "decision", "quality_class", "enhancement_reason")
+    review = D.decide(_dets(spark, sf_dir), REVIEW, lean=True).filter("quality_class = 'review'").select(*KEY, "decision", "quality_class", "enhancement_reason")
     return D.second_pass(settled(review)).select(*KEY, "enhancement_reason")
 
 
@@ -322,7 +322,7 @@ def second_pass(spark, sf_dir):
     "round_even(y2 - y1, 1) AS box_height FROM decided"
 )
 def report(spark, sf_dir):
-    rows = D.report(D.decide(fixture.detections(spark, sf_dir, in_order=True), SETTINGS))
+    rows = D.report(D.decide(fixture.detections(spark, sf_dir, in_order=True), SETTINGS, lean=True))
     return rows.select(*KEY, "full_frame", "decision", "reason", "sharpness", "quality_score", "quality_class", "demoted_reason", "completeness", "has_upper_body", "truncated_top", "box_height")
 
 

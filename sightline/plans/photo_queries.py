@@ -301,7 +301,7 @@ def report_file(spark, sf_dir):
     photos = fixture.photos(spark, sf_dir)
     errors = settled(photo_files.predict_errors(photo_files.detect(photos.select("photo_id"), _stub_model, SETTINGS)))
     left = _dets(spark, sf_dir).join(errors.select("photo_id"), "photo_id", "left_anti")
-    decisions = settled(D.report_columns(D.decide(left, FALLBACK), FALLBACK))  # no keypoints, which are most of a decision's bytes
+    decisions = settled(D.report_columns(D.decide(left, FALLBACK, lean=True), FALLBACK))  # no keypoints, which are most of a decision's bytes
     looked = photos.join(errors.select("photo_id"), "photo_id", "left_anti").withColumns({"photo_sharpness": (F.col("photo_id") % 200).cast("double"), "photo_fence": F.col("photo_id") % 7 == 0})
     whole = D.fallback(looked, decisions, FALLBACK).join(looked.select("photo_id", "photo_sharpness"), "photo_id")
     path = shared_folder(spark, "report")

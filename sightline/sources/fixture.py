@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sightline.operators.decide import with_others
+
 # Places of the 17 keypoints in a person's box, as shares of its sides.
 LAYOUT = [
     (0.5, 0.07), (0.46, 0.06), (0.54, 0.06), (0.42, 0.07), (0.58, 0.07), (0.35, 0.20), (0.65, 0.20), (0.30, 0.35), (0.70, 0.35),
@@ -13,7 +15,7 @@ WIDTH, HEIGHT = 6192, 4128
 
 
 def detections(spark: SparkSession, sf_dir: str, *, in_order: bool = False) -> DataFrame:
-    """One row per detected person: photo_id, candidate_idx, w, h, box, conf, kps, sharpness and fence figures.
+    """One row per detected person: photo_id, candidate_idx, w, h, box, conf, kps, sharpness and fence figures, and ``dets``, the boxes of the photo's detections.
 
     With ``in_order`` parts are ranges of photos. A result sorted by photo then needs no shuffle at its end, whose
     ranges Spark would find by computing all of it one time more.
@@ -28,10 +30,11 @@ def detections(spark: SparkSession, sf_dir: str, *, in_order: bool = False) -> D
     d = d.selectExpr("*", f"CAST({WIDTH} AS DOUBLE) AS w", f"CAST({HEIGHT} AS DOUBLE) AS h", "300 + k % 3829 AS bh", f"k * 13 % {WIDTH} AS cx", "k * 29 % 1000 AS yr", "(330 + ep % 650) / 1000.0D AS conf", "CAST(ep % 520 AS DOUBLE) AS sharpness", "CAST(ep % 211 AS DOUBLE) AS brightness")
     d = d.selectExpr("*", "greatest(1, bh * 2 DIV 5) AS bw", f"CAST(least({HEIGHT} - bh, yr * ({HEIGHT} - bh) DIV 900) AS DOUBLE) AS y1")
     d = d.selectExpr("*", "CAST(greatest(0, cx - bw DIV 2) AS DOUBLE) AS x1", f"CAST(least({WIDTH}, cx + bw DIV 2) AS DOUBLE) AS x2", "y1 + bh AS y2")
+    d = with_others(d)  # before the keypoints, which are most of a row's bytes
     points = ", ".join(f"struct(x1 + {fx}D * (x2 - x1) AS x, y1 + {fy}D * (y2 - y1) AS y, CASE WHEN (k + {i} * 37) % 100 < (CASE WHEN k % 10 = 0 THEN 20 ELSE 96 END) THEN 0.9D ELSE 0.05D END AS conf)" for i, (fx, fy) in enumerate(LAYOUT))
     return d.selectExpr(
         "photo_id", "candidate_idx", "w", "h", "x1", "y1", "x2", "y2", "conf", f"array({points}) AS kps", "sharpness", "brightness",
-        "CAST((k * 7) % 40 AS DOUBLE) / 100.0D AS fence_score", "(k * 7) % 40 >= 35 AS fence_detected",
+        "CAST((k * 7) % 40 AS DOUBLE) / 100.0D AS fence_score", "(k * 7) % 40 >= 35 AS fence_detected", "dets",
     )
 
 

@@ -196,3 +196,27 @@ def test_second_pass_takes_promising_crops_or_all_of_review(spark):
     assert taken(rows) == [2]
     assert taken([r for r in rows if r[0] != 2]) == [1]
     assert taken([]) == []
+
+
+@pytest.mark.parametrize("most", [1, G.FEW, G.FEW + 1, 2 * G.FEW])
+def test_isolation_of_few_and_of_many_detections(spark, most):
+    """Both ways, by places and by a function of arrays, against plain loops; ``dets`` null or empty counts as alone."""
+    r = random.Random(most)
+    rows, want = [], {}
+    for photo in range(40):
+        boxes = [(float(x := r.randrange(0, 90)), float(y := r.randrange(0, 90)), float(x + r.randrange(0, 60)), float(y + r.randrange(0, 60))) for _ in range(r.randrange(0, most + 1))]
+        dets = [(i, *b) for i, b in enumerate(boxes)] if boxes or photo % 2 else None
+        crop = (float(r.randrange(0, 50)), 0.0, float(r.randrange(50, 150)), 80.0)
+        rows.append((photo, 0, crop, dets))
+        of = [[0.0], [0.0]]
+        for i, b in enumerate(boxes[1:], 1):
+            wide, tall = min(crop[2], b[2]) - max(crop[0], b[0]), min(crop[3], b[3]) - max(crop[1], b[1])
+            met = wide * tall if wide > 0 and tall > 0 else 0.0
+            for out, (x1, y1, x2, y2) in zip(of, (crop, b)):
+                out.append(met / max(1.0, (x2 - x1) * (y2 - y1)))
+        want[photo] = tuple(map(max, of))
+    box = "x1:double,y1:double,x2:double,y2:double"
+    table = spark.createDataFrame(rows, f"photo_id long, candidate_idx int, crop struct<{box}>, dets array<struct<candidate_idx:int,{box}>>")
+    got = G.with_isolation(table, "alone")
+    assert got.columns == [*table.columns, "alone"]
+    assert {x.photo_id: tuple(x.alone) for x in got.collect()} == want

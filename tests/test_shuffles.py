@@ -80,3 +80,21 @@ def test_the_report_file_writes_decisions_without_keypoints(spark, made, monkeyp
     wrote, write = [], photo_queries.settled
     monkeypatch.setattr(photo_queries, "settled", lambda df: wrote.append(df.columns) or write(df))
     assert made["report_file"](spark, SMALL).count() and not any({"kps", "dets"} & set(columns) for columns in wrote)
+
+
+def carrying(df, name):
+    """Kinds of the optimized plan's operators that give rows with a column."""
+    found, left = [], [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        if name in [node.output().apply(i).name() for i in range(node.output().size())]:
+            found.append(node.nodeName())
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("name", ["decisions_fast", "decisions_slow", "manifest_names", "flagship_reason_class", "counters", "quality_score", "tally", "report"])
+def test_keypoints_are_made_after_the_windows_and_read_at_once(spark, made, name):
+    """They were copied through two windows, a generator and a dozen projections."""
+    assert carrying(made[name](spark, SMALL), "kps") == ["Project"]
+    assert "Generate" not in carrying(made[name](spark, SMALL), "dets")
